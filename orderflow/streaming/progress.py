@@ -1,0 +1,85 @@
+"""Tables over a streaming query's progress and its checkpointed state."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+PROGRESS = (
+    "query string, batch_id bigint, ts string, input_rows bigint, batch_ms bigint, commit_ms bigint,"
+    " state_rows bigint, state_bytes bigint, late_dropped bigint, watermark string,"
+    " start_offset string, end_offset string"
+)
+
+
+def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """One row per recent micro-batch (the query keeps a bounded number of them)."""
+    rows = []
+    for progress in query.recentProgress:
+        p = json.loads(progress.json) if hasattr(progress, "json") else dict(progress)
+        states = p.get("stateOperators", [])
+        sources = p.get("sources", [])
+        took = p.get("durationMs", {})
+        rows.append(
+            (
+                p.get("name") or p["id"], p["batchId"], p["timestamp"], p["numInputRows"],
+                took.get("triggerExecution", 0),
+                took.get("walCommit", 0) + took.get("commitOffsets", 0),
+                sum(s["numRowsTotal"] for s in states),
+                sum(s["memoryUsedBytes"] for s in states),
+                sum(s.get("numRowsDroppedByWatermark", 0) for s in states),
+                p.get("eventTime", {}).get("watermark"),
+                json.dumps([s.get("startOffset") for s in sources]),
+                json.dumps([s.get("endOffset") for s in sources]),
+            )
+        )
+    return spark.createDataFrame(rows, PROGRESS)
+
+
+def state_growth(progress: DataFrame, limit_bytes: int = 5 * 1024**3) -> DataFrame:
+    """State rows and bytes per batch with the change since the previous one."""
+    order = Window.partitionBy("query").orderBy("batch_id")
+    return progress.select(
+        "query", "batch_id", "state_rows", "state_bytes",
+        (F.col("state_rows") - F.lag("state_rows").over(order)).alias("rows_change"),
+        (F.col("state_bytes") > limit_bytes).alias("over_limit"),
+    )
+
+
+def batch_duration(progress: DataFrame, slow_ms: int = 30000) -> DataFrame:
+    """Average and longest batch and commit time, and whether the longest is too slow."""
+    return (
+        progress.groupBy("query")
+        .agg(
+            F.count("*").alias("batches"),
+            F.round(F.avg("batch_ms"), 3).alias("avg_batch_ms"),
+            F.max("batch_ms").alias("max_batch_ms"),
+            F.round(F.avg("commit_ms"), 3).alias("avg_commit_ms"),
+            F.max("commit_ms").alias("max_commit_ms"),
+            F.max("state_bytes").alias("max_state_bytes"),
+        )
+        .withColumn("breach", F.col("max_batch_ms") > slow_ms)
+    )
+
+
+def live_watermark_lag(progress: DataFrame) -> DataFrame:
+    """Clock − watermark at each batch, in seconds."""
+    lag = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(
+        F.col("watermark").cast("timestamp")
+    )
+    return progress.filter(F.col("watermark").isNotNull()).select(
+        "query", "batch_id", "watermark", lag.alias("watermark_lag_s")
+    )
+
+
+def read_state(spark: SparkSession, checkpoint: str, **options: str) -> DataFrame:
+    return spark.read.format("statestore").options(**options).load(checkpoint)
+
+
+def state_fingerprint(state: DataFrame) -> DataFrame:
+    """Row count and an order-free hash of a checkpoint's state, for comparing before and after."""
+    row_hash = F.xxhash64(F.to_json("key"), F.to_json("value"))
+    return state.agg(F.count("*").alias("state_rows"), F.bit_xor(row_hash).alias("fingerprint"))
