@@ -383,7 +383,7 @@ def from_wire_json(spark, sf):
 
 @query(
     "E11_epoch_iso",
-    "SELECT event_id, epoch_ms(ts) AS ts_ms, strftime(make_timestamp(epoch_ms(ts) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS ts_iso FROM events",
+    "SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, strftime(make_timestamp(epoch_us(ts) // 1000 * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS ts_iso FROM events",
 )
 def epoch_iso(spark, sf):
     return E.epoch_iso(I.events(spark, sf), "ts").select("event_id", "ts_ms", "ts_iso")
