@@ -106,7 +106,7 @@ _VERSIONS = """
 , staged AS (
   SELECT region, window_start, amount, CASE WHEN is_late THEN date_trunc('minute', arrival_ts) END AS stage FROM (
     SELECT *, max(epoch_us(event_time)) OVER (ORDER BY arrival_seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM late)
-  WHERE NOT coalesce(epoch_us(window_start) + (300 + 600 + 1800) * 1000000 <= seen, false)
+  WHERE NOT coalesce(epoch_us(window_start) + 2700000000 <= seen, false)
 ), parts AS (
   SELECT region, window_start, stage, count(*) AS n, sum(amount) AS s, max(amount) AS m FROM staged GROUP BY 1, 2, 3
 ), versions AS (
@@ -373,16 +373,17 @@ def expire_features(spark, sf):
 )
 def online_offline_parity(spark, sf):
     """A derived attribute of users' newest events against the customer table."""
-    offline = I.table(spark, sf, "events").select(
-        F.col("user_id").alias("custkey"),
-        F.struct(F.col("event_id")).alias("at"),
+    history = I.table(spark, sf, "events").select(
+        F.col("user_id").alias("custkey"), "event_id",
         (F.col("event_id") % 25).cast("int").alias("nation"),
     )
-    newest = X.online_latest(offline, "custkey", "at").drop("at").withColumn("at", F.lit(1))
+    newest = X.online_latest(history, "custkey", "event_id")
+    offline = newest.select("custkey", "nation", F.lit(1).alias("version"))
     online = I.table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nation"), F.lit(1).alias("at")
+        F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nation"),
+        F.lit(1).alias("version"),
     )
-    return X.online_offline_parity(newest, online, "custkey", "at")
+    return X.online_offline_parity(offline, online, "custkey", "version")
 
 
 @query(
@@ -402,9 +403,9 @@ def last_minute_volume(spark, sf):
 # --- lake -------------------------------------------------------------------------------------
 
 
-def _lake(spark, sf):
+def _lake(spark, sf, spread=1):
     path = I.scratch_path(spark, "lake")
-    K.write_lake(I.events(spark, sf), path, "ts")
+    K.write_lake(I.events(spark, sf), path, "ts", spread=spread)
     return path
 
 
@@ -441,4 +442,4 @@ def write_lake(spark, sf):
 @query("K9_compact_partitions")
 def compact_partitions(spark, sf):
     into = I.scratch_path(spark, "compact")
-    return K.compact_partitions(spark, _lake(spark, sf), into).drop("bytes")
+    return K.compact_partitions(spark, _lake(spark, sf, spread=2), into).drop("bytes")

@@ -19,6 +19,7 @@ from orderflow.functions.scalar import iso_text, time_bin
 from orderflow.operators.enrich import enrich_orders, from_wire_json, to_wire_json
 from orderflow.operators.validate import to_dlq, validate_orders
 from orderflow.operators.windows import finish_windows, window_accumulate, with_event_time
+from orderflow.session import ROCKSDB_PROVIDER
 from orderflow.streaming.dedup import flag_duplicates_stream
 from orderflow.streaming.sinks import batch_path
 
@@ -81,16 +82,24 @@ def dlq_of(outcomes: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def run_dedup_query(start: Callable[[], StreamingQuery], spark: SparkSession) -> StreamingQuery:
-    """Start the first query. A processing-time keyed operator asks for empty micro-batches without
-    end, so a bounded run would never finish; they are switched off for this query only, because
-    the window query needs them to close its last windows."""
-    name = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """Start the first query with the settings a keyed operator needs.
+
+    Its state lives in the RocksDB provider. In processing time it asks for empty micro-batches
+    without end, so a bounded run would never finish; they are switched off for this query only,
+    because the window query needs them to close its last windows.
+    """
+    settings = {
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         return start()
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def region_windows(
