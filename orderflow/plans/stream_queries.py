@@ -240,7 +240,7 @@ def archive_messages(spark, sf):
         order="offset",
     )
     schema = "message string, topic string, partition int, offset bigint"
-    return spark.read.schema(schema).json(out)
+    return spark.read.schema(schema).json(out).select("message", "topic", "partition", "offset")
 
 
 @query("K5_write_lake_stream", "SELECT event_id, ts, event_type FROM events")

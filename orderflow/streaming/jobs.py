@@ -57,14 +57,14 @@ def order_outcomes(
         flagged.withColumn(
             "error_message",
             F.when(
-                "is_dup",
+                F.col("is_dup"),
                 F.concat(
                     F.lit("Order "), F.col("order_id"),
                     F.lit(" already processed within deduplication window"),
                 ),
             ).otherwise(F.col("error_message")),
         )
-        .withColumn("error_type", F.when("is_dup", "DUPLICATE").otherwise(F.col("error_type")))
+        .withColumn("error_type", F.when(F.col("is_dup"), "DUPLICATE").otherwise(F.col("error_type")))
         .withColumn("outcome", F.when(F.col("error_type").isNull(), "processed").otherwise("dlq"))
         .drop("is_dup")
     )
