@@ -56,6 +56,8 @@ def _accepted_again(slim: DataFrame, spans: DataFrame, ttl: int) -> DataFrame |
     long_keys = spans.filter(F.col("_last") - F.col("_at.clock") >= ttl).select("_key", "_at")
     salted = slim.withColumn("_salt", F.pmod(F.col("_at.seq"), F.lit(_SALTS)).cast("int"))
     rest = reliable_checkpoint(_after(salted, long_keys, ttl))
+    if rest.isEmpty():
+        return None
     found = None
     candidates = rest
     while True:

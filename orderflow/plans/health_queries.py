@@ -149,7 +149,7 @@ def trace_order(spark, sf):
     ),
 )
 def latency_percentiles(spark, sf):
-    return _round6(Y.latency_percentiles(I.log_events(spark, sf)), "p50", "p95", "p99")
+    return _round6(Y.latency_percentiles(I.log_table(spark, sf)), "p50", "p95", "p99")
 
 
 @query(
@@ -160,7 +160,7 @@ def latency_percentiles(spark, sf):
     ),
 )
 def latency_percentiles_per_minute(spark, sf):
-    logs = I.log_events(spark, sf).withColumn("minute", F.date_trunc("minute", "timestamp"))
+    logs = I.log_table(spark, sf).withColumn("minute", F.date_trunc("minute", "timestamp"))
     return _round6(Y.latency_percentiles(logs, ["minute"]), "p50", "p95", "p99")
 
 
@@ -172,7 +172,7 @@ def latency_percentiles_per_minute(spark, sf):
     ),
 )
 def latency_by_operator(spark, sf):
-    return _round6(Y.latency_by_operator(I.log_events(spark, sf)), "p95", "p99")
+    return _round6(Y.latency_by_operator(I.log_table(spark, sf)), "p95", "p99")
 
 
 @query(
@@ -185,7 +185,7 @@ def latency_by_operator(spark, sf):
     ),
 )
 def latency_by_region(spark, sf):
-    logs = I.log_events(spark, sf).withColumn("region", region_of(F.col("customer_id")))
+    logs = I.log_table(spark, sf).withColumn("region", region_of(F.col("customer_id")))
     return _round6(Y.latency_by_region(logs), "p99")
 
 
@@ -434,13 +434,13 @@ def missing_windows(spark, sf):
 )
 def conservation(spark, sf):
     """Every raw record is on time, late, rejected or a duplicate."""
-    checked = I.validated(spark, sf)
-    flagged = I.staged(I.flagged_orders(spark, sf), "flagged")
+    checked = I.checked_table(spark, sf)
+    flagged = I.staged(I.flagged_orders(spark, sf, checked), "flagged")
     on_time, late = L.route_late(flagged.filter(~F.col("is_dup")))
     rejected = V.route(checked)[1].select("arrival_ts").unionByName(
         flagged.filter("is_dup").select("arrival_ts")
     )
-    return Q.conservation(I.raw_orders(spark, sf), on_time, rejected, late)
+    return Q.conservation(checked, on_time, rejected, late)
 
 
 @query("Q6_uniqueness", sql("SELECT count(*) AS total, count(DISTINCT order_id) AS distinct_keys, count(*) = count(DISTINCT order_id) AS is_unique FROM processed"))
@@ -469,8 +469,9 @@ def dedup_ratio(spark, sf):
     ),
 )
 def reconcile_counts(spark, sf):
+    checked = I.checked_table(spark, sf)
     return Q.reconcile_counts(
-        I.raw_orders(spark, sf), I.processed_orders(spark, sf), V.route(I.validated(spark, sf))[1]
+        checked, I.processed_orders(spark, sf, checked), V.route(checked)[1]
     )
 
 
@@ -511,8 +512,9 @@ def hourly_gaps(spark, sf):
     ),
 )
 def sample_audit(spark, sf):
+    checked = I.checked_table(spark, sf)
     return Q.sample_audit(
-        I.valid_orders(spark, sf), I.processed_orders(spark, sf), "order_id", ["amount", "status"]
+        V.route(checked)[0], I.processed_orders(spark, sf, checked), "order_id", ["amount", "status"]
     ).drop("source_copies")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderflow import constants as C
-from orderflow.functions import scalar as S
 from orderflow.operators.dedup import flag_duplicates
 from orderflow.operators.enrich import enrich_orders
 from orderflow.operators.validate import route, validate_orders
@@ -49,86 +48,56 @@ def with_amount(df: DataFrame) -> DataFrame:
     return df.withColumn("v", F.col("value").cast("decimal(18,2)")).drop("value", "props")
 
 
-def pick(values: list, index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+def _array(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def customer_of(user_id: Column) -> Column:
-    return F.concat(
-        F.lit("CUST-"), pick(REGION_CODES, user_id % 7), F.lit("-"),
-        F.lpad(user_id.cast("string"), 6, "0"),
-    )
+def pick(values: list[str], index: str) -> Column:
+    return F.expr(f"get({_array(values)}, cast({index} as int))")
+
+
+CUSTOMER = f"concat('CUST-', get({_array(REGION_CODES)}, cast(user_id % 7 as int)), '-', lpad(cast(user_id as string), 6, '0'))"
 
 
 def order_id_of(number: Column) -> Column:
     return F.concat(F.lit("ORD-"), F.lpad(number.cast("string"), 9, "0"))
 
 
-def order_text(e: Column) -> Column:
-    """Order JSON of an event, with the faults of real producers mixed in."""
-
-    def fault(divisor: int) -> Column:
-        return e % divisor == 1
-
-    amount = (F.col("v") * F.lit(10)).cast("string")
-    amount = (
-        F.when(fault(61), "NaN")
-        .when(fault(103), "Infinity")
-        .when(fault(97), F.concat(F.lit("-"), amount))
-        .when(fault(101), "1000000.00")
-        .when(fault(53), F.concat(amount, F.lit("5")))
-        .otherwise(amount)
-    )
-    customer = F.when(fault(107), "null").otherwise(
-        F.concat(F.lit('"'), customer_of(F.col("user_id")), F.lit('"'))
-    )
-    status = F.when(fault(83), "unknown").otherwise(
-        F.when(F.col("event_type") == "purchase", "confirmed").otherwise("shipped")
-    )
-    late = F.when(e % 50 == 0, 1800).otherwise(0)
-    at = F.timestamp_micros(F.unix_micros("ts") - late * F.lit(1_000_000).cast("bigint"))
-    stamp = (
-        F.when(fault(113), "123")
-        .when(fault(79), '"not-a-time"')
-        .otherwise(
-            F.concat(F.lit('"'), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('Z"'))
-        )
-    )
-    items = F.when(fault(109), '"x"').otherwise((e % 7 + 1).cast("string"))
-    text = F.concat(
-        F.lit('{"order_id":"'), order_id_of(e), F.lit('","customer_id":'), customer,
-        F.lit(',"amount":"'), amount,
-        F.lit('","currency":"'), F.when(fault(89), "ZZZ").otherwise("USD"), F.lit('"'),
-        F.when(fault(71), "").otherwise(F.concat(F.lit(',"status":"'), status, F.lit('"'))),
-        F.lit(',"timestamp":'), stamp,
-        F.lit(',"items_count":'), items,
-        F.when(fault(67), ',"extra":1').otherwise(""),
-        F.lit("}"),
-    )
-    return F.when(fault(73), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+# Order JSON of an event, with the faults of real producers mixed in.
+_AMOUNT = "cast(v * 10 as string)"
+_WHOLE_TEXT = f"""concat(
+  '{{"order_id":"ORD-', lpad(cast(event_id as string), 9, '0'),
+  '","customer_id":', if(event_id % 107 = 1, 'null', concat('"', {CUSTOMER}, '"')),
+  ',"amount":"', case
+     when event_id % 61 = 1 then 'NaN' when event_id % 103 = 1 then 'Infinity'
+     when event_id % 97 = 1 then concat('-', {_AMOUNT}) when event_id % 101 = 1 then '1000000.00'
+     when event_id % 53 = 1 then concat({_AMOUNT}, '5') else {_AMOUNT} end,
+  '","currency":"', if(event_id % 89 = 1, 'ZZZ', 'USD'), '"',
+  if(event_id % 71 = 1, '', concat(',"status":"', case
+     when event_id % 83 = 1 then 'unknown' when event_type = 'purchase' then 'confirmed'
+     else 'shipped' end, '"')),
+  ',"timestamp":', case
+     when event_id % 113 = 1 then '123' when event_id % 79 = 1 then '"not-a-time"'
+     else concat('"', date_format(ts - if(event_id % 50 = 0, interval 30 minutes, interval 0 minutes),
+                                  "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), 'Z"') end,
+  ',"items_count":', if(event_id % 109 = 1, '"x"', cast(event_id % 7 + 1 as string)),
+  if(event_id % 67 = 1, ',"extra":1', ''), '}}')"""
 
 
 def raw_orders_of(ev: DataFrame) -> DataFrame:
     """Raw order texts with their arrival; every 20th order is re-sent, some past the memory."""
-    e = F.col("event_id")
-    copies = (
-        F.when(e % 100 == 3, F.array(*[F.lit(i) for i in range(4)]))
-        .when(e % 20 == 3, F.array(F.lit(0), F.lit(1)))
-        .otherwise(F.array(F.lit(0)))
-    )
-    arrival = F.timestamp_micros(
-        F.unix_micros("ts") + pick(COPY_HOURS, F.col("copy_no")) * F.lit(3_600_000_000)
-    )
-    return (
-        ev.withColumn("copy_no", F.explode(copies))
-        .withColumn("arrival_ts", arrival)
-        .select(
-            order_text(e).alias("value"),
-            F.lit(C.RAW_TOPIC).alias("topic"),
-            (e % 3).cast("int").alias("partition"),
-            (F.unix_micros("arrival_ts") * 4 + F.col("copy_no")).alias("arrival_seq"),
-            "arrival_ts",
-        )
+    copies = "case when event_id % 100 = 3 then array(0, 1, 2, 3) when event_id % 20 = 3 then array(0, 1) else array(0) end"
+    hours = ", ".join(map(str, COPY_HOURS))
+    return ev.selectExpr("*", f"explode({copies}) as copy_no").selectExpr(
+        "*",
+        f"timestamp_micros(unix_micros(ts) + array({hours})[copy_no] * 3600000000L) as arrival_ts",
+        f"{_WHOLE_TEXT} as whole_text",
+    ).selectExpr(
+        "if(event_id % 73 = 1, substring(whole_text, 1, length(whole_text) - 1), whole_text) as value",
+        f"'{C.RAW_TOPIC}' as topic",
+        "cast(event_id % 3 as int) as partition",
+        "unix_micros(arrival_ts) * 4 + copy_no as arrival_seq",
+        "arrival_ts",
     )
 
 
@@ -165,19 +134,29 @@ VALID_COLUMNS = [
 ]
 
 
-def flagged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def checked_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every raw record once, parsed, judged and enriched, as a table: one parse serves all readers."""
+    checked = enrich_orders(validated(spark, sf_dir), processed_at())
+    return staged(checked.select("value", *VALID_COLUMNS, "error_type", "error_message"), "checked")
+
+
+def flagged_orders(spark: SparkSession, sf_dir: str, checked: DataFrame | None = None) -> DataFrame:
     """Valid orders with ``is_dup``."""
-    return flag_duplicates(staged(valid_orders(spark, sf_dir).select(*VALID_COLUMNS), "valid"))
+    if checked is None:
+        valid = staged(valid_orders(spark, sf_dir).select(*VALID_COLUMNS), "valid")
+    else:
+        valid = route(checked)[0].select(*VALID_COLUMNS)
+    return flag_duplicates(valid)
 
 
-def processed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flagged_orders(spark, sf_dir).filter(~F.col("is_dup")).drop("is_dup")
+def processed_orders(spark: SparkSession, sf_dir: str, checked: DataFrame | None = None) -> DataFrame:
+    return flagged_orders(spark, sf_dir, checked).filter(~F.col("is_dup")).drop("is_dup")
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(
         F.date_trunc("second", "ts").alias("datetime"),
-        pick(C.TICKERS, F.col("user_id") % 10).alias("ticker"),
+        pick(C.TICKERS, "user_id % 10").alias("ticker"),
         (F.col("v") + 50).cast("double").alias("price"),
         (F.col("event_id") % 1000).alias("volume"),
         "event_id",
@@ -197,35 +176,32 @@ def tick_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LOG_RECORD = f"""struct(
+  concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), 'Z') as timestamp,
+  if(event_type = 'error', 'ERROR', 'INFO') as level, 'order_processor' as logger,
+  concat('order ', event_type) as message, md5(order_id) as correlation_id, order_id,
+  {CUSTOMER} as customer_id, concat('sess-', user_id) as session_id,
+  get({_array(OPERATORS)}, cast(event_id % 5 as int)) as operator,
+  cast(floor(v * 20) as int) as latency_ms,
+  if(event_type = 'error', 'error', 'success') as status,
+  if(event_type = 'error', get({_array(C.LOG_ERROR_TYPES)}, cast(user_id % 5 as int)), null) as error_type,
+  if(event_type = 'error', 'ERR-001', null) as error_code,
+  if(event_type = 'error', 'failed', null) as error_message,
+  'prod' as environment, concat('order-processor-', event_id % 4) as environment_replica,
+  struct(concat('/v1/customers/', user_id) as api_endpoint,
+         cast(floor(v * 10) as int) as api_latency_ms, event_id % 3 <> 0 as cache_hit) as context)"""
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, v = F.col("event_id"), F.col("v")
-    is_error = F.col("event_type") == "error"
-    error = F.when(is_error, pick(C.LOG_ERROR_TYPES, F.col("user_id") % 5))
-    order = order_id_of(F.floor(e / 5))
-    record = F.struct(
-        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("timestamp"),
-        F.when(is_error, "ERROR").otherwise("INFO").alias("level"),
-        F.lit("order_processor").alias("logger"),
-        F.concat(F.lit("order "), F.col("event_type")).alias("message"),
-        F.md5(order).alias("correlation_id"),
-        order.alias("order_id"),
-        customer_of(F.col("user_id")).alias("customer_id"),
-        F.concat(F.lit("sess-"), F.col("user_id")).alias("session_id"),
-        pick(OPERATORS, e % 5).alias("operator"),
-        F.floor(v * 20).cast("int").alias("latency_ms"),
-        F.when(is_error, "error").otherwise("success").alias("status"),
-        error.alias("error_type"),
-        F.when(is_error, "ERR-001").alias("error_code"),
-        F.when(is_error, "failed").alias("error_message"),
-        F.lit("prod").alias("environment"),
-        F.concat(F.lit("order-processor-"), e % 4).alias("environment_replica"),
-        F.struct(
-            F.concat(F.lit("/v1/customers/"), F.col("user_id")).alias("api_endpoint"),
-            F.floor(v * 10).cast("int").alias("api_latency_ms"),
-            (e % 3 != 0).alias("cache_hit"),
-        ).alias("context"),
+    ev = events(spark, sf_dir).selectExpr(
+        "*", "concat('ORD-', lpad(cast(floor(event_id / 5) as string), 9, '0')) as order_id"
     )
-    return events(spark, sf_dir).select(F.to_json(record).alias("value"))
+    return ev.selectExpr(f"to_json({_LOG_RECORD}) as value")
+
+
+def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed log events as a table, for operators that read their input more than once."""
+    return staged(log_events(spark, sf_dir), "log-events")
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,33 +209,25 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, kind = F.col("v"), F.col("event_id") % 11
-
-    def times(text: str) -> Column:
-        return v * F.lit(text).cast("decimal(6,3)")
-
     shapes = [
-        ("DLQRecordCount", v),
-        ("checkpoint_failures_total", F.floor(v / 300)),
-        ("kafka_broker_alive_count", F.lit(3) - F.floor(v / 200)),
-        ("firehose_failed_put_count", F.floor(v / 350)),
-        ("consumer_lag_records", times("300")),
-        ("LatencyP99", times("20")),
-        ("WindowCompleteness", F.lit(100) - times("0.05")),
-        ("memory_usage_percentage", F.lit(50) + times("0.125")),
-        ("checkpoint_duration_ms", times("150")),
-        ("DuplicateRecordDetected", times("0.1")),
-        ("kafka_deserialization_errors_total", times("0.025")),
+        ("DLQRecordCount", "v"),
+        ("checkpoint_failures_total", "floor(v / 300)"),
+        ("kafka_broker_alive_count", "3 - floor(v / 200)"),
+        ("firehose_failed_put_count", "floor(v / 350)"),
+        ("consumer_lag_records", "v * 300"),
+        ("LatencyP99", "v * 20"),
+        ("WindowCompleteness", "100 - v * 0.05"),
+        ("memory_usage_percentage", "50 + v * 0.125"),
+        ("checkpoint_duration_ms", "v * 150"),
+        ("DuplicateRecordDetected", "v * 0.1"),
+        ("kafka_deserialization_errors_total", "v * 0.025"),
     ]
-    value = None
-    for i, (_, shape) in enumerate(shapes):
-        column = shape.cast("double")
-        value = F.when(kind == i, column) if value is None else value.when(kind == i, column)
+    cases = " ".join(f"when {i} then cast({x} as double)" for i, (_, x) in enumerate(shapes))
     return events(spark, sf_dir).select(
         "ts",
-        pick([name for name, _ in shapes], kind).alias("metric_name"),
+        pick([name for name, _ in shapes], "event_id % 11").alias("metric_name"),
         F.create_map(F.lit("environment"), F.lit("prod")).alias("dims"),
-        value.alias("value"),
+        F.expr(f"case event_id % 11 {cases} end").alias("value"),
         "event_id",
     )
 

@@ -192,8 +192,9 @@ def route(spark, sf):
 )
 def union_dlq(spark, sf):
     at = S.iso_text(F.col("arrival_ts"))
-    rejected = V.to_dlq(V.route(I.validated(spark, sf))[1], at)
-    repeated = D.duplicates_to_dlq(I.flagged_orders(spark, sf), F.lit(None).cast("string"))
+    checked = I.checked_table(spark, sf)
+    rejected = V.to_dlq(V.route(checked)[1], at)
+    repeated = D.duplicates_to_dlq(I.flagged_orders(spark, sf, checked), F.lit(None).cast("string"))
     return (
         V.union_dlq(rejected, repeated)
         .groupBy("error_type", "attempted_order_id", "error_message")

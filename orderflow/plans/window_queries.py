@@ -302,7 +302,7 @@ def point_in_time(spark, sf):
     """Each order with its customer's latest log event at or before it."""
     labels = I.valid_orders(spark, sf).select("customer_id", "arrival_seq", "event_time")
     return X.point_in_time(
-        labels, I.log_events(spark, sf), "customer_id", "event_time", "timestamp",
+        I.staged(labels, "labels"), I.log_table(spark, sf), "customer_id", "event_time", "timestamp",
         ["latency_ms", "operator"], tie="order_id",
     )
 
@@ -328,7 +328,7 @@ _SPANS = {"1h": 3600, "1d": 86400, "7d": 7 * 86400}
 )
 def customer_history(spark, sf):
     orders = I.valid_orders(spark, sf).select("customer_id", "arrival_seq", "event_time", "amount")
-    return X.customer_history(orders, "customer_id", "event_time", "amount", _SPANS).drop(
+    return X.customer_history(I.staged(orders, "history"), "customer_id", "event_time", "amount", _SPANS).drop(
         "event_time", "amount"
     )
 
