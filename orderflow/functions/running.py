@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderflow.functions.scalar import floor_div
+
 _FUNCTIONS = {"sum": F.sum, "max": F.max}
 
 
@@ -42,7 +44,7 @@ def running(
     slice size on the ``order`` axis. Without keys a second level of ``fan`` slices keeps the last,
     unkeyed step to one row per ``width * fan``.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
+    sliced = df.withColumn("_slice", floor_div(F.col(order), width))
     last = 0 if include_current else -1
     inside = Window.partitionBy(*keys, "_slice").orderBy(order).rangeBetween(
         Window.unboundedPreceding, last

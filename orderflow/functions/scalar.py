@@ -105,6 +105,12 @@ def minute(ts: Column) -> Column:
     return F.date_trunc("minute", ts)
 
 
+def floor_div(number: Column, width: int) -> Column:
+    """Whole-number division rounded down, exact for any bigint (a ``/`` would go through double)."""
+    step = F.lit(width).cast("bigint")
+    return F.call_function("div", number - F.pmod(number, step), step)
+
+
 def time_bin(ts: Column, seconds: int) -> Column:
     """Start of the epoch-aligned bin of ``seconds`` that holds ``ts``.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions.running import running
+from orderflow.functions.scalar import floor_div
 
 _HOUR_US = 3600 * 1_000_000
 
@@ -152,7 +153,7 @@ def customer_history(
         columns.append(
             (F.col("_rv_in") - F.col(f"_rv_{span}")).cast("decimal(38,6)").alias(f"amount_{span}")
         )
-    columns.append(F.floor((F.col("_at") - F.col("_before")) / 1_000_000).alias("recency_s"))
+    columns.append(floor_div(F.col("_at") - F.col("_before"), 1_000_000).alias("recency_s"))
     return totals.select(*columns)
 
 

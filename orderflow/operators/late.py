@@ -127,7 +127,7 @@ def watermark_lag(
     seen = running(
         per_minute, [], "_minute_no", 3600, {"_seen": ("max", "_max_us")}, include_current=True
     )
-    lag = (F.col("_minute_no") + 60) * 1000 - F.floor(F.col("_seen") / 1000)
+    lag = (F.col("_minute_no") + 60) * 1000 - S.floor_div(F.col("_seen"), 1000)
     return seen.select(
         "minute",
         F.timestamp_micros(F.col("_seen") - lateness_seconds * 1_000_000).alias("watermark"),

@@ -96,7 +96,7 @@ def missing_bins(df: DataFrame, ts: str, seconds: int, name: str) -> DataFrame:
     """
     bins = df.select(S.time_bin(F.col(ts), seconds).alias("_bin")).filter("_bin is not null").distinct()
     at = bins.select(
-        F.unix_seconds("_bin").alias("_at"), F.floor(F.unix_seconds("_bin") / 86400).alias("_day")
+        F.unix_seconds("_bin").alias("_at"), S.floor_div(F.unix_seconds("_bin"), 86400).alias("_day")
     )
     inside = at.withColumn("_next", F.lead("_at").over(Window.partitionBy("_day").orderBy("_at")))
     days = at.groupBy("_day").agg(F.min("_at").alias("_first"), F.max("_at").alias("_at"))

@@ -95,7 +95,7 @@ def sessions(
     """
     gap = gap_seconds * 1_000_000
     at = F.unix_micros(ts)
-    fragments = df.groupBy(F.col(key), F.floor(at / F.lit(gap)).alias("_slice")).agg(
+    fragments = df.groupBy(F.col(key), S.floor_div(at, gap).alias("_slice")).agg(
         F.min(at).alias("_first"),
         F.max(at).alias("_last"),
         F.count("*").alias("_n"),
