@@ -15,13 +15,25 @@ def _literal_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def classify_schema_errors(fields: Column, document: Column, amount: Column, event: Column) -> Column:
+def classify_schema_errors(
+    text: Column, document: Column, fields: Column, amount: Column, event: Column
+) -> Column:
     """Why a text does not fit the order contract, or NULL.
 
-    ``document`` is the parsed text (NULL when it is not JSON, a one-element list otherwise),
-    ``fields`` its key/value map (NULL when it is not an object), ``amount`` and ``event`` the
-    parsed number and time. The key set is strict both ways.
+    ``document`` is the text parsed as the only element of a list, ``fields`` its key/value map
+    (NULL when it is not an object), ``amount`` and ``event`` the parsed number and time. The key
+    set is strict both ways. A text with a ``]`` could close the list itself, so only such a text is
+    parsed a second time, as the value of an object.
     """
+    closes_list = text.contains("]") & F.try_parse_json(
+        F.concat(F.lit('{"v":'), text, F.lit("}"))
+    ).isNull()
+    not_json = (
+        document.isNull()
+        | F.try_variant_get(document, "$[0]", "variant").isNull()
+        | F.try_variant_get(document, "$[1]", "variant").isNotNull()
+        | closes_list
+    )
     keys, required = F.map_keys(fields), _literal_array(ORDER_KEYS)
     missing, extra = F.array_except(required, keys), F.array_except(keys, required)
     timestamp_is_text = (
@@ -29,10 +41,7 @@ def classify_schema_errors(fields: Column, document: Column, amount: Column, eve
     )
     fits = (F.size(keys) == len(ORDER_KEYS)) & (F.size(missing) == 0)
     return (
-        F.when(
-            document.isNull() | F.try_variant_get(document, "$[1]", "variant").isNotNull(),
-            "Invalid JSON: text is not one JSON document",
-        )
+        F.when(not_json, "Invalid JSON: text is not one JSON document")
         .when(fields.isNull(), "Unexpected error: not a JSON object")
         .when(
             ~fits,
@@ -75,8 +84,9 @@ def parse_orders(df: DataFrame, value: str = "value") -> DataFrame:
         )
         .select(
             "*",
-            classify_schema_errors(fields, F.col("_doc"), F.col("amount_double"), F.col("_event"))
-            .alias("schema_error"),
+            classify_schema_errors(
+                F.col(value), F.col("_doc"), fields, F.col("amount_double"), F.col("_event")
+            ).alias("schema_error"),
         )
     )
     outputs = [
