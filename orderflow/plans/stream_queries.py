@@ -246,8 +246,7 @@ def archive_messages(spark, sf):
 @query("K5_write_lake_stream", "SELECT event_id, ts, event_type FROM events")
 def write_lake_stream(spark, sf):
     out = scratch_path(spark, "lake")
-    ev = I.events(spark, sf).repartition(1 if sf.endswith("0.001") else 2)
-    replay(ev, lambda s, ck: K.write_lake_stream(s, out, ck, "ts", None))
+    replay(I.events(spark, sf), lambda s, ck: K.write_lake_stream(s, out, ck, "ts", None))
     return spark.read.parquet(out).select("event_id", "ts", "event_type")
 
 

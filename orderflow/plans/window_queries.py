@@ -403,9 +403,9 @@ def last_minute_volume(spark, sf):
 # --- lake -------------------------------------------------------------------------------------
 
 
-def _lake(spark, sf, spread=1):
+def _lake(spark, sf, rows_per_file=2_000_000):
     path = I.scratch_path(spark, "lake")
-    K.write_lake(I.events(spark, sf), path, "ts", spread=spread)
+    K.write_lake(I.events(spark, sf), path, "ts", rows_per_file=rows_per_file)
     return path
 
 
@@ -442,4 +442,4 @@ def write_lake(spark, sf):
 @query("K9_compact_partitions")
 def compact_partitions(spark, sf):
     into = I.scratch_path(spark, "compact")
-    return K.compact_partitions(spark, _lake(spark, sf, spread=2), into).drop("bytes")
+    return K.compact_partitions(spark, _lake(spark, sf, rows_per_file=8), into).drop("bytes")

@@ -21,23 +21,30 @@ def with_partition_columns(df: DataFrame, ts: str) -> DataFrame:
 
 
 def write_lake(
-    df: DataFrame, path: str, ts: str, mode: str = "append", spread: int = 4,
-    max_records: int = 2_000_000,
+    df: DataFrame, path: str, ts: str, mode: str = "append", rows_per_file: int = 2_000_000
 ) -> None:
-    """Hour-partitioned gzip Parquet.
+    """Hour-partitioned gzip Parquet with files of about ``rows_per_file`` rows.
 
-    Rows are shuffled by (hour, spread) so that an hour makes few files and a busy hour still has
-    several writers; ``max_records`` splits files beyond the target size.
+    A first pass counts rows per hour; an hour is then spread over as many writers as it needs
+    files, so quiet hours make one file and an hour with a third of all rows still has many
+    writers. The counts are one row per hour.
     """
-    tagged = with_partition_columns(df, ts).withColumn(
-        "_spread", F.pmod(F.xxhash64(*df.columns), F.lit(spread))
+    counts = (
+        with_partition_columns(df.select(ts), ts)
+        .groupBy(*PARTITIONS)
+        .agg(F.ceil(F.count("*") / F.lit(rows_per_file)).cast("int").alias("_files"))
     )
     (
-        tagged.repartition(*PARTITIONS, "_spread")
-        .drop("_spread")
+        with_partition_columns(df, ts)
+        .join(counts, PARTITIONS, "left")
+        .withColumn(
+            "_writer", F.pmod(F.xxhash64(*df.columns), F.coalesce("_files", F.lit(1)))
+        )
+        .repartition(*PARTITIONS, "_writer")
+        .drop("_files", "_writer")
         .write.mode(mode)
         .option("compression", "gzip")
-        .option("maxRecordsPerFile", max_records)
+        .option("maxRecordsPerFile", 2 * rows_per_file)
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )

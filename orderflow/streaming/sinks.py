@@ -80,15 +80,19 @@ def archive_messages(path: str) -> Callable[[DataFrame, int], None]:
 
 def write_lake_stream(
     df: DataFrame, path: str, checkpoint: str, ts: str, interval: str | None = FLUSH_INTERVAL,
-    max_records: int = 2_000_000,
+    max_records: int = 2_000_000, writers_per_hour: int = 1,
 ) -> StreamingQuery:
     """Hour-partitioned gzip Parquet, flushed at the interval.
 
-    The file count per flush is bounded by the hours in it and ``max_records``; the size target is
-    met later by compaction.
+    A flush is shuffled by (hour, writer), so each of its hours makes ``writers_per_hour`` files
+    instead of one per task; raise it where one flush of an hour is too much for one task. The size
+    target is met later by compaction.
     """
     writer = (
         with_partition_columns(df, ts)
+        .withColumn("_writer", F.pmod(F.xxhash64(*df.columns), F.lit(writers_per_hour)))
+        .repartition(*PARTITIONS, "_writer")
+        .drop("_writer")
         .writeStream.format("parquet")
         .option("compression", "gzip")
         .option("maxRecordsPerFile", max_records)

@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from oracle import compare, connect  # noqa: E402
+from plan_checks import plan_problems  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 from orderflow.session import build_session  # noqa: E402
@@ -28,6 +29,9 @@ def main() -> int:
         start = time.time()
         try:
             df = build(spark, sf_dir)
+            flags = plan_problems(df)
+            if flags:
+                print(f"plan {name}: {flags}", flush=True)
             if name in oracles:
                 mid = time.time()
                 problems = compare(name, df, con, oracles[name])
