@@ -18,28 +18,28 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row per key with ``n``, and one double per entry of ``probabilities`` (``name -> p``).
 
-    Linear interpolation between the two neighbouring ranks. NULL values are ignored. ``width`` is
+    Linear interpolation between the two neighbouring ranks. NULL values are ignored; keys must not
+    be NULL. ``width`` is
     the slice of the value axis that one task sorts.
     """
-    tagged = keys or ["_all"]
-    source = df.filter(F.col(value).isNotNull())
-    if not keys:
-        source = source.withColumn("_all", F.lit(0))
     counts = (
-        source.groupBy(*tagged, F.col(value).cast("bigint").alias("_v"))
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("bigint").alias("_v"))
         .agg(F.count("*").alias("_cnt"))
     )
     ranked = running(
-        counts, tagged, "_v", width, {"_upto": ("sum", "_cnt")}, include_current=True
+        counts, keys, "_v", width, {"_upto": ("sum", "_cnt")}, include_current=True
     )
-    totals = counts.groupBy(*tagged).agg(F.sum("_cnt").alias("n"))
-    ranked = ranked.join(totals, tagged)
+    if keys:
+        ranked = ranked.join(counts.groupBy(*keys).agg(F.sum("_cnt").alias("n")), keys)
+    else:
+        ranked = ranked.withColumn("n", counts.agg(F.sum("_cnt")).scalar())
     picks = []
     for name, p in probabilities.items():
         position = (F.col("n") - 1) * F.lit(p)
         for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             picks.append(F.min(F.when(F.col("_upto") > rank, F.col("_v"))).alias(f"_{side}_{name}"))
-    picked = ranked.groupBy(*tagged, "n").agg(*picks)
+    picked = ranked.groupBy(*keys, "n").agg(*picks)
     outputs = []
     for name, p in probabilities.items():
         position = (F.col("n") - 1) * F.lit(p)
