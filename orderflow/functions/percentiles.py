@@ -19,8 +19,7 @@ def exact_percentiles(
     """One row per key with ``n``, and one double per entry of ``probabilities`` (``name -> p``).
 
     Linear interpolation between the two neighbouring ranks. NULL values are ignored; keys must not
-    be NULL. ``width`` is
-    the slice of the value axis that one task sorts.
+    be NULL. ``width`` is the slice of the value axis that one task sorts.
     """
     counts = (
         df.filter(F.col(value).isNotNull())

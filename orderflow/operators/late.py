@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orderflow import constants as C
 from orderflow.functions import scalar as S
 from orderflow.functions.running import running
-from orderflow.operators.windows import finish_windows, merge_accumulators, window_accumulate
+from orderflow.operators.windows import finish_windows, window_accumulate
 
 # One slice of arrivals: a minute, for arrival_seq = 4 * microseconds.
 _ARRIVAL_SLICE = 60 * 1_000_000 * 4
@@ -138,9 +138,3 @@ def watermark_lag(
         .when(F.col("watermark_lag_ms") > alarm_seconds * 1000, "lagging")
         .otherwise("ok"),
     )
-
-
-__all__ = [
-    "drop_late", "flag_late", "late_count", "latest_versions", "merge_accumulators", "route_late",
-    "watermark_lag", "windows_with_corrections", "with_seen_before",
-]
