@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orderflow.llm import licenses, mixing, quality, toxicity, warc
+from orderflow.llm import bpe, counts, licenses, mixing, quality, toxicity, warc
 from orderflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,15 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_classifier")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op6_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.report(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query("op7_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = counts.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.token_counts(read(spark, sf_dir, "documents"), pieces)

@@ -7,7 +7,7 @@ each with its largest weight a term. Vocabulary, examples and postings are bound
 broadcast.
 
 A document visits blocks in the order of their upper bounds and stops when no block can hold a nearer example than
-the ``k`` found, so the result is the exact ``k`` nearest. Their votes are weighted by similarity and smoothed by the
+the ``k`` found, so the result is the exact ``k`` nearest. Their votes are weighted by a power of their similarity and smoothed by the
 share of label 1 in the sample; documents without a known term get the share among such examples. The examples
 that voted are the evidence.
 
@@ -20,6 +20,7 @@ columns of the input stay, and new ones get underscores in front of their names
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import free_name
+from orderflow.llm.common import free_name, stored
 from orderflow.llm.labelled import labelled_sample, remainder
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -42,11 +43,12 @@ STEMS = (4, 5)
 class Params:
     most_examples: int = 4000
     most_terms: int = 1024
-    least_chi: float = 25.0
     least_count: int = 3
+    chance: float = 0.1
     k: int = 15
     block: int = 32
     smoothing: float = 0.5
+    sharpness: float = 3.0
 
 
 @dataclass
@@ -55,6 +57,7 @@ class Index:
 
     k: int
     smoothing: float
+    sharpness: float
     idf: dict[str, float]
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     y: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -92,7 +95,7 @@ def weights_of(text: str | None, idf: dict[str, float]) -> dict[str, float]:
 
 def build_index(ids, y, vectors: list[dict[str, float]], idf: dict[str, float], p: Params) -> Index:
     """Examples with like vectors share a block, which keeps the blocks' bounds tight."""
-    out = Index(p.k, p.smoothing, idf, block=p.block)
+    out = Index(p.k, p.smoothing, p.sharpness, idf, block=p.block)
     if not len(ids):
         return out
     y = np.asarray(y, float)
@@ -139,7 +142,7 @@ def nearest(query: dict[str, float], index: Index) -> list[tuple[float, int]]:
 def vote(found: list[tuple[float, int]], index: Index) -> float:
     if not found:
         return index.without_terms
-    w = np.array([s for s, _ in found])
+    w = np.array([s for s, _ in found]) ** index.sharpness
     y = index.y[[at for _, at in found]]
     return float(min(1.0, max(0.0, (w @ y + index.smoothing * index.prior) / (w.sum() + index.smoothing))))
 
@@ -161,21 +164,23 @@ def _term_counts(sample: DataFrame) -> DataFrame:
 
 
 def vocabulary(sample: DataFrame, p: Params) -> list[str]:
-    """At most ``most_terms`` terms tied to the label, strongest first."""
+    """At most ``most_terms`` terms tied to the label, strongest first. The bound on chi-squared is that of a term whose
+    documents all have label 1 and are just so many that ``chance`` of all tested terms would get there by luck."""
     n1, n0 = sample.agg(
         F.coalesce(F.count_if(F.col("y") > 0), F.lit(0)), F.coalesce(F.count_if(F.col("y") <= 0), F.lit(0))
     ).first()
     if not n1 or not n0:
         return []
+    counts = stored(_term_counts(sample).filter(F.col("a") + F.col("b") >= p.least_count), "toxicity-terms")
+    share = n1 / (n1 + n0)
+    enough = max(p.least_count, math.ceil(math.log(max(1, counts.count()) / p.chance) / -math.log(share)))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     c, d = F.lit(float(n1)) - a, F.lit(float(n0)) - b
     below = (a + b) * (c + d) * n1 * n0
     chi = F.when(below > 0, (n1 + n0) * (a * d - b * c) * (a * d - b * c) / below)
     rows = (
-        _term_counts(sample)
-        .filter(F.col("a") + F.col("b") >= p.least_count)
-        .withColumn("chi", chi)
-        .filter(F.col("chi") >= p.least_chi)
+        counts.withColumn("chi", chi)
+        .filter(F.col("chi") >= 0.99 * enough * (1 - share) / share)
         .orderBy(F.desc("chi"), "term")
         .limit(p.most_terms)
         .select("term")

@@ -20,6 +20,7 @@ share id and payload are one response each (they are the same record); an empty
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -195,15 +196,20 @@ RECORDS = (
 _RECORD_KINDS = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
 
 
-def read_bundles(spark: SparkSession, folder: str, index: DataFrame, with_payload: bool = True) -> DataFrame:
+def read_bundles(
+    spark: SparkSession, folder: str, index: DataFrame, with_payload: bool = True, task_bytes: int = 32 << 20
+) -> DataFrame:
     """All indexed records, read back from the archives.
 
-    Tasks get frames, not records or files: a frame is fetched once by its place in the bundle, and the
-    size its footer states is checked."""
+    Tasks get frames, not records or files: a frame is fetched once, by its place in the bundle. The number of tasks
+    follows the bytes of the frames, which the index knows and the rows that name them do not show."""
     frames = index.groupBy("bundle", "frame", "frame_at", "frame_bytes").agg(
         F.collect_list(F.struct("record_at", "record_bytes")).alias("places")  # bounded by the size of a frame
     )
 
+    total = frames.agg(F.coalesce(F.sum("frame_bytes"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / task_bytes))
+
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = pa.fs.FileSystem.from_uri(folder)
         unpress = zstandard.ZstdDecompressor()
@@ -219,7 +225,7 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame, with_payloa
                     [pa.array([r[n] for r in records], kind) for n, kind in zip(names, _RECORD_KINDS)], names=names
                 )
 
-    return frames.mapInArrow(load, RECORDS)
+    return frames.repartition(tasks, "bundle", "frame").mapInArrow(load, RECORDS)
 
 
 def archive(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
