@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orderflow.llm import bpe, counts, licenses, mixing, quality, toxicity, warc
+from orderflow.llm import bpe, counts, fingerprints, licenses, mixing, quality, toxicity, warc
 from orderflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = counts.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return counts.token_counts(read(spark, sf_dir, "documents"), pieces)
+
+
+@query("op2_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_report(read(spark, sf_dir, "documents"))

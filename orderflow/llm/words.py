@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import stored
+from orderflow.llm.common import spans, stored
 
 #: A splitter turns a text into its words; an answerer turns words (in any order) into one tuple of numbers each.
 Splitter = Callable[[str], list[str]]
@@ -150,13 +150,6 @@ def answered(blocks: DataFrame, answerer: Callable[[], Answerer]) -> DataFrame:
     return rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("base", "sizes", "numbers"))).alias("answers"))
 
 
-def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The positions of consecutive runs, one after the other."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) - np.repeat(ends - sizes - starts, sizes)
-
-
 def _slices(lengths: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, int]]:
     """Runs of documents with about ``most`` words together: first, end, words."""
     ends = np.cumsum(lengths)
