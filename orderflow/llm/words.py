@@ -3,15 +3,15 @@
 Exploding every word of every text into a row of its own would move many times the input. So words and
 positions travel packed, in blocks of documents:
 
-1. Split: a task cuts its documents into blocks (closed at ``most_words`` distinct words or ``most_bytes`` of text). A
-   block has the distinct words it uses, dealt into buckets by their hash, and each document's words as positions in
-   that list. Blocks are stored, so nothing depends on a second evaluation.
+1. Split: a task cuts its documents into blocks (closed at ``most_words`` words). A block has the distinct words it
+   uses, most frequent first and dealt into buckets by their hash, and each document's words as ranks in that list, a
+   byte each for the 255 most frequent ones. Blocks are stored, so nothing depends on a second evaluation.
 2. Answer: the word lists are shuffled by bucket and every distinct word is answered once in its bucket. However
    frequent a word is, it comes once a block.
 3. Reassemble: the answers are shuffled by block, meet the block's positions, and the documents come out.
 
 The number of buckets is the session's number of shuffle partitions, so a bucket's share of the vocabulary is as large as
-any partition; a task holds the words of one partition and one block. A text longer than ``most_bytes`` is a block alone.
+any partition; a task holds the words of one partition and one block. A text of more than ``most_words`` words is a block alone.
 """
 
 from __future__ import annotations
@@ -33,7 +33,47 @@ from orderflow.llm.common import spans, stored
 Splitter = Callable[[str], list[str]]
 Answerer = Callable[[list[str]], list[list[int]]]
 
-_BLOCKS = "block string, keys array<{kind}>, lengths array<bigint>, places binary, bucket int, base bigint, words array<string>"
+_BLOCKS = "block string, keys array<{kind}>, lengths array<bigint>, places binary, owners binary, bucket int, words binary"
+_NAMES = ["block", "keys", "lengths", "places", "owners", "bucket", "words"]
+_ESCAPE = 255
+
+
+def pack_places(ranks: np.ndarray) -> bytes:
+    """Ranks as one byte each, and those from 255 on also as byte planes, compressed."""
+    press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+    far = (ranks[ranks >= _ESCAPE] - _ESCAPE).astype(np.uint32)
+    planes = far.view(np.uint8).reshape(-1, 4).T
+    return press.compress(np.minimum(ranks, _ESCAPE).astype(np.uint8).tobytes() + planes.tobytes())
+
+
+def unpack_places(data: bytes, total: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    out = raw[:total].astype(np.uint32)
+    planes = raw[total:].reshape(4, -1)
+    out[out == _ESCAPE] += np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
+    return out
+
+
+def pack_words(words: list[str]) -> bytes:
+    data = [w.encode() for w in words]
+    head = np.array([len(data), *map(len, data)], np.uint32).tobytes()
+    return zstandard.ZstdCompressor(level=3, write_content_size=True).compress(head + b"".join(data))
+
+
+def unpack_words(data: bytes) -> list[str]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64) + 4 * (n + 1)
+    out, begin = [], 4 * (n + 1)
+    for end in ends.tolist():
+        out.append(raw[begin:end].decode())
+        begin = end
+    return out
+
+
+def by_bucket(owners: np.ndarray) -> np.ndarray:
+    """Ranks in the order in which the buckets have them: by bucket, then by rank."""
+    return np.argsort(owners, kind="stable")
 
 
 class _Places(dict):
@@ -44,113 +84,105 @@ class _Places(dict):
         return place
 
 
-def split_blocks(
-    docs: DataFrame, key: str, text: str, splitter: Callable[[], Splitter], most_words: int = 60_000, most_bytes: int = 32 << 20
-) -> DataFrame:
-    """The stored blocks: a row with the documents' positions, and a row for each bucket of words."""
+def split_blocks(docs: DataFrame, key: str, text: str, splitter: Callable[[], Splitter], most_words: int = 4_000_000) -> DataFrame:
+    """The stored blocks: a row with the documents' words as ranks, and a row for each bucket of distinct words."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType
     plain_key = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, press = splitter(), zstandard.ZstdCompressor(level=3, write_content_size=True)
-        part, number = TaskContext.get().partitionId(), 0
+        words_of, part, number = splitter(), TaskContext.get().partitionId(), 0
         places, keys, found, size = _Places(), [], [], 0
 
-        def block() -> Iterator[pa.RecordBatch]:
-            nonlocal places, keys, found, size, number
-            name = f"{part}-{number}"
+        def block() -> pa.RecordBatch:
+            """One row for the documents, and one for each bucket."""
+            flat = np.concatenate(found)
+            frequent = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")
+            rank = np.empty(len(places), np.uint32)
+            rank[frequent] = np.arange(len(places), dtype=np.uint32)
             words = list(places)
-            own = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % buckets
-            order = np.argsort(own, kind="stable")
-            moved = np.empty(len(words), np.uint32)
-            moved[order] = np.arange(len(words), dtype=np.uint32)
-            if len(words) <= 1 << 16:
-                moved = moved.astype(np.uint16)
-            flat = moved[np.concatenate(found)] if len(words) else moved
-            yield pa.RecordBatch.from_arrays(
+            words = [words[i] for i in frequent.tolist()]
+            owners = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.uint32, len(words))
+            order = by_bucket(owners)
+            edges = np.flatnonzero(np.diff(owners[order].astype(np.int64), prepend=-1)).tolist()
+            runs = [order[a:b].tolist() for a, b in zip(edges, [*edges[1:], len(words)])]
+            n = len(runs)
+            press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+            return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([name]),
-                    pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)),
-                    pa.array([[len(f) for f in found]], pa.list_(pa.int64())),
-                    pa.array([bytes([moved.itemsize]) + press.compress(flat.tobytes())], pa.binary()),
-                    pa.nulls(1, pa.int32()),
-                    pa.nulls(1, pa.int64()),
-                    pa.nulls(1, pa.list_(pa.string())),
+                    pa.array([f"{part}-{number}"] * (n + 1)),
+                    pa.array([pa.concat_arrays(keys).to_pylist(), *[None] * n], pa.list_(keys[0].type)),
+                    pa.array([[len(f) for f in found], *[None] * n], pa.list_(pa.int64())),
+                    pa.array([pack_places(rank[flat]), *[None] * n], pa.binary()),
+                    pa.array([press.compress(owners.tobytes()), *[None] * n], pa.binary()),
+                    pa.array([None, *[int(owners[run[0]]) for run in runs]], pa.int32()),
+                    pa.array([None, *[pack_words([words[i] for i in run]) for run in runs]], pa.binary()),
                 ],
-                names=["block", "keys", "lengths", "places", "bucket", "base", "words"],
+                names=_NAMES,
             )
-            if words:
-                edges = np.flatnonzero(np.diff(own[order], prepend=-1))
-                spans = list(zip(edges.tolist(), [*edges[1:].tolist(), len(words)]))
-                n = len(spans)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * n),
-                        pa.nulls(n, pa.list_(keys[0].type)),
-                        pa.nulls(n, pa.list_(pa.int64())),
-                        pa.nulls(n, pa.binary()),
-                        pa.array([int(own[order[a]]) for a, _ in spans], pa.int32()),
-                        pa.array([a for a, _ in spans], pa.int64()),
-                        pa.array([[words[i] for i in order[a:b]] for a, b in spans], pa.list_(pa.string())),
-                    ],
-                    names=["block", "keys", "lengths", "places", "bucket", "base", "words"],
-                )
-            places, keys, found, size = _Places(), [], [], 0
-            number += 1
 
         for batch in batches:
             for i, value in enumerate(batch["text"]):
                 words = words_of(value.as_py() or "")
                 keys.append(batch["key"][i : i + 1])
                 found.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
-                size += 4 * len(words)
-                if len(places) >= most_words or size >= most_bytes:
-                    yield from block()
+                size += len(words)
+                if size >= most_words:
+                    yield block()
+                    places, keys, found, size, number = _Places(), [], [], 0, number + 1
         if keys:
-            yield from block()
+            yield block()
 
     schema = T.StructType.fromDDL(_BLOCKS.format(kind=kind.simpleString()))
-    return stored(plain_key.mapInArrow(split, schema), "word-blocks")
+    return stored(plain_key.mapInArrow(split, schema), "word-blocks", compression="zstd")
 
 
 def answered(blocks: DataFrame, answerer: Callable[[], Answerer]) -> DataFrame:
-    """``block`` and its ``answers``: an array of (base, lengths, values) for runs of its words. The values of each word
-    are computed once in the bucket that the word belongs to."""
-    lists = blocks.filter(F.col("bucket").isNotNull()).select("bucket", "block", "base", "words")
+    """``block`` and its ``answers``: for each of its buckets the numbers of its words, in their order. The numbers of a word are computed
+    once, in the bucket that the word belongs to."""
+    lists = blocks.filter(F.col("bucket").isNotNull()).select("bucket", "block", "words")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[str, int, np.ndarray]] = []
         places = _Places()
         for batch in batches:
-            for block, base, words in zip(batch["block"].to_pylist(), batch["base"].to_pylist(), batch["words"].to_pylist()):
-                rows.append((block, base, np.fromiter(map(places.__getitem__, words), np.int64, len(words))))
+            for bucket, block, packed in zip(batch["bucket"].to_pylist(), batch["block"].to_pylist(), batch["words"]):
+                words = unpack_words(packed.as_py())
+                rows.append((block, bucket, np.fromiter(map(places.__getitem__, words), np.int64, len(words))))
         if not rows:
             return
-        values = answerer()(list(places))
-        sizes = np.fromiter(map(len, values), np.int64, len(values))
-        flat = np.fromiter((v for one in values for v in one), np.int32, int(sizes.sum()))
+        numbers = answerer()(list(places))
+        sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
+        flat = np.fromiter((v for one in numbers for v in one), np.uint32, int(sizes.sum()))
+        del numbers, places
         starts = np.cumsum(sizes) - sizes
-        for begin in range(0, len(rows), 256):
-            some = rows[begin : begin + 256]
+        press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for begin in range(0, len(rows), 64):
+            some = rows[begin : begin + 64]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in some], pa.string()),
-                    pa.array([r[1] for r in some], pa.int64()),
-                    pa.array([sizes[r[2]].astype(np.uint32).tobytes() for r in some], pa.binary()),
-                    pa.array([flat[spans(starts[r[2]], sizes[r[2]])].tobytes() for r in some], pa.binary()),
+                    pa.array([r[1] for r in some], pa.int32()),
+                    pa.array([press.compress(sizes[r[2]].astype(np.uint32).tobytes()) for r in some], pa.binary()),
+                    pa.array([press.compress(_planes(flat[spans(starts[r[2]], sizes[r[2]])])) for r in some], pa.binary()),
                 ],
-                names=["block", "base", "sizes", "numbers"],
+                names=["block", "bucket", "sizes", "numbers"],
             )
 
-    rows = lists.repartition("bucket").select("block", "base", "words").mapInArrow(
-        answer, "block string, base bigint, sizes binary, numbers binary"
-    )
+    rows = lists.repartition("bucket").mapInArrow(answer, "block string, bucket int, sizes binary, numbers binary")
     # At most one entry a bucket and block.
-    return rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("base", "sizes", "numbers"))).alias("answers"))
+    return rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "sizes", "numbers"))).alias("answers"))
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    return numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
 
 
-def _slices(lengths: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, int]]:
+def _slices(lengths: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int, int]]:
     """Runs of documents with about ``most`` words together: first, end, words."""
     ends = np.cumsum(lengths)
     begin, done = 0, 0
@@ -164,23 +196,27 @@ def reassembled(blocks: DataFrame, answers: DataFrame, key_type: T.DataType) ->
     """``key``, ``n_words`` and ``values``: the answers of a document's words, in their order."""
     joined = (
         blocks.filter(F.col("bucket").isNull())
-        .select("block", "keys", "lengths", "places")
+        .select("block", "keys", "lengths", "places", "owners")
         .join(answers, "block", "left")
-        .select("keys", "lengths", "places", "answers")
+        .select("keys", "lengths", "places", "owners", "answers")
     )
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress = zstandard.ZstdDecompressor()
+        plain = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for row in range(batch.num_rows):
                 keys = batch["keys"][row].values
                 lengths = batch["lengths"][row].values.to_numpy()
-                packed = batch["places"][row].as_py()
-                places = np.frombuffer(unpress.decompress(packed[1:]), f"u{packed[0]}")
+                places = unpack_places(batch["places"][row].as_py(), int(lengths.sum()))
+                order = by_bucket(np.frombuffer(plain(batch["owners"][row].as_py()), np.uint32))
                 runs = batch["answers"][row].as_py() or []
-                sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in runs] or [np.zeros(0)]).astype(np.int64)
-                values = np.concatenate([np.frombuffer(r["numbers"], np.int32) for r in runs] or [np.zeros(0, np.int32)])
-                starts = np.cumsum(sizes) - sizes
+                dealt = np.concatenate([np.frombuffer(plain(r["sizes"]), np.uint32) for r in runs] or [np.zeros(0)]).astype(np.int64)
+                values = np.concatenate([_unplanes(plain(r["numbers"])) for r in runs] or [np.zeros(0, np.uint32)])
+                if len(dealt) != len(order):
+                    raise ValueError("a block has lost answers")
+                sizes, starts = np.empty_like(dealt), np.empty_like(dealt)
+                sizes[order] = dealt
+                starts[order] = np.cumsum(dealt) - dealt
                 at = 0
                 for begin, end, stop in _slices(lengths):
                     here = places[at : at + stop]
@@ -192,7 +228,7 @@ def reassembled(blocks: DataFrame, answers: DataFrame, key_type: T.DataType) ->
                         [
                             keys[begin:end],
                             pa.array(lengths[begin:end]),
-                            pa.ListArray.from_arrays(pa.array(through.astype(np.int32)), pa.array(values[spans(starts[here], own)])),
+                            pa.ListArray.from_arrays(pa.array(through.astype(np.int32)), pa.array(values[spans(starts[here], own)].view(np.int32))),
                         ],
                         names=["key", "n_words", "values"],
                     )
