@@ -265,7 +265,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def linked_sets(docs: DataFrame, sample_rows: int = 10_000, star_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def linked_sets(docs: DataFrame, sample_rows: int = 10_000, star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """One row a document (``key, n, node``), and the component (``node, root``) of every set that is linked with a smaller one.
 
     ``docs`` has the columns ``key`` and ``text``."""

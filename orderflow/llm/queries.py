@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orderflow.llm import bpe, counts, fingerprints, licenses, mixing, quality, toxicity, warc
+from orderflow.llm import bpe, counts, fingerprints, licenses, mixing, neighbours, ngram_join, quality, toxicity, warc
 from orderflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,13 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_document_fingerprints")
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_report(read(spark, sf_dir, "documents"))
+
+
+@query("op1_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op5_nn_descent")
+def nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"))
