@@ -36,11 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderflow.llm.arrays import mix, runs, words
-from orderflow.llm.common import pieces, release_shuffles, spans, stored, text_array
+from orderflow.llm.common import free_name, pieces, release_shuffles, spans, stored, text_array
 from orderflow.llm.components import components
 
 K = 5
@@ -308,12 +308,32 @@ def linked_sets(docs: DataFrame, sample_rows: int = 10_000, star_rounds: int = 2
     return rows.select("key", "n", "node"), roots
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: ``key``, ``n_shingles`` and ``component_id``, the smallest key reachable by links."""
-    own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+def _components(own: DataFrame) -> DataFrame:
+    """``key, n, least`` per document: the size of its set and the smallest key of its component."""
     rows, roots = linked_sets(own)
     rooted = rows.join(roots, "node", "left").select("key", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
     least = rooted.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("key").alias("least"))
-    return rooted.join(least, "root", "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id")
+    return rooted.join(least, "root", "left").select("key", "n", F.coalesce("least", "key").alias("least"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: ``key``, ``n_shingles`` and ``component_id``, the smallest key reachable by links."""
+    found = _components(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")))
+    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, that with the smallest key (a null key is the largest), with the columns of ``docs``. Of rows that
+    repeat key and text one stays."""
+    own = F.col(f"`{key}`")
+    mark, turn = free_name(docs, "row_key"), free_name(docs, "row_turn")
+    marked = docs.withColumn(mark, F.struct(own.isNull().alias("last"), own.alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("digest")))
+    found = _components(marked.select(F.col(mark).alias("key"), F.col(f"`{text}`").alias("text")))
+    gone = found.filter("key <> least").select(F.col("key").alias(mark)).distinct()
+    same = Window.partitionBy(mark).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]))
+    return (
+        marked.join(gone, mark, "left_anti")
+        .withColumn(turn, F.row_number().over(same))
+        .filter(F.col(turn) == 1)
+        .drop(mark, turn)
     )
