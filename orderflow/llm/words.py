@@ -84,7 +84,7 @@ class _Places(dict):
         return place
 
 
-def split_blocks(docs: DataFrame, key: str, text: str, splitter: Callable[[], Splitter], most_words: int = 4_000_000) -> DataFrame:
+def split_blocks(docs: DataFrame, key: str, text: str, splitter: Callable[[], Splitter], most_words: int = 2_000_000) -> DataFrame:
     """The stored blocks: a row with the documents' words as ranks, and a row for each bucket of distinct words."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType
