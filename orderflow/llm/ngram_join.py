@@ -3,9 +3,10 @@
 A document's set are its distinct ``K``-word shingles. A sketch cuts the space of shingle hashes into parts; each part's word is the exclusive
 or of the hashes that fall into it, so a shingle in one of two sets changes one word, and the number of words in which two sketches differ is
 a lower bound of the symmetric difference of the sets. Sets of ``a`` and ``b`` shingles with Jaccard similarity of 3/4 or more differ in at
-most ``(a + b) / 7`` shingles. By the pigeonhole principle, of any ``(a + b) / 7 + 1`` words of one sketch that are not empty at least one
-is equal in the other. So each document emits as many words as its largest possible difference needs, plus one, in an order common to all
-documents, and documents that share no word cannot be similar.
+most ``(a + b) / 7`` shingles. By the pigeonhole principle, of any ``(a + b) / 7 + 1 + t`` words of one sketch that are not empty at least
+``1 + t`` are equal in the other. So each document emits as many words as its largest possible difference needs, plus one, plus an eighth (``spare``),
+in an order common to all documents, and documents that share fewer than ``1 + t`` words cannot be similar. The eighth keeps out documents that
+have only a passage in common.
 
 Sizes are banded by powers of two, each band with its own number of parts; a document whose partners may lie in the next band emits words
 of that band too. Parts are ordered so that shingles frequent in a bounded sample come last: passages that many documents share then
@@ -14,7 +15,7 @@ make few candidates. The sample sets only the order, and any order gives the sam
 The steps, over whole tables:
 
 1. Words are reduced to those that two different sets share. Equal sets count as one from here on: a set is known by a hash of its shingles.
-2. Documents with a shared word keep these words, their shingles and a short bit sketch. Which words are shared is tested by a Bloom filter of
+2. Documents with enough shared words keep these words, their shingles and a short bit sketch. Which words are shared is tested by a Bloom filter of
    fixed size; words that it lets through wrongly meet no partner.
 3. In rounds, sets meet the smallest set of each of their words, and verified links join components. Then all pairs of sets that share a
    word and lie in different components are verified. So no link between components is lost, and a large group of near copies
@@ -81,6 +82,16 @@ def most_different(n: np.ndarray) -> np.ndarray:
     return (n + n * DEN // NUM) * (DEN - NUM) // (DEN + NUM)
 
 
+def spare(n: np.ndarray) -> np.ndarray:
+    """Words emitted beyond the necessary; at least one more than the smaller of two sets' numbers is equal if they are similar."""
+    return most_different(n) // 8
+
+
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """Words that a set of ``n`` shares with any similar set, at least."""
+    return 1 + spare(np.maximum(1, -(-n * NUM // DEN)))
+
+
 def band(n: np.ndarray) -> np.ndarray:
     return np.frexp(n.astype(np.float64))[1]
 
@@ -106,7 +117,7 @@ def sketch_words(tokens: np.ndarray, n: np.ndarray, frequent: np.ndarray) -> tup
             order = np.argsort(of * 2 + behind, kind="stable")
             held, behind = held[order], behind[order]
         level = bands[row]
-        parts = np.where(level <= 7, 1 << level, 1 << (level - 1)).astype(np.uint64)
+        parts = np.where(level <= 9, 1 << level, 1 << (level - 1)).astype(np.uint64)
         part = (held >> np.uint64(32)) * np.repeat(parts, size) >> np.uint64(32)
         opens = np.ones(len(held), bool)
         opens[1:] = (of[1:] != of[:-1]) | (behind[1:] != behind[:-1]) | (part[1:] != part[:-1])
@@ -115,7 +126,7 @@ def sketch_words(tokens: np.ndarray, n: np.ndarray, frequent: np.ndarray) -> tup
         word = np.bitwise_xor.reduceat(held, starts)
         holder = of[starts]
         first = np.searchsorted(holder, np.arange(len(row)))
-        keep = np.arange(len(starts)) - first[holder] <= most_different(size)[holder]
+        keep = np.arange(len(starts)) - first[holder] <= (most_different(size) + spare(size))[holder]
         out.append(mix(word[keep] ^ mix(level.astype(np.uint64) + np.uint64(1))[holder[keep]]))
         rows.append(row[holder[keep]])
     if not out:
@@ -209,6 +220,9 @@ def shingled(docs: DataFrame, frequent, shared) -> DataFrame:
                 carries = np.zeros(len(n), bool)
                 carries[first] = True
                 word, row = word[carries[row]], row[carries[row]]
+                per = np.bincount(row, minlength=len(n))
+                enough = (per >= least_shared(n))[row]
+                word, row = word[enough], row[enough]
                 order = np.argsort(row, kind="stable")
                 word, per = word[order], np.bincount(row, minlength=len(n))
                 some = np.flatnonzero(per > 0)
@@ -278,7 +292,10 @@ def linked_sets(docs: DataFrame, sample_rows: int = 10_000, star_rounds: int = 2
     # One row for each set that shares words, chosen on a few numbers before the wide columns move.
     carriers = rows.filter(F.col("words").isNotNull()).groupBy("node").agg(F.min("row").alias("row")).select("row")
     sets = stored(rows.filter(F.col("words").isNotNull()).join(carriers, "row", "left_semi").drop("row", "key"), "sets")
-    members = stored(sets.select("node", F.explode("words").alias("word")), "members")
+    # ``least``: as least_shared, for the smaller set of a pair.
+    different = F.floor((F.col("n") + F.floor(F.col("n") * DEN / NUM)) * (DEN - NUM) / (DEN + NUM))
+    least = (F.floor(different / 8) + 1).cast("bigint").alias("least")
+    members = stored(sets.select("node", least, F.explode("words").alias("word")), "members")
 
     roots = None
     links = None
@@ -297,10 +314,15 @@ def linked_sets(docs: DataFrame, sample_rows: int = 10_000, star_rounds: int = 2
             met = live.filter(F.col("root") != F.col("first.hub_root")).groupBy("node").agg(F.min("first").alias("first"))
             pairs = met.select(F.least("node", "first.hub").alias("a"), F.greatest("node", "first.hub").alias("b")).distinct()
         else:
-            side = live.select("word", "node", "root")
-            other = side.select("word", F.col("node").alias("node_2"), F.col("root").alias("root_2"))
+            side = live.select("word", "node", "root", "least")
+            other = side.select("word", F.col("node").alias("node_2"), F.col("root").alias("root_2"), F.col("least").alias("least_2"))
             crossing = side.join(other, "word").filter((F.col("node") < F.col("node_2")) & (F.col("root") != F.col("root_2")))
-            pairs = crossing.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+            pairs = (
+                crossing.groupBy(F.col("node").alias("a"), F.col("node_2").alias("b"), F.least("least", "least_2").alias("least"))
+                .agg(F.count("*").alias("equal"))
+                .filter("equal >= least")
+                .select("a", "b")
+            )
         found = stored(verified(pairs, sets), "similar-sets")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
