@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params())
     """The model from labelled documents for which ``learn`` holds. The driver holds ``most_rows`` feature rows."""
     sample = labelled_sample(docs, labels, "quality", learn, p.most_rows)
     rows = sorted(sample.select("doc_id", "y", "text").mapInArrow(_features, "doc_id bigint, y double, x array<double>").collect())
-    return train(np.array([r.x for r in rows]).reshape(len(rows), -1), np.array([r.y for r in rows]), p)
+    return train(np.array([r.x for r in rows]).reshape(len(rows), len(features(""))), np.array([r.y for r in rows]), p)
 
 
 def score(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
