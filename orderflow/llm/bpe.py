@@ -91,7 +91,8 @@ def decoded(ids: DataFrame, ranks_path: str, column: str = "values", out: str =
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = held.value.__getitem__
         for batch in batches:
-            texts = [None if v is None else b"".join(map(token, v)) for v in batch[column].to_pylist()]
+            # Row by row: a batch of ids as objects would take many times its size.
+            texts = [None if not v.is_valid else b"".join(map(token, v.values.to_numpy().tolist())) for v in batch[column]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
 
     return ids.mapInArrow(look_up, schema)
