@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,9 @@ def stored(df: DataFrame, label: str, **options) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let the driver's collector see plans that are no longer used, so that their shuffle files go
+    """Let the driver's collectors see plans that are no longer used, so that their shuffle files go
     before the next round of an iterative job writes its own."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -63,7 +65,7 @@ def text_array(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at.astype(np.int64) - int(at[0])
 
 
-def pieces(batch: pa.RecordBatch, text: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most_bytes`` of text each (one row at least), so that the memory
     of a vectorised step follows the longest text and not the size of the batch."""
     if batch.num_rows == 0:

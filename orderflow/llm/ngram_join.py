@@ -136,10 +136,16 @@ def sketch_words(tokens: np.ndarray, n: np.ndarray, frequent: np.ndarray) -> tup
 
 def bit_sketches(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
     """``SKETCH_BITS`` parity bits of each set: each shingle flips one."""
-    row = np.repeat(np.arange(len(n)), n)
+    out = np.zeros((len(n), SKETCH_BITS // 8), np.uint8)
+    ends = np.cumsum(n)
     place = (tokens >> np.uint64(8)).astype(np.int64) % SKETCH_BITS
-    flips = np.bincount(row * SKETCH_BITS + place, minlength=len(n) * SKETCH_BITS) & 1
-    return np.packbits(flips.astype(np.uint8).reshape(len(n), SKETCH_BITS), axis=1)
+    for a in range(0, len(n), 128):
+        size = n[a : a + 128]
+        own = place[ends[a] - n[a] : ends[a + len(size) - 1]]
+        row = np.repeat(np.arange(len(size)), size)
+        flips = np.bincount(row * SKETCH_BITS + own, minlength=len(size) * SKETCH_BITS) & 1
+        out[a : a + 128] = np.packbits(flips.astype(np.uint8).reshape(len(size), SKETCH_BITS), axis=1)
+    return out
 
 
 def frequent_shingles(docs: DataFrame, sample_rows: int, least_share: float = 0.001, most: int = 500_000) -> np.ndarray:
