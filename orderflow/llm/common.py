@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,19 @@ def stored(df: DataFrame, label: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, label: str, key: str, buckets: int, **options) -> DataFrame:
+    """As ``stored``, in buckets of a key: a join on that key reads this side in place and shuffles only the other. The table is
+    known to the session's catalog only while it is written."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = "stored_" + uuid.uuid4().hex
+    df.write.options(path=path, **options).bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved before the name goes; the files stay
+    spark.sql(f"drop table {name}")
+    return out
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let the driver's collectors see plans that are no longer used, so that their shuffle files go
     before the next round of an iterative job writes its own."""

@@ -5,10 +5,10 @@ positions travel packed, in blocks of documents:
 
 1. Split: a task cuts its documents into blocks (closed at ``most_words`` words). A block has the distinct words it
    uses, most frequent first and dealt into buckets by their hash, and each document's words as ranks in that list, a
-   byte each for the 255 most frequent ones. Blocks are stored, so nothing depends on a second evaluation.
+   byte each for the 255 most frequent ones. Blocks are stored in buckets, so nothing depends on a second evaluation.
 2. Answer: the word lists are shuffled by bucket and every distinct word is answered once in its bucket. However
    frequent a word is, it comes once a block.
-3. Reassemble: the answers are shuffled by block, meet the block's positions, and the documents come out.
+3. Reassemble: the answers are shuffled by block, meet the block's positions where these are stored, and the documents come out.
 
 The number of buckets is the session's number of shuffle partitions, so a bucket's share of the vocabulary is as large as
 any partition; a task holds the words of one partition and one block. A text of more than ``most_words`` words is a block alone.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import spans, stored
+from orderflow.llm.common import spans, stored_by
 
 #: A splitter turns a text into its words; an answerer turns words (in any order) into one tuple of numbers each.
 Splitter = Callable[[str], list[str]]
@@ -134,7 +134,7 @@ def split_blocks(docs: DataFrame, key: str, text: str, splitter: Callable[[], Sp
             yield block()
 
     schema = T.StructType.fromDDL(_BLOCKS.format(kind=kind.simpleString()))
-    return stored(plain_key.mapInArrow(split, schema), "word-blocks", compression="zstd")
+    return stored_by(plain_key.mapInArrow(split, schema), "word-blocks", "block", buckets, compression="zstd")
 
 
 def answered(blocks: DataFrame, answerer: Callable[[], Answerer]) -> DataFrame:
