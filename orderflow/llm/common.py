@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -45,10 +46,12 @@ def stored_by(df: DataFrame, label: str, key: str, buckets: int, **options) -> D
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let the driver's collectors see plans that are no longer used, so that their shuffle files go
-    before the next round of an iterative job writes its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver's collectors see plans that are no longer used, so that their shuffle files go before the next
+    step of a long job writes its own. A plan is let go in stages, so one collection is not enough."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -224,7 +224,6 @@ def build_graph(codes: DataFrame, p: Params = Params()) -> DataFrame:
 def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, p: Params = Params()) -> DataFrame:
     """``query`` (a node) and ``beam``: its best nodes and their negative inner products. ``vectors`` has ``node, v``; queries start from
     their own lists."""
-    spark = graph.sparkSession
     edges = graph.select("node", F.col("list.other").alias("others"))
     beam = None
     wanted = queries.join(edges, "node").select(F.col("node").alias("query"), F.explode(F.concat(F.array("node"), "others")).alias("node"))
@@ -264,7 +263,6 @@ def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, p: P
             lambda x: F.struct(x["neg"].alias("neg"), x["node"].alias("node"), (x["done"] | F.array_contains(F.col("next"), x["node"])).alias("done")),
         )
         beam = stored(joined.select("query", done.cast(entry).alias("beam"), "next"), "beam")
-        release_shuffles(spark)
         front = beam.select("query", F.explode("next").alias("node"))
         if front.isEmpty():
             break

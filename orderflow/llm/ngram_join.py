@@ -301,6 +301,7 @@ def linked_sets(docs: DataFrame, sample_rows: int = 10_000, star_rounds: int = 2
     # ``least``: as least_shared, for the smaller set of a pair.
     different = F.floor((F.col("n") + F.floor(F.col("n") * DEN / NUM)) * (DEN - NUM) / (DEN + NUM))
     least = (F.floor(different / 8) + 1).cast("bigint").alias("least")
+    release_shuffles(spark)
     members = stored(sets.select("node", least, F.explode("words").alias("word")), "members")
 
     roots = None
@@ -310,15 +311,20 @@ def linked_sets(docs: DataFrame, sample_rows: int = 10_000, star_rounds: int = 2
         if roots is not None:
             labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # Only words whose sets lie in different components can add a link between components.
-        rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+        hub = F.min("node") if turn % 2 == 0 else F.max("node")
         open_words = (
-            labelled.groupBy("word").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(rank).alias("first")).filter("lo < hi")
+            labelled.groupBy("word").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), hub.alias("hub")).filter("lo < hi")
         )
-        live = labelled.join(open_words.select("word", "first"), "word")
+        live = labelled.join(open_words.select("word", "hub"), "word")
         if turn < star_rounds:
-            # One hub for each set: the first in order among its words' hubs.
-            met = live.filter(F.col("root") != F.col("first.hub_root")).groupBy("node").agg(F.min("first").alias("first"))
-            pairs = met.select(F.least("node", "first.hub").alias("a"), F.greatest("node", "first.hub").alias("b")).distinct()
+            # One hub for each set: the smallest of its words' hubs that lies in another component.
+            if roots is None:
+                met = live.filter("node <> hub")
+            else:
+                of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+                met = live.join(of_hub, "hub", "left").filter(F.col("root") != F.coalesce("hub_root", "hub"))
+            met = met.groupBy("node").agg(F.min("hub").alias("hub"))
+            pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
             side = live.select("word", "node", "root", "least")
             other = side.select("word", F.col("node").alias("node_2"), F.col("root").alias("root_2"), F.col("least").alias("least_2"))
@@ -332,6 +338,7 @@ def linked_sets(docs: DataFrame, sample_rows: int = 10_000, star_rounds: int = 2
         found = stored(verified(pairs, sets), "similar-sets")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
+        labelled = open_words = live = pairs = None
         release_shuffles(spark)
     return rows.select("key", "n", "node"), roots
 
