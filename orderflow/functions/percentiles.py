@@ -1,4 +1,4 @@
-"""Exact interpolated percentiles of whole-number columns, without collecting a group in one task.
+"""Exact interpolated percentiles of numeric columns, without collecting a group in one task.
 
 The built-in exact percentile keeps a map of all values of a group in one task's memory. Here the
 values are counted per (key, value), the counts are summed up in slices, and each percentile is then
@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from orderflow.functions.running import running
+from orderflow.functions.scalar import join_on
 
 
 def exact_percentiles(
@@ -18,19 +20,17 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row per key with ``n``, and one double per entry of ``probabilities`` (``name -> p``).
 
-    Linear interpolation between the two neighbouring ranks. NULL values are ignored; keys must not
-    be NULL. ``width`` is the slice of the value axis that one task sorts.
+    Linear interpolation between the two neighbouring ranks. NULL values are ignored; a NULL key is a
+    key. Whole numbers are sorted in slices of ``width`` values, fractions in slices of their rows.
     """
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("bigint").alias("_v"))
-        .agg(F.count("*").alias("_cnt"))
-    )
+    whole = isinstance(df.schema[value].dataType, IntegralType)
+    own = F.col(value).cast("bigint" if whole else "double")
+    counts = df.filter(own.isNotNull()).groupBy(*keys, own.alias("_v")).agg(F.count("*").alias("_cnt"))
     ranked = running(
-        counts, keys, "_v", width, {"_upto": ("sum", "_cnt")}, include_current=True
+        counts, keys, "_v", width if whole else None, {"_upto": ("sum", "_cnt")}, include_current=True
     )
     if keys:
-        ranked = ranked.join(counts.groupBy(*keys).agg(F.sum("_cnt").alias("n")), keys)
+        ranked = join_on(ranked, counts.groupBy(*keys).agg(F.sum("_cnt").alias("n")), keys)
     else:
         ranked = ranked.withColumn("n", counts.agg(F.sum("_cnt")).scalar())
     picks = []

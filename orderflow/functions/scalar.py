@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderflow import constants as C
@@ -118,3 +120,10 @@ def time_bin(ts: Column, seconds: int) -> Column:
     """
     epoch = F.unix_seconds(ts)
     return F.timestamp_seconds(epoch - F.pmod(epoch, F.lit(seconds)))
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key matches a null key; ``keys`` come from the left side."""
+    named = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_on_{k}`")) for k in keys])
+    return left.join(named, same, how).drop(*[f"_on_{k}" for k in keys])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderflow import constants as C
+from orderflow.functions.scalar import join_on
 from orderflow.operators.enrich import to_wire_json
 from orderflow.operators.validate import to_dlq
-from orderflow.session import reliable_checkpoint
+from orderflow.session import stage
 
 _SALTS = 32
 
@@ -21,13 +22,15 @@ def flag_duplicates(
     ttl_seconds: int = C.DEDUP_TTL_SECONDS,
 ) -> DataFrame:
     """Add ``is_dup``. A row is accepted when no earlier *accepted* row of its key is younger than
-    the memory; duplicates do not refresh it. Arrivals are ordered by (arrival_ts, arrival_seq),
-    and ``arrival_seq`` is unique within a key.
+    the memory; duplicates do not refresh it. Arrivals are ordered by (arrival_ts, arrival_seq);
+    ``arrival_seq`` may be a struct, as (partition, offset). Of rows that share key and arrival one is accepted.
+    A null key is a key.
 
     A key's first arrival is a grouped minimum (partial aggregation, so a hot key does not matter).
     Only keys whose arrivals span the whole memory can be accepted again; for those the next
     accepted arrival is the minimum at or after ``accepted + ttl``, one round per memory length.
-    Accepted arrivals are joined back on key *and* arrival, which spreads a hot key over all tasks.
+    Accepted arrivals are joined back on key *and* arrival, which spreads a hot key over all tasks, and
+    only keys that occur more than once take part in that join: for all others the first is the only arrival.
     """
     ttl = ttl_seconds * 1_000_000
     slim = df.select(
@@ -36,36 +39,51 @@ def flag_duplicates(
             F.unix_micros(arrival_ts).alias("clock"), F.col(arrival_seq).alias("seq")
         ).alias("_at"),
     )
-    spans = slim.groupBy("_key").agg(F.min("_at").alias("_at"), F.max("_at.clock").alias("_last"))
+    spans = stage(
+        slim.groupBy("_key")
+        .agg(F.min("_at").alias("_at"), F.max("_at.clock").alias("_last"), F.count("*").alias("_n"))
+        .filter("_n > 1"),
+        "repeated-keys",
+    )
     accepted = spans.select("_key", "_at")
     again = _accepted_again(slim, spans, ttl)
     if again is not None:
         accepted = accepted.unionByName(again)
-    accepted = accepted.select(
-        F.col("_key").alias(key),
-        F.timestamp_micros("_at.clock").alias(arrival_ts),
-        F.col("_at.seq").alias(arrival_seq),
-        F.lit(True).alias("_accepted"),
+    # Rejected arrivals of repeated keys; everything else is accepted. They are few, so the rows themselves
+    # meet a small table wherever the optimizer finds it small.
+    arrivals = join_on(slim, spans.select("_key"), ["_key"], "left_semi").groupBy("_key", "_at").agg(F.count("*").alias("_rows"))
+    first = join_on(arrivals, accepted.withColumn("_accepted", F.lit(True)), ["_key", "_at"], "left")
+    special = stage(
+        first.filter(F.col("_accepted").isNull() | (F.col("_rows") > 1)).select(
+            F.col("_key").alias(key),
+            F.timestamp_micros("_at.clock").alias(arrival_ts),
+            F.col("_at.seq").alias(arrival_seq),
+            F.when(F.col("_accepted"), "tied").otherwise("rejected").alias("_mark"),
+        ),
+        "rejected-arrivals",
     )
-    flagged = df.join(accepted, [key, arrival_ts, arrival_seq], "left")
-    return flagged.select(*df.columns, F.col("_accepted").isNull().alias("is_dup"))
+    marked = join_on(df, special, [key, arrival_ts, arrival_seq], "left")
+    if special.filter("_mark = 'tied'").isEmpty():
+        return marked.select(*df.columns, F.col("_mark").isNotNull().alias("is_dup"))
+    # Several rows of one accepted arrival: all but one are duplicates. Only they are numbered.
+    same = Window.partitionBy(key, arrival_ts, arrival_seq).orderBy(F.lit(1))
+    tied = F.coalesce(F.col("_mark") == "tied", F.lit(False))
+    others = marked.filter(~tied).withColumn("is_dup", F.col("_mark").isNotNull())
+    return others.unionByName(marked.filter(tied).withColumn("is_dup", F.row_number().over(same) > 1)).drop("_mark")
 
 
 def _accepted_again(slim: DataFrame, spans: DataFrame, ttl: int) -> DataFrame | None:
     """Accepted arrivals after the first, for keys seen over more than one memory length."""
     long_keys = spans.filter(F.col("_last") - F.col("_at.clock") >= ttl).select("_key", "_at")
-    salted = slim.withColumn("_salt", F.pmod(F.col("_at.seq"), F.lit(_SALTS)).cast("int"))
-    rest = reliable_checkpoint(_after(salted, long_keys, ttl))
-    if rest.isEmpty():
-        return None
+    salted = slim.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(_SALTS)).cast("int"))
+    candidates = stage(_after(salted, long_keys, ttl), "candidates")
     found = None
-    candidates = rest
     while True:
-        step = reliable_checkpoint(candidates.groupBy("_key").agg(F.min("_at").alias("_at")))
+        step = stage(candidates.groupBy("_key").agg(F.min("_at").alias("_at")), "accepted-again")
         if step.isEmpty():
             return found
         found = step if found is None else found.unionByName(step)
-        candidates = _after(rest, step, ttl)
+        candidates = stage(_after(candidates, step, ttl), "candidates")
 
 
 def _after(rows: DataFrame, accepted: DataFrame, ttl: int) -> DataFrame:
@@ -76,7 +94,7 @@ def _after(rows: DataFrame, accepted: DataFrame, ttl: int) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"),
     )
     return (
-        rows.join(copies, ["_key", "_salt"])
+        join_on(rows, copies, ["_key", "_salt"])
         .filter(F.col("_at.clock") >= F.col("_accepted_clock") + ttl)
         .select("_key", "_at", "_salt")
     )
@@ -93,7 +111,7 @@ def duplicates_to_dlq(flagged: DataFrame, at: Column) -> DataFrame:
         "order_id",
         F.lit("DUPLICATE").alias("error_type"),
         F.concat(
-            F.lit("Order "), F.col("order_id"),
+            F.lit("Order "), F.coalesce("order_id", F.lit("None")),
             F.lit(" already processed within deduplication window"),
         ).alias("error_message"),
     )

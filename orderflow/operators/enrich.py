@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orderflow import constants as C
 from orderflow.functions import scalar as S
 from orderflow.schemas import DLQ, ENRICHED_ORDER, ORDER_AGG
+from orderflow.session import stage
 
 
 def with_region(df: DataFrame) -> DataFrame:
@@ -68,23 +69,29 @@ def enrich_orders(df: DataFrame, at: Column | None = None) -> DataFrame:
     return with_processing_duration(with_processed_at(enriched, at))
 
 
-def enrich_reference(
-    df: DataFrame, ref: DataFrame, on: str, columns: list[str]
-) -> tuple[DataFrame, DataFrame]:
-    """Add ``columns`` of a lookup table with unique ``on``: (found, rows for the enrichment DLQ).
+def with_reference(df: DataFrame, ref: DataFrame, on: str, columns: list[str]) -> DataFrame:
+    """Add ``columns`` of a lookup table with unique ``on``, and ``error_message`` where it has no row. ``df`` may be a
+    stream; each micro-batch is then joined with the table as it is at that time.
 
     No broadcast hint: the optimizer broadcasts ``ref`` when its measured size allows, and falls
     back to a shuffled join when the table has grown.
     """
     lookup = ref.select(on, *columns, F.lit(True).alias("_found"))
-    joined = df.join(lookup, on, "left")
-    found = joined.filter("_found").drop("_found")
-    missing = joined.filter(F.col("_found").isNull()).select(
-        *df.columns,
-        F.concat(F.lit(f"No reference row for {on} "), F.coalesce(F.col(on).cast("string"), F.lit("None")))
-        .alias("error_message"),
+    shown = F.coalesce(F.col(on).cast("string"), F.lit("None"))
+    return (
+        df.join(lookup, on, "left")
+        .withColumn("error_message", F.when(F.col("_found").isNull(), F.concat(F.lit(f"No reference row for {on} "), shown)))
+        .drop("_found")
     )
-    return found, missing
+
+
+def enrich_reference(
+    df: DataFrame, ref: DataFrame, on: str, columns: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``columns`` of the lookup table, rows for the enrichment DLQ), two views of one stored join."""
+    joined = stage(with_reference(df, ref, on, columns), "looked-up")
+    found, missing = F.col("error_message").isNull(), F.col("error_message").isNotNull()
+    return joined.filter(found).drop("error_message"), joined.filter(missing).drop(*columns)
 
 
 def with_correlation_id(df: DataFrame, *columns: str) -> DataFrame:
@@ -114,14 +121,14 @@ def to_wire_json(df: DataFrame, kind: str, into: str = "value") -> DataFrame:
     return df.withColumn(into, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
 
 
-def from_wire_json(df: DataFrame, kind: str, value: str = "value") -> DataFrame:
-    """Inverse of :func:`to_wire_json`: typed columns of the record kind."""
+def from_wire_json(df: DataFrame, kind: str, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Inverse of :func:`to_wire_json`: typed columns of the record kind, after the columns to ``keep``."""
     fields = _wire_fields(kind)
     text_schema = ", ".join(
         f"`{n}` {'string' if t.startswith('decimal') else t}" for n, t in fields
     )
-    parsed = df.select(F.from_json(F.col(value), text_schema).alias("r"))
-    return parsed.select(*[F.col(f"r.{n}").cast(t).alias(n) for n, t in fields])
+    parsed = df.select(*keep, F.from_json(F.col(value), text_schema).alias("r"))
+    return parsed.select(*keep, *[F.col(f"r.{n}").cast(t).alias(n) for n, t in fields])
 
 
 def epoch_iso(df: DataFrame, ts: str) -> DataFrame:

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions.running import running
-from orderflow.functions.scalar import floor_div
-
-_HOUR_US = 3600 * 1_000_000
+from orderflow.functions.scalar import floor_div, iso_timestamp
 
 
 def to_feature_record(
@@ -51,10 +49,21 @@ def long_features(df: DataFrame, key: str = "id", record: str = "record") -> Dat
     return df.select(key, F.explode(record).alias("_f")).select(key, "_f.FeatureName", "_f.ValueAsString")
 
 
+def newest_rank(df: DataFrame, column: str) -> Column:
+    """A column to find the newest row by: a text counts as the time it names, and one that names none is older than all."""
+    if dict(df.dtypes)[column] != "string":
+        return F.col(column)
+    return F.coalesce(iso_timestamp(F.col(column)), F.timestamp_micros(F.lit(-(1 << 61))))
+
+
 def online_latest(df: DataFrame, key: str, event_time: str, tie: str | None = None) -> DataFrame:
-    """Newest record per key by event time. One grouped aggregate, so a hot key is reduced early."""
+    """Newest record per key by event time. One grouped aggregate, so a hot key is reduced early.
+
+    Records of equal time are ordered by ``tie``, or by all their
+    columns, so the result does not depend on the order of rows.
+    """
     rest = [c for c in df.columns if c != key]
-    order = F.struct(event_time, tie) if tie else F.col(event_time)
+    order = F.struct(newest_rank(df, event_time), F.col(tie) if tie else F.struct(*rest))
     return (
         df.groupBy(key)
         .agg(F.max_by(F.struct(*rest), order).alias("_r"))
@@ -71,13 +80,13 @@ def get_records(online: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def point_in_time(
     labels: DataFrame, features: DataFrame, key: str, label_ts: str, feature_ts: str,
-    payload: list[str], tie: str, width_us: int = _HOUR_US,
+    payload: list[str], tie: str, width_us: int | None = None,
 ) -> DataFrame:
     """Each label row with the latest feature at or before its time (NULL when there is none).
 
     Labels and features are merged on one time axis and the latest feature is a running maximum of
     ``struct(time, tie, payload)``, cut into time slices: one shuffle of both inputs, no pairing of
-    rows, and no task that holds a whole key.
+    rows, and no task that holds more of a key than a range of its rows.
     """
     names = [c for c in labels.columns if c != key]
     left = labels.select(
@@ -117,7 +126,7 @@ def _struct_type(features: DataFrame, feature_ts: str, tie: str, payload: list[s
 
 def customer_history(
     df: DataFrame, key: str, ts: str, amount: str, spans: dict[str, int],
-    width_us: int = _HOUR_US,
+    width_us: int | None = None,
 ) -> DataFrame:
     """Per row, count and sum of the key's earlier rows within each span, and seconds since the last.
 

@@ -9,17 +9,19 @@ from orderflow import constants as C
 from orderflow.functions import scalar as S
 from orderflow.functions.running import running
 from orderflow.operators.windows import finish_windows, window_accumulate
-
-# One slice of arrivals: a minute, for arrival_seq = 4 * microseconds.
-_ARRIVAL_SLICE = 60 * 1_000_000 * 4
+from orderflow.session import stage
 
 
 def with_seen_before(
-    df: DataFrame, order: str = "arrival_seq", width: int = _ARRIVAL_SLICE
+    df: DataFrame, arrival_ts: str = "arrival_ts", arrival_seq: str = "arrival_seq"
 ) -> DataFrame:
-    """Add ``seen_before``, the largest event time among strictly earlier arrivals."""
+    """Add ``seen_before``, the largest event time among strictly earlier arrivals.
+
+    Arrivals are ordered by (arrival_ts, arrival_seq) and dealt by range of that order, so a busy
+    minute is as many tasks as its rows need. The input is computed once.
+    """
     micros = df.withColumn("_event_us", F.unix_micros("event_time"))
-    out = running(micros, [], order, width, {"_seen": ("max", "_event_us")})
+    out = running(micros, [], arrival_ts, None, {"_seen": ("max", "_event_us")}, ties=(arrival_seq,))
     return out.withColumn("seen_before", F.timestamp_micros("_seen")).drop("_event_us", "_seen")
 
 
@@ -27,14 +29,13 @@ def flag_late(
     df: DataFrame,
     size_seconds: int = C.ORDER_WINDOW_SECONDS,
     lateness_seconds: int = C.LATENESS_SECONDS,
-    order: str = "arrival_seq",
-    width: int = _ARRIVAL_SLICE,
+    **order: str,
 ) -> DataFrame:
     """Add ``window_end`` and ``is_late``: the row's window closed before the row arrived.
 
     A window is closed once its end plus the lateness is at or before the largest event time seen.
     """
-    seen = with_seen_before(df, order, width)
+    seen = with_seen_before(df, **order)
     end = F.timestamp_seconds(
         F.unix_seconds(S.time_bin(F.col("event_time"), size_seconds)) + size_seconds
     )
@@ -46,13 +47,13 @@ def flag_late(
 
 
 def route_late(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    """(rows on time, late rows)."""
-    flagged = flag_late(df, **options)
+    """(rows on time, late rows), as two views of one stored result."""
+    flagged = stage(flag_late(df, **options), "late-flags")
     return flagged.filter(~F.col("is_late")), flagged.filter("is_late")
 
 
 def drop_late(df: DataFrame, **options) -> DataFrame:
-    return route_late(df, **options)[0]
+    return flag_late(df, **options).filter(~F.col("is_late"))
 
 
 def late_count(df: DataFrame, **options) -> DataFrame:

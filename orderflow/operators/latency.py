@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.functions.percentiles import approx_percentiles, exact_percentiles
-from orderflow.functions.scalar import time_bin
+from orderflow.functions.scalar import join_on, time_bin
 
 P50_95_99 = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
@@ -25,7 +25,7 @@ def latency_by_operator(df: DataFrame, column: str = "latency_ms") -> DataFrame:
         F.round(F.avg(column), 6).alias("avg_latency"), F.max(column).alias("max_latency")
     )
     ranks = exact_percentiles(df, ["operator"], column, {"p95": 0.95, "p99": 0.99}).drop("n")
-    return plain.join(ranks, "operator").orderBy(F.desc("p99"), "operator")
+    return join_on(plain, ranks, ["operator"]).orderBy(F.desc("p99"), "operator")
 
 
 def latency_by_region(

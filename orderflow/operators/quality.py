@@ -67,6 +67,17 @@ def unaccounted_per_window(
     return unaccounted(counted)
 
 
+def unaccounted_of_flags(
+    rows: DataFrame, late: Column, out: Column, seconds: int = C.ORDER_WINDOW_SECONDS, ts: str = "event_time"
+) -> DataFrame:
+    """The same from one table whose rows say what became of them: a single grouped aggregate."""
+    return unaccounted(
+        rows.groupBy(S.time_bin(F.col(ts), seconds).alias("window_start")).agg(
+            F.count("*").alias("records_in"), F.count_if(out).alias("records_out"), F.count_if(late).alias("records_late")
+        )
+    )
+
+
 def unaccounted(window_stats: DataFrame) -> DataFrame:
     gap = F.col("records_in") - F.col("records_out") - F.col("records_late")
     return window_stats.withColumn("unaccounted", gap).withColumn(
@@ -138,6 +149,22 @@ def conservation(
             "records_late": (rows_late, key),
         }
     )
+    return _balanced(counted)
+
+
+def conservation_of_flags(
+    rows: DataFrame, late: Column, out: Column, dlq: Column, ts: str = "arrival_ts", seconds: int = 300
+) -> DataFrame:
+    """The same from one table whose rows say what became of them."""
+    return _balanced(
+        rows.groupBy(S.time_bin(F.col(ts), seconds).alias("bin_start")).agg(
+            F.count("*").alias("records_in"), F.count_if(out).alias("records_out"),
+            F.count_if(dlq).alias("records_dlq"), F.count_if(late).alias("records_late"),
+        )
+    )
+
+
+def _balanced(counted: DataFrame) -> DataFrame:
     balance = F.col("records_in") - F.col("records_dlq") - F.col("records_late")
     return counted.withColumn("in_covers_out", F.col("records_in") >= F.col("records_out")).withColumn(
         "conserved", F.col("records_out") == balance
@@ -284,8 +311,25 @@ def profile_columns(df: DataFrame, columns: list[str], approximate: bool = False
     """Per column: rows, NULLs, distinct values, smallest and largest value, constant or not.
 
     Columns become (name, value) rows, so the exact distinct counts are one ordinary two-step
-    aggregate; ``approximate`` uses a mergeable sketch in a single pass instead.
+    aggregate; ``approximate`` uses a mergeable sketch in a single pass instead. Smallest and largest are
+    found in the column's own type, in the same scan, and turned into text at the end.
     """
+    ends = df.agg(
+        *[f(c).cast("string").alias(f"{name}_{i}") for i, c in enumerate(columns) for f, name in ((F.min, "min"), (F.max, "max"))]
+    ).select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(c).alias("column_name"),
+                        F.col(f"min_{i}").alias("min_value"),
+                        F.col(f"max_{i}").alias("max_value"),
+                    )
+                    for i, c in enumerate(columns)
+                ]
+            )
+        ).alias("_e")
+    ).select("_e.*")
     pairs = df.select(
         F.explode(
             F.array(
@@ -301,8 +345,6 @@ def profile_columns(df: DataFrame, columns: list[str], approximate: bool = False
             F.count("*").alias("row_count"),
             F.count_if(F.col("v").isNull()).alias("null_count"),
             F.approx_count_distinct("v").alias("distinct_count"),
-            F.min("v").alias("min_value"),
-            F.max("v").alias("max_value"),
         )
     else:
         counted = (
@@ -313,8 +355,6 @@ def profile_columns(df: DataFrame, columns: list[str], approximate: bool = False
                 F.sum("_n").alias("row_count"),
                 F.sum(F.when(F.col("v").isNull(), F.col("_n")).otherwise(0)).alias("null_count"),
                 F.count("v").alias("distinct_count"),
-                F.min("v").alias("min_value"),
-                F.max("v").alias("max_value"),
             )
         )
-    return counted.withColumn("is_constant", F.col("distinct_count") <= 1)
+    return counted.join(ends, "column_name").withColumn("is_constant", F.col("distinct_count") <= 1)

@@ -9,6 +9,7 @@ from orderflow import constants as C
 from orderflow.functions.once import compute_once
 from orderflow.functions.scalar import iso_timestamp
 from orderflow.schemas import ORDER_KEYS
+from orderflow.session import stage
 
 
 def _literal_array(values: list[str]) -> Column:
@@ -55,6 +56,7 @@ def classify_schema_errors(
             fields["items_count"].try_cast("int").isNull(),
             "Unexpected error: items_count is not a whole number",
         )
+        .when(fields["order_id"].isNull(), "Unexpected error: order_id is null")
         .when(fields["customer_id"].isNull(), "Unexpected error: customer_id is null")
         .when(
             event.isNull() & ~F.coalesce(timestamp_is_text, F.lit(False)),
@@ -180,10 +182,17 @@ def to_dlq(
     order_id: str = "order_id",
     error_type: str = "error_type",
     error_message: str = "error_message",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Dead-letter records. The order id is known only when the text could be parsed."""
+    """Dead-letter records. The order id is known only when the text could be parsed.
+
+    ``original_message`` has the length of the wire contract; ``full_message`` is the whole text, which
+    replays read, so a long record is never lost.
+    """
     return df.select(
+        *keep,
         F.substring(F.col(message), 1, C.DLQ_MESSAGE_CHARS).alias("original_message"),
+        F.col(message).alias("full_message"),
         F.col(error_type).alias("error_type"),
         F.col(error_message).alias("error_message"),
         at.alias("error_timestamp"),
@@ -253,16 +262,16 @@ def parse_tolerant(
 def replay_dlq(
     dlq: DataFrame, aliases: dict[str, list[str]] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Parse dead letters again after a fix: (recovered, still bad).
+    """Parse dead letters again after a fix: (recovered, still bad), two views of one stored result.
 
-    Duplicates carry an already accepted order and are not replayed.
+    Duplicates carry an already accepted order and are not replayed. Whole texts are read, not wire messages.
     """
     again = dlq.filter(F.col("error_type") != "DUPLICATE").select(
-        F.col("original_message").alias("value"), F.col("error_type").alias("first_error_type")
+        F.col("full_message").alias("value"), F.col("error_type").alias("first_error_type")
     )
     if aliases:
         again = parse_tolerant(again, aliases)
-    return route(validate_orders(again))
+    return route(stage(validate_orders(again), "replayed"))
 
 
 def map_error_types(df: DataFrame, error_type: str = "error_type") -> DataFrame:

@@ -170,6 +170,28 @@ def window_cogroup(
     )
 
 
+def window_cogroup_stream(
+    left: DataFrame, right: DataFrame, key: str, size: str, left_agg: dict, right_agg: dict,
+    left_ts: str = "event_time", right_ts: str = "event_time", lateness: str = C.LATENESS,
+) -> DataFrame:
+    """The same of two streams: each is reduced per window under its watermark, and closed windows meet in a full outer
+    join, so its state holds one row per key and open window."""
+
+    def reduce(df: DataFrame, ts: str, aggs: dict, names: tuple[str, str]) -> DataFrame:
+        return (
+            df.withWatermark(ts, lateness)
+            .groupBy(F.window(ts, size).alias(names[0]), F.col(key).alias(names[1]))
+            .agg(*[column.alias(name) for name, column in aggs.items()])
+        )
+
+    a = reduce(left, left_ts, left_agg, ("_wa", "_ka"))
+    b = reduce(right, right_ts, right_agg, ("_wb", "_kb"))
+    joined = a.join(b, (F.col("_wa") == F.col("_wb")) & (F.col("_ka") == F.col("_kb")), "full_outer")
+    return joined.select(
+        F.coalesce("_ka", "_kb").alias(key), F.coalesce("_wa.start", "_wb.start").alias("window_start"), *left_agg, *right_agg
+    )
+
+
 def window_emit_latency(
     agg: DataFrame, probabilities: dict[str, float], slo_ms: int = 2000
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orderflow.functions.scalar import region_of
 from orderflow.operators import alarms as A
+from orderflow.operators import dedup as D
 from orderflow.operators import errors as O
 from orderflow.operators import lag as G
 from orderflow.operators import late as L
@@ -152,6 +153,18 @@ def latency_percentiles(spark, sf):
     return _round6(Y.latency_percentiles(I.log_table(spark, sf)), "p50", "p95", "p99")
 
 
+@query(
+    "O11_latency_percentiles_fractions",
+    sql(
+        f"SELECT metric_name, count(*) AS n, {percentile('value', .5)} AS p50, {percentile('value', .95)} AS p95, {percentile('value', .99)} AS p99"
+        " FROM metrics WHERE value > 0 GROUP BY 1"
+    ),
+)
+def latency_percentiles_fractions(spark, sf):
+    """The same of doubles with fractions, per metric."""
+    return _round6(Y.latency_percentiles(I.metrics(spark, sf), ["metric_name"], "value"), "p50", "p95", "p99")
+
+
 @query(
     "O11_latency_percentiles_per_minute",
     sql(
@@ -168,11 +181,13 @@ def latency_percentiles_per_minute(spark, sf):
     "O12_latency_by_operator",
     sql(
         f"SELECT operator, round(avg(latency_ms), 6) AS avg_latency, max(latency_ms) AS max_latency, {percentile('latency_ms', .95)} AS p95,"
-        f" {percentile('latency_ms', .99)} AS p99 FROM logs GROUP BY 1"
+        f" {percentile('latency_ms', .99)} AS p99 FROM (SELECT * REPLACE (CASE WHEN customer_id NOT LIKE '%7' THEN operator END AS operator) FROM logs) GROUP BY 1"
     ),
 )
 def latency_by_operator(spark, sf):
-    return _round6(Y.latency_by_operator(I.log_table(spark, sf)), "p95", "p99")
+    """Some events name no operator."""
+    unnamed = F.when(~F.col("customer_id").endswith("7"), F.col("operator"))
+    return _round6(Y.latency_by_operator(I.log_table(spark, sf).withColumn("operator", unnamed)), "p95", "p99")
 
 
 @query(
@@ -324,9 +339,10 @@ def metric_rollup(spark, sf):
     sql(
         "SELECT event_id, metric_name, value, CASE WHEN (hi AND value > crit) OR (NOT hi AND value < crit) THEN 'critical'"
         " WHEN coalesce((hi AND value >= warn) OR (NOT hi AND value <= warn), false) THEN 'warning' ELSE 'normal' END AS grade FROM metrics JOIN (VALUES "
-        + ", ".join(
-            f"('{n}', {d == 'high'}, {'NULL' if w is None else w}, {c})" for n, d, w, c in Y.METRIC_GRADES
-        )
+        "('consumer_lag_records', true, 10000, 50000), ('DLQRecordCount', true, 10, 100), ('LatencyP99', true, 3000, 5000),"
+        " ('WindowCompleteness', false, 99, 95), ('memory_usage_percentage', true, 70, 85), ('cpu_usage_percentage', true, 70, 90),"
+        " ('checkpoint_duration_ms', true, 10000, 30000), ('checkpoint_failures_total', true, NULL, 0),"
+        " ('kafka_broker_alive_count', false, 2, 2), ('firehose_failed_put_count', true, NULL, 0)"
         + ") g(name, hi, warn, crit) ON name = metric_name"
     ),
 )
@@ -377,13 +393,21 @@ _W5 = "time_bucket(INTERVAL 5 MINUTE, event_time)"
 )
 def window_completeness(spark, sf):
     """Rows that entered each window against the rows its metrics were computed from."""
-    processed = I.staged(I.processed_orders(spark, sf), "processed")
-    emitted = W.window_accumulate(L.drop_late(processed), ["region"])
-    return Q.window_completeness(processed, emitted).withColumn(
+    columns = ["arrival_seq", "arrival_ts", "event_time", "region", "amount"]
+    judged = I.staged(L.flag_late(I.processed_orders(spark, sf).select(*columns)), "judged")
+    emitted = W.window_accumulate(judged.filter(~F.col("is_late")), ["region"])
+    return Q.window_completeness(judged, emitted).withColumn(
         "emitted", F.col("emitted").cast("bigint")
     )
 
 
+def _judged(flagged):
+    """Rows with ``is_late`` among those that are no duplicates, NULL for the duplicates; one pass."""
+    unique, repeated = flagged.filter(~F.col("is_dup")), flagged.filter("is_dup")
+    late = L.flag_late(unique).drop("seen_before", "window_end")
+    return late.unionByName(repeated.withColumn("is_late", F.lit(None).cast("boolean")))
+
+
 @query(
     "Q2_unaccounted_per_window",
     sql(
@@ -394,9 +418,9 @@ def window_completeness(spark, sf):
 )
 def unaccounted_per_window(spark, sf):
     """Without a count of duplicates they show up as unaccounted rows."""
-    flagged = I.staged(I.flagged_orders(spark, sf), "flagged")
-    on_time, late = L.route_late(flagged.filter(~F.col("is_dup")))
-    return Q.unaccounted_per_window(flagged, on_time, late)
+    columns = ["arrival_seq", "arrival_ts", "event_time", "is_dup"]
+    judged = _judged(I.flagged_orders(spark, sf).select(*columns))
+    return Q.unaccounted_of_flags(judged, late=F.col("is_late"), out=~F.col("is_late"))
 
 
 @query(
@@ -407,7 +431,7 @@ def unaccounted_per_window(spark, sf):
     ),
 )
 def late_per_window(spark, sf):
-    return Q.late_per_window(L.flag_late(I.processed_orders(spark, sf)))
+    return Q.late_per_window(L.flag_late(I.processed_orders(spark, sf).select("arrival_seq", "arrival_ts", "event_time")))
 
 
 def _missing(table, ts, step, name):
@@ -434,13 +458,16 @@ def missing_windows(spark, sf):
 )
 def conservation(spark, sf):
     """Every raw record is on time, late, rejected or a duplicate."""
-    checked = I.checked_table(spark, sf)
-    flagged = I.staged(I.flagged_orders(spark, sf, checked), "flagged")
-    on_time, late = L.route_late(flagged.filter(~F.col("is_dup")))
-    rejected = V.route(checked)[1].select("arrival_ts").unionByName(
-        flagged.filter("is_dup").select("arrival_ts")
+    columns = ["order_id", "arrival_seq", "arrival_ts", "event_time", "error_type"]
+    checked = I.staged(I.validated(spark, sf).select(*columns), "checked")
+    valid, rejected = V.route(checked)
+    judged = _judged(D.flag_duplicates(valid))
+    rows = judged.unionByName(
+        rejected.withColumns({"is_dup": F.lit(None).cast("boolean"), "is_late": F.lit(None).cast("boolean")})
+    )
+    return Q.conservation_of_flags(
+        rows, late=F.col("is_late"), out=~F.col("is_late"), dlq=F.col("error_type").isNotNull() | F.col("is_dup")
     )
-    return Q.conservation(checked, on_time, rejected, late)
 
 
 @query("Q6_uniqueness", sql("SELECT count(*) AS total, count(DISTINCT order_id) AS distinct_keys, count(*) = count(DISTINCT order_id) AS is_unique FROM processed"))
@@ -496,10 +523,10 @@ def reconcile_totals(spark, sf):
     return Q.reconcile_totals(orders, sink, "o_orderdate", "amount")
 
 
-@query("Q10_hourly_gaps", "WITH p AS (SELECT ts FROM events WHERE event_type = 'error') " + _missing("p", "ts", "1 HOUR", "hour"))
+@query("Q10_hourly_gaps", _missing("events", "ts", "1 HOUR", "hour"))
 def hourly_gaps(spark, sf):
-    """Hours without an error event."""
-    return Q.hourly_gaps(I.events(spark, sf).filter(F.col("event_type") == "error"), "ts")
+    """Hours without a row."""
+    return Q.hourly_gaps(I.events(spark, sf), "ts")
 
 
 @query(
@@ -615,7 +642,7 @@ def silent_minutes(spark, sf):
     return Q.silent_minutes(I.events(spark, sf), "ts")
 
 
-_PROFILED = ["order_id", "customer_id", "currency", "status", "region"]
+_PROFILED = ["order_id", "customer_id", "currency", "status", "region", "items_count", "amount", "processing_duration_ms"]
 
 
 @query(
@@ -623,28 +650,42 @@ _PROFILED = ["order_id", "customer_id", "currency", "status", "region"]
     sql(
         " UNION ALL ".join(
             (f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) FILTER ({c} IS NULL) AS null_count, count(DISTINCT {c}) AS distinct_count,"
-             f" min({c}) AS min_value, max({c}) AS max_value, count(DISTINCT {c}) <= 1 AS is_constant FROM valid")
+             f" CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value, count(DISTINCT {c}) <= 1 AS is_constant FROM valid")
             for c in _PROFILED
         )
     ),
 )
 def profile_columns(spark, sf):
-    return Q.profile_columns(I.valid_orders(spark, sf), _PROFILED)
+    return Q.profile_columns(I.staged(I.valid_orders(spark, sf).select(*_PROFILED), "profiled"), _PROFILED)
 
 
 # --- alarms -----------------------------------------------------------------------------------
 
 
-def _spec_values():
-    return ", ".join(
-        f"('{n}','{m}','{s}','{c}',{t},{p},{e},{d},'{miss}','{sev}')"
-        for n, m, s, c, t, p, e, d, miss, sev in A.ALARM_SPECS
-    )
-
-
-_STATES = f"""
+# The alarms, written down a second time to check the operator's table.
+_SPECS = """
+('dlq-spike-critical','DLQRecordCount','Sum','>',100,60,1,1,'notBreaching','CRITICAL'),
+('checkpoint-failure-critical','checkpoint_failures_total','Sum','>',0,300,1,1,'notBreaching','CRITICAL'),
+('kafka-broker-down-critical','kafka_broker_alive_count','Minimum','<',3,60,1,1,'notBreaching','CRITICAL'),
+('firehose-delivery-failure-critical','firehose_failed_put_count','Sum','>',0,60,1,1,'notBreaching','CRITICAL'),
+('kafka-consumer-lag-high','consumer_lag_records','Maximum','>',50000,60,2,1,'notBreaching','HIGH'),
+('processing-latency-slo-breach','LatencyP99','Average','>',5000,60,2,1,'notBreaching','HIGH'),
+('window-completeness-low','WindowCompleteness','Average','<',95,300,1,1,'notBreaching','HIGH'),
+('memory-usage-high','memory_usage_percentage','Average','>',85,60,2,1,'notBreaching','MEDIUM'),
+('checkpoint-duration-high','checkpoint_duration_ms','Average','>',30000,60,2,1,'notBreaching','MEDIUM'),
+('duplicate-detection-spike','DuplicateRecordDetected','Sum','>',10,60,1,1,'notBreaching','MEDIUM'),
+('deserialization-error-low','kafka_deserialization_errors_total','Sum','>',5,60,1,1,'notBreaching','LOW')"""
+_POLICIES = """
+('a','DLQRecordCount','Sum','>',100,3600,1,1,'breaching','LOW'),
+('b','LatencyP99','Average','>',5000,3600,2,2,'missing','LOW'),
+('c','consumer_lag_records','Maximum','>',50000,3600,2,1,'notBreaching','LOW'),
+('d','WindowCompleteness','Average','<',95,1800,2,2,'breaching','LOW')"""
+
+
+def _states(specs):
+    return f"""
 , specs AS (
-  SELECT * FROM (VALUES {_spec_values()}) v(alarm_name, metric_name, statistic, comparison, threshold, period, n, m, missing, severity)
+  SELECT * FROM (VALUES {specs}) v(alarm_name, metric_name, statistic, comparison, threshold, period, n, m, missing, severity)
 ), reduced AS (
   SELECT alarm_name, epoch_us(ts) // 1000000 // period * period AS sec, round(CASE any_value(statistic) WHEN 'Average' THEN avg(value)
     WHEN 'Sum' THEN sum(value) WHEN 'Maximum' THEN max(value) ELSE min(value) END, 6) AS value
@@ -654,21 +695,38 @@ _STATES = f"""
     (SELECT alarm_name, min(sec) AS lo, max(sec) AS hi FROM reduced GROUP BY 1) JOIN specs USING (alarm_name)
 ), points AS (
   SELECT c.alarm_name, c.sec, r.value, s.threshold, s.severity, s.n, s.m,
-    CASE WHEN s.comparison = '>' THEN coalesce(r.value > s.threshold, false) ELSE coalesce(r.value < s.threshold, false) END AS breach
+    CASE WHEN r.value IS NOT NULL THEN CASE WHEN s.comparison = '>' THEN r.value > s.threshold ELSE r.value < s.threshold END::INT
+      WHEN s.missing = 'breaching' THEN 1 WHEN s.missing = 'notBreaching' THEN 0 ELSE -1 END AS point,
+    lag(point, 1, -1) OVER (PARTITION BY c.alarm_name ORDER BY c.sec) AS before
   FROM calendar c JOIN specs s USING (alarm_name) LEFT JOIN reduced r ON r.alarm_name = c.alarm_name AND r.sec = c.sec
 ), states AS (
   SELECT alarm_name, severity, make_timestamp(sec * 1000000) AS period_start, value, CAST(threshold AS DOUBLE) AS threshold,
-    CASE WHEN CASE n WHEN 1 THEN breach::INT ELSE breach::INT + coalesce(lag(breach::INT) OVER (PARTITION BY alarm_name ORDER BY sec), 0) END >= m THEN 'ALARM' ELSE 'OK' END AS state
+    CASE WHEN (point = 1)::INT + (n = 2 AND before = 1)::INT >= m THEN 'ALARM'
+      WHEN point = -1 AND (n = 1 OR before = -1) THEN 'INSUFFICIENT_DATA' ELSE 'OK' END AS state
   FROM points
 )
 """
 
 
-@query("L1_evaluate_alarms", sql(_STATES + "SELECT * FROM states WHERE state = 'ALARM' OR value IS NOT NULL"))
+_STATES = _states(_SPECS)
+
+
+@query("L1_evaluate_alarms", sql(_STATES + "SELECT * FROM states"))
 def evaluate_alarms(spark, sf):
-    """States of all periods with a datapoint or an alarm; quiet periods without data are left out."""
-    states = A.evaluate_alarms(I.metrics(spark, sf))
-    return states.filter((F.col("state") == "ALARM") | F.col("value").isNotNull())
+    """The state of every alarm in every period."""
+    return A.evaluate_alarms(I.metrics(spark, sf))
+
+
+@query("L1_missing_data", sql(_states(_POLICIES) + "SELECT * FROM states"))
+def missing_data(spark, sf):
+    """Alarms that treat missing data as breaching, as missing and as not breaching."""
+    specs = [
+        ("a", "DLQRecordCount", "Sum", ">", 100.0, 3600, 1, 1, "breaching", "LOW"),
+        ("b", "LatencyP99", "Average", ">", 5000.0, 3600, 2, 2, "missing", "LOW"),
+        ("c", "consumer_lag_records", "Maximum", ">", 50000.0, 3600, 2, 1, "notBreaching", "LOW"),
+        ("d", "WindowCompleteness", "Average", "<", 95.0, 1800, 2, 2, "breaching", "LOW"),
+    ]
+    return A.evaluate_alarms(I.metrics(spark, sf), specs)
 
 
 @query(

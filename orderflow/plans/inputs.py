@@ -13,7 +13,7 @@ from orderflow import constants as C
 from orderflow.operators.dedup import flag_duplicates
 from orderflow.operators.enrich import enrich_orders
 from orderflow.operators.validate import route, validate_orders
-from orderflow.session import scratch_path
+from orderflow.session import scratch_path, stage  # noqa: F401
 from orderflow.sources.orders import parse_log_events
 
 REGION_CODES = ["US", "EU", "UK", "CA", "AU", "ZZ", "us"]
@@ -119,12 +119,7 @@ def valid_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich_orders(route(validated(spark, sf_dir))[0], processed_at())
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write once, read back: later steps read the columns they need instead of parsing again."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+staged = stage
 
 
 VALID_COLUMNS = [

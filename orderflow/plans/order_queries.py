@@ -9,8 +9,9 @@ from orderflow.functions import scalar as S
 from orderflow.operators import dedup as D
 from orderflow.operators import enrich as E
 from orderflow.operators import validate as V
+from orderflow.operators import windows as W
 from orderflow.plans import inputs as I
-from orderflow.plans.oracle import sql
+from orderflow.plans.oracle import average, sql
 from orderflow.plans.registry import query
 from orderflow.sources import orders as R
 
@@ -30,24 +31,46 @@ def read_orders_batch(spark, sf):
 
 
 def _envelopes(spark, sf):
+    """Broker times so coarse that copies of an order share one, offsets equal modulo 4, and copies in several partitions."""
     raw = I.raw_orders(spark, sf)
     return raw.select(
-        F.to_binary("value", F.lit("utf-8")).alias("value"), "topic", "partition",
-        F.col("arrival_seq").alias("offset"), F.col("arrival_ts").alias("timestamp"),
+        F.to_binary("value", F.lit("utf-8")).alias("value"), "topic",
+        ((F.col("partition") + F.col("arrival_seq") % 4) % 3).cast("int").alias("partition"),
+        (F.col("arrival_seq") * 4).alias("offset"), F.date_trunc("day", "arrival_ts").alias("timestamp"),
     )
 
 
+_ENVELOPES = "date_trunc('day', arrival_ts)::TIMESTAMP AS t, (partition + arrival_seq % 4) % 3 AS part, arrival_seq * 4 AS pos"
+
+
 @query(
     "S3_read_envelopes",
     sql(
-        "SELECT value, topic, partition, arrival_seq AS \"offset\", arrival_ts,"
-        " epoch_us(arrival_ts) * 4 + arrival_seq % 4 AS arrival_seq FROM raw"
+        f"SELECT value, topic, part::BIGINT AS partition, pos AS \"offset\", t AS arrival_ts,"
+        f" '{{\"partition\":' || part || ',\"offset\":' || pos || '}}' AS arrival_seq FROM (SELECT *, {_ENVELOPES} FROM raw)"
     ),
 )
 def read_envelopes(spark, sf):
     return R.read_envelopes(_envelopes(spark, sf))
 
 
+@query(
+    "S3_first_of_envelopes",
+    sql(
+        f", ranked AS (SELECT order_id, t, part, pos, row_number() OVER (PARTITION BY order_id ORDER BY t, part, pos) AS rn FROM"
+        f" (SELECT order_id, {_ENVELOPES.replace('arrival_seq', 'v.arrival_seq').replace('arrival_ts', 'v.arrival_ts')} FROM valid v JOIN raw r ON r.arrival_seq = v.arrival_seq AND r.event_id = v.event_id)"
+        "), won AS (SELECT order_id, t, rn FROM ranked WHERE rn = 1 UNION ALL"
+        " SELECT r.order_id, min(r.t), min(r.rn) FROM won JOIN ranked r ON r.order_id = won.order_id AND epoch_us(r.t) >= epoch_us(won.t) + 86400000000 GROUP BY r.order_id)"
+        " SELECT r.order_id, r.part::BIGINT AS partition, r.pos AS \"offset\", won.rn IS NULL AS is_dup FROM ranked r LEFT JOIN won USING (order_id, rn)"
+    ),
+)
+def first_of_envelopes(spark, sf):
+    """De-duplication in the order of (time, partition, offset), where many records share a time."""
+    valid = V.route(V.validate_orders(R.read_envelopes(_envelopes(spark, sf))))[0]
+    slim = I.staged(valid.select("order_id", "arrival_ts", "arrival_seq"), "envelopes")
+    return D.flag_duplicates(slim).select("order_id", "arrival_seq.partition", "arrival_seq.offset", "is_dup")
+
+
 @query(
     "S4_explode_captured_batch",
     sql(
@@ -74,9 +97,23 @@ def explode_captured_batch(spark, sf):
     return parsed.select("event_id", "topic_partition", "ticker", "price")
 
 
-@query("S5_read_ticks", sql("SELECT event_id, datetime, ticker, price, volume FROM ticks"))
+@query(
+    "S5_read_ticks",
+    sql(
+        "SELECT event_id, datetime, CASE WHEN event_id % 50 <> 7 THEN ticker END AS ticker, price, volume, 'tick' AS kind FROM ticks WHERE event_id % 31 <> 5"
+        " UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, 'malformed' FROM ticks WHERE event_id % 31 = 5"
+    ),
+)
 def read_ticks(spark, sf):
-    return R.parse_ticks(I.tick_texts(spark, sf))
+    """Ticks, some without a ticker, and the texts that are none."""
+    nameless = F.regexp_replace("value", '"ticker":"[A-Z]+",', "")
+    e = F.col("event_id")
+    texts = I.tick_texts(spark, sf).withColumn(
+        "value", F.when(e % 31 == 5, F.substring("value", 2, 1000)).when(e % 50 == 7, nameless).otherwise(F.col("value"))
+    )
+    ticks = R.parse_ticks(texts).withColumn("kind", F.lit("tick"))
+    bad = R.malformed_ticks(texts).select("event_id", F.lit("malformed").alias("kind"))
+    return ticks.unionByName(bad, allowMissingColumns=True)
 
 
 @query(
@@ -90,6 +127,17 @@ def read_reference(spark, sf):
     return found.select("o_orderkey", "c_mktsegment", "c_nationkey")
 
 
+@query(
+    "S7_repeated_keys",
+    "SELECT c_nationkey::BIGINT AS c_nationkey, c_mktsegment, c_custkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer"
+    " QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_acctbal, c_custkey) = 1",
+)
+def repeated_keys(spark, sf):
+    """A lookup table by a key that repeats: one whole row per key."""
+    rows = I.table(spark, sf, "customer").select("c_nationkey", "c_mktsegment", "c_acctbal", "c_custkey")
+    return R.one_per_key(rows, "c_nationkey")
+
+
 @query(
     "S8_read_log_events",
     sql(
@@ -159,22 +207,29 @@ def collect_errors(spark, sf):
     )
 
 
+def _longer(raw):
+    """Every seventh text is over 12,000 characters long, and all that matters stands at its end."""
+    long = F.concat(F.repeat(F.lit(" "), F.lit(12_000)), F.col("value"))
+    return raw.withColumn("value", F.when(F.col("arrival_seq") % 7 == 0, long).otherwise(F.col("value")))
+
+
 _DLQ_SELECT = (
-    f"SELECT left(value, 10000) AS original_message, error_type, error_message, {_ERROR_TS} AS error_timestamp,"
+    f"SELECT left(text, 10000) AS original_message, text AS full_message, error_type, error_message, {_ERROR_TS} AS error_timestamp,"
     " CASE WHEN error_type <> 'SCHEMA_INVALID' THEN order_id END AS attempted_order_id"
-    " FROM checked WHERE error_type IS NOT NULL"
+    " FROM (SELECT *, CASE WHEN arrival_seq % 7 = 0 THEN repeat(' ', 12000) || value ELSE value END AS text FROM checked WHERE error_type IS NOT NULL)"
 )
 
 
 @query("V9_to_dlq", sql(_DLQ_SELECT))
 def to_dlq(spark, sf):
-    bad = V.route(I.validated(spark, sf))[1]
+    """Dead letters with the wire message and the whole text."""
+    bad = V.route(V.validate_orders(_longer(I.raw_orders(spark, sf))))[1]
     return V.to_dlq(bad, S.iso_text(F.col("arrival_ts")))
 
 
 @query("V10_route", sql("SELECT arrival_seq, CASE WHEN error_type IS NULL THEN 'ok' ELSE 'bad' END AS side FROM checked"))
 def route(spark, sf):
-    ok, bad = V.route(I.validated(spark, sf))
+    ok, bad = V.route(I.staged(I.validated(spark, sf).select("arrival_seq", "error_type"), "judged"))
     return ok.select("arrival_seq", F.lit("ok").alias("side")).unionByName(
         bad.select("arrival_seq", F.lit("bad").alias("side"))
     )
@@ -253,8 +308,9 @@ def parse_tolerant(spark, sf):
     ),
 )
 def replay_dlq(spark, sf):
-    """A renamed field sends good orders to the dead letters; the fixed parser recovers them."""
-    raw = _renamed(I.raw_orders(spark, sf))
+    """A renamed field sends good orders to the dead letters; the fixed parser recovers them, also where the wire
+    message has only the first characters of a long text."""
+    raw = _longer(_renamed(I.raw_orders(spark, sf)))
     dlq = V.to_dlq(V.route(V.validate_orders(raw))[1], S.iso_text(F.col("arrival_ts")))
     good, bad = V.replay_dlq(dlq, {"customer_id": ["cust_id"]})
     sides = good.select("first_error_type", F.lit("recovered").alias("side")).unionByName(
@@ -332,10 +388,7 @@ def enrich_reference(spark, sf):
     ref = I.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("custkey"), F.col("c_name").alias("company_name")
     )
-    found, missing = E.enrich_reference(ev, ref, "custkey", ["company_name"])
-    return found.select("event_id", "company_name", F.lit(None).cast("string").alias("error_message")).unionByName(
-        missing.select("event_id", F.lit(None).cast("string").alias("company_name"), "error_message")
-    )
+    return E.with_reference(ev, ref, "custkey", ["company_name"]).select("event_id", "company_name", "error_message")
 
 
 @query(
@@ -367,6 +420,37 @@ def to_wire_json(spark, sf):
     )
 
 
+@query(
+    "E9_dlq_wire_json",
+    sql(
+        "SELECT arrival_seq, '{\"original_message\":' || to_json(left(value, 10000))::VARCHAR || ',\"error_type\":\"' || error_type || '\",\"error_message\":'"
+        f" || to_json(error_message)::VARCHAR || ',\"error_timestamp\":\"' || {_ERROR_TS} || '\",\"attempted_order_id\":'"
+        " || CASE WHEN error_type <> 'SCHEMA_INVALID' THEN '\"' || order_id || '\"' ELSE 'null' END || '}' AS value FROM checked WHERE error_type IS NOT NULL"
+    ),
+)
+def dlq_wire_json(spark, sf):
+    """Dead letters as messages; the whole text stays in the table."""
+    bad = V.route(I.validated(spark, sf))[1]
+    dlq = V.to_dlq(bad, S.iso_text(F.col("arrival_ts")), keep=("arrival_seq",))
+    return E.to_wire_json(dlq, "dlq", into="wire").select("arrival_seq", F.col("wire").alias("value"))
+
+
+@query(
+    "E9_aggregate_wire_json",
+    sql(
+        "SELECT '{\"region\":\"' || region || '\",\"total_orders\":' || total_orders || ',\"total_amount\":\"' || regexp_replace(CAST(CAST(total_amount AS DECIMAL(38,6)) AS VARCHAR), '(\\.\\d\\d\\d*?)0+$', '\\1')"
+        f" || '\",\"avg_order_value\":\"' || CAST(CAST({average('total_amount', 'total_orders')} AS DECIMAL(18,2)) AS VARCHAR)"
+        " || '\",\"max_order_value\":\"' || regexp_replace(CAST(max_order_value AS VARCHAR), '(\\.\\d\\d\\d*?)0+$', '\\1')"
+        " || '\",\"window_start\":\"' || strftime(window_start, '%Y-%m-%dT%H:%M:%S.%f') || 'Z\",\"window_end\":\"' || strftime(window_start + INTERVAL 5 MINUTE, '%Y-%m-%dT%H:%M:%S.%f')"
+        " || 'Z\",\"processing_timestamp_ms\":' || epoch_ms(window_start + INTERVAL 15 MINUTE) || '}' AS value FROM region_windows"
+    ),
+)
+def aggregate_wire_json(spark, sf):
+    closes = F.timestamp_seconds(F.unix_seconds("window_end") + 600)
+    metrics = W.region_window_metrics(I.processed_orders(spark, sf), emitted_at=closes)
+    return E.to_wire_json(metrics, "aggregate").select("value")
+
+
 @query(
     "E10_from_wire_json",
     sql(
@@ -444,7 +528,7 @@ def dedup_first(spark, sf):
 @query(
     "D2_emit_duplicates",
     sql(
-        f"SELECT {_WIRE} AS original_message, 'DUPLICATE' AS error_type,"
+        f"SELECT {_WIRE} AS original_message, {_WIRE} AS full_message, 'DUPLICATE' AS error_type,"
         " 'Order ' || order_id || ' already processed within deduplication window' AS error_message,"
         " order_id AS attempted_order_id FROM flagged WHERE is_dup"
     ),

@@ -13,23 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from orderflow.operators import enrich as E
 from orderflow.operators import features as X
 from orderflow.operators import validate as V
 from orderflow.operators import windows as W
 from orderflow.plans import inputs as I
-from orderflow.plans.oracle import sql
+from orderflow.plans.oracle import average, sql
 from orderflow.plans.registry import query
-from orderflow.plans.window_queries import average
 from orderflow.session import scratch_path
 from orderflow.sources.orders import parse_ticks, read_orders_stream
 from orderflow.streaming import jobs as J
-from orderflow.streaming import progress as P
 from orderflow.streaming import sinks as K
 from orderflow.streaming.dedup import dedup_within_watermark
 
-_RUN_SECONDS = 3600
-
-
 def chunks(df: DataFrame, order: str, n: int) -> list[DataFrame]:
     """The rows in ``n`` consecutive ranges of ``order``."""
     low, high = df.agg(F.min(order), F.max(order)).first()
@@ -58,9 +54,7 @@ def replay(
         part.write.mode("append").parquet(source)
         stream = read_orders_stream(spark, {"files": source, "schema": records.schema})
         last = start(stream, checkpoint)
-        if not last.awaitTermination(_RUN_SECONDS):
-            last.stop()
-            raise TimeoutError("the replay did not finish")
+        last.awaitTermination()
     return last, checkpoint
 
 
@@ -84,17 +78,21 @@ def read_stream(spark, sf):
 
 @query(
     "T2_bounded_lateness",
-    sql("SELECT make_timestamp((max(epoch_us(event_time)) // 1000 - 600000) * 1000) AS watermark FROM valid"),
+    sql(
+        "SELECT event_minute, n FROM (SELECT date_trunc('minute', event_time) AS event_minute, count(*) AS n FROM valid GROUP BY 1)"
+        " WHERE epoch_us(event_minute) + 60000000 <= (SELECT max(epoch_us(event_time)) // 1000 * 1000 - 600000000 FROM valid)"
+    ),
 )
 def bounded_lateness(spark, sf):
-    """The watermark a stream of all valid orders arrives at, from the query's own progress."""
+    """Minutes that the watermark has passed: all up to ten minutes before the largest event time."""
     out = scratch_path(spark, "out")
-    last, _ = replay(
-        _valid(spark, sf),
-        lambda s, ck: K.write_table(J.region_windows(s), out, ck, None),
-    )
-    marks = P.progress_table(spark, last).select(F.col("watermark").cast("timestamp"))
-    return marks.agg(F.max("watermark").alias("watermark"))
+
+    def start(stream, checkpoint):
+        minutes = W.with_bounded_lateness(stream).groupBy(F.window("event_time", "1 minute").alias("w"))
+        return K.write_table(minutes.agg(F.count("*").alias("n")), out, checkpoint, None)
+
+    replay(_valid(spark, sf), start)
+    return spark.read.parquet(out).select(F.col("w.start").alias("event_minute"), "n")
 
 
 _HALF = ", half AS (SELECT min(arrival_seq) + (max(arrival_seq) - min(arrival_seq)) // 2 AS h FROM valid)"
@@ -126,10 +124,7 @@ def drop_late_stream(spark, sf):
 )
 def route_late_stream(spark, sf):
     """Late rows to their own table, over three micro-batches that hand on what they have seen."""
-    root = scratch_path(spark, "late")
-    replay(
-        _valid(spark, sf), lambda s, ck: K.write_each(s, J.route_late_batches(root), ck, None), n=3
-    )
+    root = _late_run(spark, sf)
     sides = [
         spark.read.parquet(f"{root}/{name}").select("order_id", "arrival_seq", F.lit(name).alias("side"))
         for name in ("on_time", "late")
@@ -137,6 +132,27 @@ def route_late_stream(spark, sf):
     return sides[0].unionByName(sides[1])
 
 
+def _late_run(spark, sf):
+    root = scratch_path(spark, "late")
+    replay(
+        _valid(spark, sf), lambda s, ck: K.write_each(s, J.route_late_batches(root), ck, None), n=3
+    )
+    return root
+
+
+@query(
+    "T6_late_count_stream",
+    sql(
+        "SELECT count(*) AS rows_in, count(*) FILTER (late) AS rows_late FROM (SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, event_time)) + 900000000 <="
+        " coalesce(max(epoch_us(event_time)) OVER (ORDER BY arrival_seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS late FROM valid)"
+    ),
+)
+def late_count_stream(spark, sf):
+    """Rows and late rows of all micro-batches, as the late sink counts them."""
+    counts = spark.read.parquet(f"{_late_run(spark, sf)}/counts")
+    return counts.agg(F.sum("rows_in").alias("rows_in"), F.sum("rows_late").alias("rows_late"))
+
+
 @query(
     "T8_corrections_stream",
     sql(f"SELECT region, window_start, {_ALL} FROM (SELECT region, time_bucket(INTERVAL 5 MINUTE, event_time) AS window_start, {_GROUP} FROM valid GROUP BY 1, 2)"),
@@ -158,43 +174,31 @@ def corrections_stream(spark, sf):
 
 
 def _outcomes(spark, sf):
-    """The first streaming query, raw texts to outcomes; its table is partitioned by outcome."""
-    out = scratch_path(spark, "outcomes")
-
-    def start(stream, checkpoint):
-        outcomes = J.order_outcomes(stream, at=I.processed_at())
-        return J.run_dedup_query(
-            lambda: K.write_table(outcomes, out, checkpoint, None, partition_by=["outcome"]), spark
-        )
-
-    replay(I.raw_orders(spark, sf), start)
-    return spark.read.schema(J.OUTCOME + ", outcome string").parquet(out)
+    """The first streaming query, raw texts to outcomes, over three micro-batches; arrivals span a month, so the
+    24-hour memory expires many times."""
+    root = scratch_path(spark, "outcomes")
+    write = J.write_outcomes(root, at=I.processed_at())
+    replay(I.raw_orders(spark, sf), lambda s, ck: K.write_each(s, write, ck, None), n=3)
+    return J.read_outcomes(spark, root)
 
 
-@query(
-    "D1_dedup_stream",
-    sql("SELECT order_id, count(*) AS copies, count(*) - 1 AS duplicates FROM valid GROUP BY 1"),
-)
+@query("D1_dedup_stream", sql("SELECT order_id, arrival_seq, is_dup FROM flagged"))
 def dedup_stream(spark, sf):
-    return (
-        _outcomes(spark, sf)
-        .filter(F.col("error_type").isNull() | (F.col("error_type") == "DUPLICATE"))
-        .groupBy("order_id")
-        .agg(
-            F.count("*").alias("copies"),
-            F.count_if(F.col("error_type") == "DUPLICATE").alias("duplicates"),
-        )
+    """Which arrival of each order won, and which were duplicates."""
+    valid = F.col("error_type").isNull() | (F.col("error_type") == "DUPLICATE")
+    return _outcomes(spark, sf).filter(valid).select(
+        "order_id", "arrival_seq", F.col("error_type").isNotNull().alias("is_dup")
     )
 
 
 @query(
     "K1_write_processed",
-    sql(_FIRST + " SELECT order_id, customer_id, CAST(amount AS DOUBLE) AS amount, tax, region, merchant_id, event_time FROM firsts"),
+    sql("SELECT order_id, arrival_seq, customer_id, CAST(amount AS DOUBLE) AS amount, tax, region, merchant_id, event_time FROM processed"),
 )
 def write_processed(spark, sf):
     """Processed orders of the streaming query; late ones are in, since it has no watermark."""
     return J.processed_of(_outcomes(spark, sf)).select(
-        "order_id", "customer_id", "amount", "tax", "region", "merchant_id", "event_time"
+        "order_id", "arrival_seq", "customer_id", "amount", "tax", "region", "merchant_id", "event_time"
     )
 
 
@@ -203,7 +207,7 @@ def write_processed(spark, sf):
     sql(
         "SELECT error_type, attempted_order_id, count(*) AS n FROM ("
         " SELECT error_type, CASE WHEN error_type <> 'SCHEMA_INVALID' THEN order_id END AS attempted_order_id FROM checked WHERE error_type IS NOT NULL UNION ALL"
-        " SELECT 'DUPLICATE', order_id FROM valid QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY arrival_seq) > 1) GROUP BY ALL"
+        " SELECT 'DUPLICATE', order_id FROM flagged WHERE is_dup) GROUP BY ALL"
     ),
 )
 def write_dlq(spark, sf):
@@ -258,7 +262,8 @@ def upsert_by_key(spark, sf):
     """Each customer's newest order, upserted over two micro-batches."""
     out = scratch_path(spark, "upsert")
     rows = _valid(spark, sf).select("customer_id", "order_id", "arrival_seq", "region")
-    replay(rows, lambda s, ck: K.write_each(s, K.upsert_by_key(out), ck, None), n=2)
+    write = K.upsert_by_key(out, ["customer_id"], "arrival_seq")
+    replay(rows, lambda s, ck: K.write_each(s, write, ck, None), n=2)
     schema = "customer_id string, order_id string, arrival_seq bigint, region string"
     return K.read_upserted(spark, out, ["customer_id"], schema, order="arrival_seq")
 
@@ -286,6 +291,50 @@ def fan_out(spark, sf):
     return tables[0].unionByName(tables[1])
 
 
+@query(
+    "E7_enrich_stream",
+    sql(
+        "SELECT event_id, c_name AS company_name, CASE WHEN c_name IS NULL THEN 'No reference row for custkey ' || ev.user_id * 11 END AS error_message"
+        " FROM ev LEFT JOIN customer ON c_custkey = ev.user_id * 11"
+    ),
+)
+def enrich_stream(spark, sf):
+    """A stream of events looked up in the customer table, two micro-batches."""
+    out = scratch_path(spark, "enriched")
+    events = I.events(spark, sf).select("event_id", (F.col("user_id") * 11).alias("custkey"))
+    ref = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("company_name"))
+    replay(
+        events, lambda s, ck: K.write_table(E.with_reference(s, ref, "custkey", ["company_name"]), out, ck, None),
+        n=2, order="event_id",
+    )
+    return spark.read.parquet(out).select("event_id", "company_name", "error_message")
+
+
+@query(
+    "T12_window_cogroup_stream",
+    sql(
+        "SELECT * FROM (SELECT coalesce(a.customer_id, b.customer_id) AS customer_id, coalesce(a.w, b.w) AS window_start, orders, errors FROM"
+        " (SELECT customer_id, time_bucket(INTERVAL 1 HOUR, event_time) AS w, count(*) AS orders FROM valid GROUP BY 1, 2) a FULL JOIN"
+        " (SELECT customer_id, time_bucket(INTERVAL 1 HOUR, timestamp) AS w, count(*) FILTER (level = 'ERROR') AS errors FROM logs GROUP BY 1, 2) b"
+        " ON a.customer_id = b.customer_id AND a.w = b.w) WHERE epoch_us(window_start) + 3600000000 <= least((SELECT max(epoch_us(event_time)) FROM valid), (SELECT max(epoch_us(timestamp)) FROM logs)) // 1000 * 1000 - 600000000"
+    ),
+)
+def window_cogroup_stream(spark, sf):
+    """Orders and log events of a customer met per hour, as two streams."""
+    out, checkpoint = scratch_path(spark, "met"), scratch_path(spark, "checkpoint")
+    sides = []
+    for name, rows in (("orders", _valid(spark, sf)), ("logs", I.log_events(spark, sf).drop("context"))):
+        folder = scratch_path(spark, name)
+        rows.write.parquet(folder)
+        sides.append(read_orders_stream(spark, {"files": folder, "schema": rows.schema}))
+    met = W.window_cogroup_stream(
+        *sides, "customer_id", "1 hour", {"orders": F.count("*")}, {"errors": F.count_if(F.col("level") == "ERROR")},
+        right_ts="timestamp",
+    )
+    K.write_table(met, out, checkpoint, None).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query("D3_dedup_within_watermark", sql("SELECT DISTINCT order_id FROM valid"))
 def dedup_watermark(spark, sf):
     out = scratch_path(spark, "dedup")
@@ -300,7 +349,10 @@ def dedup_watermark(spark, sf):
 
 def _features(spark, sf):
     root = scratch_path(spark, "features")
-    ticks = I.tick_texts(spark, sf)
+    nameless = F.regexp_replace("value", '"ticker":"[A-Z]+",', "")
+    ticks = I.tick_texts(spark, sf).withColumn(
+        "value", F.when(F.col("event_id") % 50 == 7, nameless).otherwise(F.col("value"))
+    )
 
     def start(stream, checkpoint):
         record = X.to_feature_record(
@@ -309,22 +361,32 @@ def _features(spark, sf):
             ),
             keep=["event_id"],
         ).drop("record")
-        return K.write_each(record, K.ingest_features(root, "ticker", "event_time"), checkpoint, None)
+        return K.write_each(record, K.ingest_features(root, "ticker", "event_time", "event_id"), checkpoint, None)
 
     replay(ticks, start, n=2, order="event_id")
     return root
 
 
-@query("F1_ingest_features", sql("SELECT ticker, strftime(max(datetime), '%Y-%m-%dT%H:%M:%SZ') AS event_time FROM ticks GROUP BY 1"))
+_STAMP = "strftime(datetime, '%Y-%m-%dT%H:%M:%SZ')"
+
+
+@query(
+    "F1_ingest_features",
+    sql(
+        f"SELECT event_id, md5(name || '_' || {_STAMP}) AS id, name AS ticker, CAST(price AS VARCHAR) AS price, {_STAMP} AS datetime, {_STAMP} AS event_time"
+        " FROM (SELECT *, CASE WHEN event_id % 50 = 7 THEN '' ELSE ticker END AS name FROM ticks)"
+        " QUALIFY row_number() OVER (PARTITION BY name ORDER BY datetime DESC, event_id DESC) = 1"
+    ),
+)
 def ingest_features(spark, sf):
-    """The online side after both stores were fed in one pass."""
+    """The online side after both stores were fed in one pass; some ticks have no ticker."""
     schema = "event_id bigint, id string, ticker string, price string, datetime string, event_time string"
     return K.read_upserted(
         spark, f"{_features(spark, sf)}/online", ["ticker"], schema, order="event_time"
-    ).select("ticker", "event_time")
+    )
 
 
-@query("F2_offline_append", sql("SELECT event_id, ticker, strftime(datetime, '%Y-%m-%d') AS event_date FROM ticks"))
+@query("F2_offline_append", sql("SELECT event_id, CASE WHEN event_id % 50 = 7 THEN '' ELSE ticker END AS ticker, strftime(datetime, '%Y-%m-%d') AS event_date FROM ticks"))
 def offline_append(spark, sf):
     history = spark.read.parquet(f"{_features(spark, sf)}/offline")
     return history.select("event_id", "ticker", "event_date")
@@ -350,28 +412,3 @@ def sessions_stream(spark, sf):
 
     replay(_valid(spark, sf), start)
     return spark.read.parquet(out)
-
-
-def _window_run(spark, sf):
-    out = scratch_path(spark, "out")
-    return replay(
-        _valid(spark, sf), lambda s, ck: K.write_table(J.region_windows(s), out, ck, None)
-    )
-
-
-@query("Q20_state_growth")
-def state_growth(spark, sf):
-    last, _ = _window_run(spark, sf)
-    return P.state_growth(P.progress_table(spark, last))
-
-
-@query("Q21_batch_duration")
-def batch_duration(spark, sf):
-    last, _ = _window_run(spark, sf)
-    return P.batch_duration(P.progress_table(spark, last))
-
-
-@query("Q22_state_fingerprint")
-def state_fingerprint(spark, sf):
-    _, checkpoint = _window_run(spark, sf)
-    return P.state_fingerprint(P.read_state(spark, checkpoint))

@@ -11,18 +11,11 @@ from orderflow.operators import late as L
 from orderflow.operators import windows as W
 from orderflow.operators.latency import P50_95_99
 from orderflow.plans import inputs as I
-from orderflow.plans.oracle import half_even, percentile, sql
+from orderflow.plans.oracle import average, percentile, sql
 from orderflow.plans.registry import query
 from orderflow.sources import lake as K
 from orderflow.sources import orders as R
 
-
-def average(total: str, count: str) -> str:
-    """Half-even average in cents of a decimal total, in whole numbers."""
-    units = f"CAST({total} * 1000000 AS HUGEINT)"
-    return f"CAST({half_even(units, f'CAST({count} AS HUGEINT) * 10000')} AS DOUBLE) / 100"
-
-
 _METRICS = (
     f"total_orders, CAST(total_amount AS DOUBLE) AS total_amount, {average('total_amount', 'total_orders')} AS avg_order_value,"
     " CAST(max_order_value AS DOUBLE) AS max_order_value"
@@ -82,12 +75,13 @@ def region_window_metrics(spark, sf):
 
 @query("T6_drop_late", sql("SELECT order_id, arrival_seq, event_time FROM late WHERE NOT is_late"))
 def drop_late(spark, sf):
-    return L.drop_late(I.processed_orders(spark, sf)).select("order_id", "arrival_seq", "event_time")
+    slim = I.processed_orders(spark, sf).select("order_id", "arrival_seq", "arrival_ts", "event_time")
+    return L.drop_late(slim).select("order_id", "arrival_seq", "event_time")
 
 
 @query("T6_late_count", sql("SELECT count(*) AS rows_in, count(*) FILTER (is_late) AS rows_late FROM late"))
 def late_count(spark, sf):
-    return L.late_count(I.processed_orders(spark, sf))
+    return L.late_count(I.processed_orders(spark, sf).select("arrival_seq", "arrival_ts", "event_time"))
 
 
 @query(
@@ -95,7 +89,8 @@ def late_count(spark, sf):
     sql(f"SELECT order_id, arrival_seq, {_END_5}, CASE WHEN is_late THEN 'late' ELSE 'on_time' END AS side FROM late"),
 )
 def route_late(spark, sf):
-    on_time, late = L.route_late(I.processed_orders(spark, sf))
+    slim = I.processed_orders(spark, sf).select("order_id", "arrival_seq", "arrival_ts", "event_time")
+    on_time, late = L.route_late(slim)
     columns = ["order_id", "arrival_seq", "window_end"]
     return on_time.select(*columns, F.lit("on_time").alias("side")).unionByName(
         late.select(*columns, F.lit("late").alias("side"))
@@ -434,12 +429,23 @@ def lake_age_tiers(spark, sf):
     return K.lake_age_tiers(parts, today, 2555).drop("files", "bytes")
 
 
-@query("K5_write_lake")
+_HOURS = (
+    "SELECT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, strftime(ts, '%H') AS hour,"
+    " 1::BIGINT AS files, count(*) AS rows FROM events GROUP BY ALL"
+)
+
+
+@query("K5_write_lake", _HOURS)
 def write_lake(spark, sf):
-    return K.partitions_of_files(K.lake_files(spark, _lake(spark, sf))).drop("bytes")
+    """Files and rows of every hour; an hour below the size of a file has one."""
+    path = _lake(spark, sf)
+    files = K.partitions_of_files(K.lake_files(spark, path)).drop("bytes")
+    return files.join(K.rows_per_hour(K.lake_table(spark, path)), K.PARTITIONS)
 
 
-@query("K9_compact_partitions")
+@query("K9_compact_partitions", _HOURS)
 def compact_partitions(spark, sf):
+    """An hour of several small files becomes one file with all its rows."""
     into = I.scratch_path(spark, "compact")
-    return K.compact_partitions(spark, _lake(spark, sf, rows_per_file=8), into).drop("bytes")
+    files = K.compact_partitions(spark, _lake(spark, sf, rows_per_file=8), into).drop("bytes")
+    return files.join(K.rows_per_hour(K.lake_table(spark, into)), K.PARTITIONS)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,14 +54,52 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="orderflow-")
 
 
+_open = threading.local()  # a micro-batch runs in a thread of its own
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder, one per run."""
-    return f"{shared_dir(spark)}/orderflow/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared folder, one per run. It belongs to the innermost open scope."""
+    path = f"{shared_dir(spark)}/orderflow/{label}-{uuid.uuid4().hex[:12]}"
+    if getattr(_open, "scopes", None):
+        _open.scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was staged inside. A caller that reads a query's result to its end wraps the query in a
+    scope; a frame that is still read later must not be."""
+    _open.scopes = [*getattr(_open, "scopes", []), []]
+    try:
+        yield
+    finally:
+        for path in _open.scopes.pop():
+            delete_path(spark, path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write once, read back: later steps read the columns they need, and lineage ends here."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def reliable_checkpoint(df):
-    """Cut the lineage of ``df`` into the shared folder, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/orderflow/rdd")
-    return df.checkpoint(eager=True)
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no such folder."""
+    system, target = _file_system(spark, path)
+    return [status.getPath().getName() for status in system.listStatus(target)] if system.exists(target) else []

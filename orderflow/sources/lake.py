@@ -67,19 +67,22 @@ def read_lake(
     spark: SparkSession, path: str, start: datetime, end: datetime, ts: str, schema: str | None = None
 ) -> DataFrame:
     """Rows with ``start <= ts < end``; only partitions of that range are read."""
-    reader = spark.read.option("basePath", path)
-    if schema:
-        reader = reader.schema(
-            schema + "".join(f", {p} string" for p in PARTITIONS)
-        )
-    else:
-        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    rows = reader.parquet(path).filter(hour_range(start, end))
+    rows = lake_table(spark, path, schema).filter(hour_range(start, end))
     return rows.filter(
         (F.col(ts) >= F.lit(start).cast("timestamp")) & (F.col(ts) < F.lit(end).cast("timestamp"))
     )
 
 
+def lake_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The whole lake. Partition columns are texts, so that ``05`` stays what the folder says; the other columns come from
+    ``schema`` or the files."""
+    reader = spark.read.option("basePath", path)
+    if schema is None:
+        found = reader.parquet(path).schema
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.fields if f.name not in PARTITIONS)
+    return reader.schema(schema + "".join(f", {p} string" for p in PARTITIONS)).parquet(path)
+
+
 def lake_files(spark: SparkSession, path: str) -> DataFrame:
     """Path, size and modification time of every data file, without reading contents."""
     return (
@@ -126,11 +129,10 @@ def compact_partitions(
     joined back as a column), and rows are spread over that many writers. The result goes to a new
     folder, so a lost executor or a failed run leaves the source whole; the caller swaps the folders.
     """
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     sizes = partitions_of_files(lake_files(spark, path)).select(
         *PARTITIONS, F.ceil(F.col("bytes") / F.lit(target_bytes)).cast("int").alias("_files")
     )
-    rows = spark.read.parquet(path)
+    rows = lake_table(spark, path)
     data = [c for c in rows.columns if c not in PARTITIONS]
     spread = F.pmod(F.xxhash64(*data), F.greatest("_files", F.lit(1)))
     (
@@ -144,3 +146,7 @@ def compact_partitions(
         .parquet(into)
     )
     return partitions_of_files(lake_files(spark, into))
+
+
+def rows_per_hour(lake: DataFrame) -> DataFrame:
+    return lake.groupBy(*PARTITIONS).agg(F.count("*").alias("rows"))

@@ -54,8 +54,8 @@ def read_orders_batch(spark: SparkSession, source: dict) -> DataFrame:
 def read_envelopes(df: DataFrame) -> DataFrame:
     """Decoded value beside its topic, partition, offset and broker time.
 
-    Within a partition the offset is the order of arrival; across partitions the broker time is, so
-    ``arrival_seq`` is built from both.
+    Arrivals are ordered by (arrival_ts, arrival_seq): by broker time, which has milliseconds and is shared by
+    many records, then by partition and offset. The pair (partition, offset) also names a record for good.
     """
     arrival = F.col("timestamp").cast("timestamp")
     return df.select(
@@ -64,7 +64,7 @@ def read_envelopes(df: DataFrame) -> DataFrame:
         "partition",
         "offset",
         arrival.alias("arrival_ts"),
-        (F.unix_micros(arrival) * 4 + F.pmod("offset", F.lit(4))).alias("arrival_seq"),
+        F.struct("partition", "offset").alias("arrival_seq"),
     )
 
 
@@ -84,39 +84,41 @@ def explode_captured_batch(df: DataFrame, value: str = "value") -> DataFrame:
     that cannot be decoded or parsed are left out."""
     doc = F.try_parse_json(F.col(value))
     kept = [c for c in df.columns if c != value]
-    base = df.withColumn("_doc", doc).filter(F.col("_doc").isNotNull())
+    base = df.withColumn("_doc", doc)
     grouped = F.try_variant_get("_doc", "$.records", "map<string,array<variant>>")
     bare_list = F.try_variant_get("_doc", "$", "array<variant>")
     nothing = F.lit(None).cast("string").alias("topic_partition")
-    encoded = (
-        base.select(*kept, F.explode(grouped).alias("topic_partition", "_records"))
-        .select(*kept, "topic_partition", F.explode("_records").alias("_r"))
-        .select(
-            *kept, "topic_partition",
-            decode_base64(F.try_variant_get("_r", "$.value", "string")).alias("payload"),
+    record = "struct<topic_partition:string,payload:string>"
+    encoded = F.flatten(
+        F.transform(
+            F.map_entries(grouped),
+            lambda part: F.transform(
+                part["value"],
+                lambda r: F.struct(
+                    part["key"].alias("topic_partition"),
+                    decode_base64(F.try_variant_get(r, "$.value", "string")).alias("payload"),
+                ),
+            ),
         )
     )
-    listed = base.select(*kept, F.explode(bare_list).alias("_r")).select(
-        *kept, nothing, F.to_json("_r").alias("payload")
-    )
-    single = base.filter(
-        bare_list.isNull() & F.try_variant_get("_doc", "$.records", "variant").isNull()
-    ).select(*kept, nothing, F.col(value).alias("payload"))
-    return (
-        encoded.unionByName(listed)
-        .unionByName(single)
-        .filter(F.json_object_keys("payload").isNotNull())
+    listed = F.transform(bare_list, lambda r: F.struct(nothing, F.to_json(r).alias("payload")))
+    single = F.when(
+        F.try_variant_get("_doc", "$.records", "variant").isNull(), F.array(F.struct(nothing, F.col(value).alias("payload")))
     )
+    # One parse and one pass: a document has one of the three shapes.
+    shapes = F.coalesce(encoded.cast(f"array<{record}>"), listed.cast(f"array<{record}>"), single.cast(f"array<{record}>"))
+    return base.select(*kept, F.inline(shapes)).filter(F.json_object_keys("payload").isNotNull())
 
 
 def parse_ticks(df: DataFrame, value: str = "value") -> DataFrame:
-    """``{datetime, ticker, price[, volume]}`` texts to typed ticks; other texts are left out."""
+    """``{datetime, ticker, price[, volume]}`` texts to typed ticks. A tick may lack any of its fields; only texts that are no
+    JSON object are left out, see :func:`malformed_ticks`."""
     rest = [c for c in df.columns if c != value]
     tick = F.from_json(
         F.col(value), "datetime string, ticker string, price double, volume bigint"
     )
     parsed = df.withColumn("_t", tick)
-    return parsed.filter(F.col("_t.ticker").isNotNull()).select(
+    return parsed.filter(_is_object(F.col(value))).select(
         *rest,
         iso_timestamp(F.col("_t.datetime")).alias("datetime"),
         F.col("_t.ticker").alias("ticker"),
@@ -125,6 +127,15 @@ def parse_ticks(df: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def _is_object(text: Column) -> Column:
+    return F.coalesce(F.json_object_keys(text).isNotNull(), F.lit(False))
+
+
+def malformed_ticks(df: DataFrame, value: str = "value") -> DataFrame:
+    """The texts that :func:`parse_ticks` cannot read, as they came."""
+    return df.filter(~_is_object(F.col(value)))
+
+
 def read_ticks(spark: SparkSession, source: dict, streaming: bool = False) -> DataFrame:
     read = read_orders_stream if streaming else read_orders_batch
     return parse_ticks(read(spark, source))
@@ -142,11 +153,17 @@ def read_log_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reference(spark: SparkSession, path: str, key: str, fmt: str = "parquet") -> DataFrame:
-    """A keyed lookup table, one row per key. Whether a join broadcasts it is the optimizer's
-    decision, by its measured size."""
-    table = spark.read.format(fmt).load(path)
+    """A keyed lookup table, one row per key: of a repeated key the whole row that is smallest, column by
+    column. Whether a join broadcasts it is the optimizer's decision, by its measured size."""
+    return one_per_key(spark.read.format(fmt).load(path), key)
+
+
+def one_per_key(table: DataFrame, key: str) -> DataFrame:
     rest = [c for c in table.columns if c != key]
-    return table.groupBy(key).agg(*[F.min(c).alias(c) for c in rest]) if rest else table.distinct()
+    if not rest:
+        return table.distinct()
+    row = table.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row"))
+    return row.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 def replay_from(df: DataFrame, order: str, start, end=None) -> DataFrame:

@@ -1,73 +1,88 @@
-"""First arrival per key wins, as a keyed streaming operator with a time-limited memory."""
+"""First arrival per key wins, over micro-batches, with a time-limited memory kept as a table.
 
-from __future__ import annotations
+The memory holds one row per accepted arrival and is read once per micro-batch: an equi-join in the JVM on
+the keys of the batch, however large the batch is. Its clock is the arrival, as in the batch operator, so
+the answer does not depend on where micro-batches begin and a backlog is de-duplicated like live input.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderflow import constants as C
+from orderflow.functions.scalar import join_on
+from orderflow.operators.dedup import flag_duplicates
+from orderflow.session import delete_path, path_exists, stage
+
+#: Micro-batches after which the memory is rewritten without what has expired.
+GENERATION = 16
 
 
-class FirstArrival(StatefulProcessor):
-    """Remembers accepted keys. Rows that already carry an error pass through untouched.
+class AcceptedArrivals:
+    """The memory: a folder per generation of micro-batches, in it one folder per micro-batch.
 
-    The memory's clock is processing time, so all rows of a key in one micro-batch meet the same
-    memory: the earliest of them is accepted if the key is unknown, and all others are duplicates.
-    Only that one candidate row is held, never the group.
+    A generation begins with the rows of the one before that are still remembered, so neither files nor rows
+    grow with the age of the stream. Micro-batch ``n`` reads what earlier ones wrote and overwrites its own
+    folder, so a repeated micro-batch leaves the same memory behind.
     """
 
-    def __init__(self, ttl_seconds: int, columns: list[str]):
-        self.ttl_ms = ttl_seconds * 1000
-        self.columns = columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "accepted_seq bigint", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self.seen.exists()
-        candidate = None
-        for row in rows:
-            if row["error_type"] is not None:
-                yield self._out(row, False)
-            elif known:
-                yield self._out(row, True)
-            elif candidate is None:
-                candidate = row
-            elif row["arrival_seq"] < candidate["arrival_seq"]:
-                yield self._out(candidate, True)
-                candidate = row
-            else:
-                yield self._out(row, True)
-        if candidate is not None:
-            self.seen.update((candidate["arrival_seq"],))
-            yield self._out(candidate, False)
-
-    def _out(self, row: Row, is_dup: bool) -> Row:
-        return Row(**{c: row[c] for c in self.columns}, is_dup=is_dup)
-
-    def close(self) -> None:
-        pass
-
-
-def flag_duplicates_stream(
-    df: DataFrame, key: str, ttl_seconds: int = C.DEDUP_TTL_SECONDS
+    def __init__(self, spark: SparkSession, root: str, ttl_seconds: int):
+        self.spark, self.root, self.ttl_us = spark, root, ttl_seconds * 1_000_000
+
+    def _folder(self, generation: int) -> str:
+        return f"{self.root}/generation={generation}"
+
+    def _rows(self, generation: int, before: int) -> DataFrame:
+        schema = "_key string, _accepted_us bigint, batch_id bigint"
+        rows = self.spark.read.schema(schema).parquet(self._folder(generation))
+        return rows.filter(F.col("batch_id") < before).select("_key", "_accepted_us")
+
+    def before(self, batch_id: int, earliest_us: int) -> DataFrame | None:
+        """Arrivals accepted by earlier micro-batches and remembered at ``earliest_us`` or later."""
+        generation = batch_id // GENERATION
+        carried = f"{self._folder(generation)}/batch_id=-1"
+        if generation and batch_id % GENERATION == 0 and path_exists(self.spark, self._folder(generation - 1)):
+            old = self._rows(generation - 1, batch_id).filter(F.col("_accepted_us") + self.ttl_us > earliest_us)
+            old.groupBy("_key").agg(F.max("_accepted_us").alias("_accepted_us")).write.mode("overwrite").parquet(carried)
+            delete_path(self.spark, self._folder(generation - 2))
+        if not path_exists(self.spark, self._folder(generation)):
+            return None
+        return self._rows(generation, batch_id).filter(F.col("_accepted_us") + self.ttl_us > earliest_us)
+
+    def write(self, accepted: DataFrame, batch_id: int) -> None:
+        accepted.write.mode("overwrite").parquet(f"{self._folder(batch_id // GENERATION)}/batch_id={batch_id}")
+
+
+def flag_batch_duplicates(
+    batch: DataFrame, batch_id: int, memory: str, key: str = "order_id", ttl_seconds: int = C.DEDUP_TTL_SECONDS
 ) -> DataFrame:
-    """Streaming twin of :func:`orderflow.operators.dedup.flag_duplicates`.
+    """One micro-batch's twin of :func:`orderflow.operators.dedup.flag_duplicates`; adds ``is_dup``.
 
-    ``df`` carries ``arrival_seq`` and ``error_type``. The shuffle on ``key`` and the number of
-    state partitions are fixed by ``spark.sql.shuffle.partitions`` at the first start.
+    ``batch`` is read several times and so should be stored or persisted; it has ``arrival_ts`` and
+    ``arrival_seq``, and its key is a text. An arrival that is late by more than a micro-batch counts as a duplicate of
+    what was accepted after it.
     """
-    names = df.columns
-    schema = StructType(list(df.schema.fields)).add("is_dup", "boolean")
-    return df.groupBy(key).transformWithState(
-        statefulProcessor=FirstArrival(ttl_seconds, names),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="ProcessingTime",
-    )
+    own = AcceptedArrivals(batch.sparkSession, memory, ttl_seconds)
+    earliest = batch.agg(F.min(F.unix_micros("arrival_ts"))).first()[0]
+    if earliest is None:
+        own.write(batch.limit(0).select(F.col(key).alias("_key"), F.lit(0).cast("bigint").alias("_accepted_us")), batch_id)
+        return batch.withColumn("is_dup", F.lit(False))
+    known = own.before(batch_id, earliest)
+    fresh, repeated = batch, None
+    if known is not None:
+        here = batch.select(F.col(key).alias("_key")).distinct()
+        latest = join_on(known, here, ["_key"], "left_semi").groupBy("_key").agg(F.max("_accepted_us").alias("_accepted_us"))
+        met = join_on(batch.withColumn("_key", F.col(key)), latest, ["_key"], "left").drop("_key")
+        held = F.coalesce(F.unix_micros("arrival_ts") < F.col("_accepted_us") + own.ttl_us, F.lit(False))
+        marked = stage(met.withColumn("_held", held), "met-memory")
+        fresh = marked.filter(~F.col("_held")).drop("_held", "_accepted_us")
+        repeated = marked.filter("_held").drop("_held", "_accepted_us").withColumn("is_dup", F.lit(True))
+    flagged = flag_duplicates(fresh, key, ttl_seconds=ttl_seconds)
+    flagged = stage(flagged if repeated is None else flagged.unionByName(repeated), "flagged-batch")
+    accepted = flagged.filter(~F.col("is_dup")).groupBy(F.col(key).alias("_key"))
+    own.write(accepted.agg(F.max(F.unix_micros("arrival_ts")).alias("_accepted_us")), batch_id)
+    return flagged
 
 
 def dedup_within_watermark(df: DataFrame, key: str, ts: str, delay: str) -> DataFrame:

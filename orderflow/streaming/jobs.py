@@ -11,27 +11,26 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from orderflow import constants as C
 from orderflow.functions.running import running
 from orderflow.functions.scalar import iso_text, time_bin
 from orderflow.operators.enrich import enrich_orders, from_wire_json, to_wire_json
-from orderflow.operators.validate import to_dlq, validate_orders
+from orderflow.operators.validate import route, to_dlq, validate_orders
 from orderflow.operators.windows import finish_windows, window_accumulate, with_event_time
-from orderflow.session import ROCKSDB_PROVIDER
-from orderflow.streaming.dedup import flag_duplicates_stream
+from orderflow.session import delete_path, path_exists, stage, staging_scope
+from orderflow.streaming.dedup import flag_batch_duplicates
 from orderflow.streaming.sinks import batch_path
 
 OUTCOME = (
-    "order_id string, arrival_seq bigint, arrival_ts timestamp, error_type string,"
-    " error_message string, value string"
+    "order_id string, arrival_seq {seq}, arrival_ts timestamp, error_type string,"
+    " error_message string, value string, batch_id bigint, outcome string"
 )
 
 
 def with_outcome_text(df: DataFrame, at: Column | None = None) -> DataFrame:
     """Validate and enrich; ``value`` becomes the enriched JSON of a valid order and stays the raw
-    text of any other. One parse and one column per record cross into the keyed operator."""
+    text of any other. One parse per record."""
     checked = enrich_orders(validate_orders(df), at)
     wire = to_wire_json(checked, "enriched", into="_wire")
     return wire.withColumn(
@@ -39,41 +38,52 @@ def with_outcome_text(df: DataFrame, at: Column | None = None) -> DataFrame:
     ).select("order_id", "arrival_seq", "arrival_ts", "error_type", "error_message", "value")
 
 
-def order_outcomes(
-    raw: DataFrame, ttl_seconds: int = C.DEDUP_TTL_SECONDS, at: Column | None = None
-) -> DataFrame:
-    """Raw stream to one row per record with ``outcome`` (``processed`` or ``dlq``).
+def write_outcomes(
+    root: str, ttl_seconds: int = C.DEDUP_TTL_SECONDS, at: Column | None = None
+) -> Callable[[DataFrame, int], None]:
+    """Raw records of each micro-batch to ``root/outcomes``, one row per record with ``outcome``
+    (``processed`` or ``dlq``); the memory of accepted orders is ``root/accepted``.
 
-    Rejected rows get a key of their own, so they neither share state nor pile up under one key.
+    Everything runs in the JVM. Rejected rows do not take part in the de-duplication. The outcome of a
+    micro-batch is written once: where its folder is complete, a repeated run leaves it as it is.
     """
-    keyed = with_outcome_text(raw, at).withColumn(
-        "_key",
-        F.when(F.col("error_type").isNull(), F.col("order_id")).otherwise(
-            F.concat(F.lit("rejected-"), F.col("arrival_seq").cast("string"))
-        ),
-    )
-    flagged = flag_duplicates_stream(keyed, "_key", ttl_seconds).drop("_key")
-    return (
-        flagged.withColumn(
-            "error_message",
-            F.when(
-                F.col("is_dup"),
-                F.concat(
-                    F.lit("Order "), F.col("order_id"),
-                    F.lit(" already processed within deduplication window"),
-                ),
-            ).otherwise(F.col("error_message")),
-        )
-        .withColumn("error_type", F.when(F.col("is_dup"), "DUPLICATE").otherwise(F.col("error_type")))
-        .withColumn("outcome", F.when(F.col("error_type").isNull(), "processed").otherwise("dlq"))
-        .drop("is_dup")
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        target = batch_path(f"{root}/outcomes", batch_id)
+        if path_exists(spark, f"{target}/_SUCCESS"):
+            return
+        with staging_scope(spark):
+            checked = stage(with_outcome_text(batch, at), "checked-batch")
+            valid, rejected = route(checked)
+            flagged = flag_batch_duplicates(valid, batch_id, f"{root}/accepted", ttl_seconds=ttl_seconds)
+            repeated = F.concat(
+                F.lit("Order "), F.col("order_id"), F.lit(" already processed within deduplication window")
+            )
+            judged = (
+                flagged.withColumn("error_type", F.when(F.col("is_dup"), "DUPLICATE"))
+                .withColumn("error_message", F.when(F.col("is_dup"), repeated))
+                .drop("is_dup")
+            )
+            (
+                judged.unionByName(rejected)
+                .withColumn("outcome", F.when(F.col("error_type").isNull(), "processed").otherwise("dlq"))
+                .write.mode("overwrite").partitionBy("outcome").parquet(target)
+            )
+
+    return write
+
+
+def read_outcomes(spark: SparkSession, root: str, seq: str = "bigint", streaming: bool = False) -> DataFrame:
+    """What :func:`write_outcomes` has written, as a table or as the stream that the second query reads."""
+    reader = spark.readStream if streaming else spark.read
+    return reader.schema(OUTCOME.format(seq=seq)).option("basePath", f"{root}/outcomes").parquet(f"{root}/outcomes")
 
 
 def processed_of(outcomes: DataFrame) -> DataFrame:
-    """Typed processed orders with their event time."""
+    """Typed processed orders with their arrival and event time."""
     ok = outcomes.filter(F.col("outcome") == "processed")
-    return with_event_time(from_wire_json(ok, "enriched"))
+    return with_event_time(from_wire_json(ok, "enriched", keep=("arrival_seq", "arrival_ts")))
 
 
 def dlq_of(outcomes: DataFrame, at: Column | None = None) -> DataFrame:
@@ -81,27 +91,6 @@ def dlq_of(outcomes: DataFrame, at: Column | None = None) -> DataFrame:
     return to_dlq(outcomes.filter(F.col("outcome") == "dlq"), stamp)
 
 
-def run_dedup_query(start: Callable[[], StreamingQuery], spark: SparkSession) -> StreamingQuery:
-    """Start the first query with the settings a keyed operator needs.
-
-    Its state lives in the RocksDB provider. In processing time it asks for empty micro-batches
-    without end, so a bounded run would never finish; they are switched off for this query only,
-    because the window query needs them to close its last windows.
-    """
-    settings = {
-        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
-    }
-    before = {name: spark.conf.get(name) for name in settings}
-    for name, value in settings.items():
-        spark.conf.set(name, value)
-    try:
-        return start()
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
-
-
 def region_windows(
     processed: DataFrame, size: str = C.ORDER_WINDOW, lateness: str = C.LATENESS
 ) -> DataFrame:
@@ -119,40 +108,37 @@ def route_late_batches(
 ) -> Callable[[DataFrame, int], None]:
     """Per micro-batch: late rows to their own table, by the largest event time seen before each.
 
-    What earlier batches saw is kept as one row per batch under ``root/seen``. A watermark upstream
-    would have dropped the late rows before they could be routed.
+    What earlier batches saw is one value: each batch adds its own to its predecessor's and leaves one row
+    under ``root/seen``. A watermark upstream would have dropped the late rows before they could be
+    routed. ``root/counts`` has the rows and late rows of each batch.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
-        try:
-            (
-                batch.agg(F.max(F.unix_micros("event_time")).alias("seen_us"))
-                .write.mode("overwrite").parquet(batch_path(f"{root}/seen", batch_id))
-            )
-            earlier = (
-                spark.read.schema("seen_us bigint, batch_id bigint").parquet(f"{root}/seen")
-                .filter(F.col("batch_id") < batch_id)
-                .agg(F.max("seen_us")).scalar()
-            )
+        with staging_scope(spark):
+            before = batch_path(f"{root}/seen", batch_id - 1)
+            earlier = spark.read.parquet(before).first()[0] if path_exists(spark, before) else None
             rows = running(
                 batch.withColumn("_event_us", F.unix_micros("event_time")),
-                [], "arrival_seq", 60 * 1_000_000 * 4, {"_in_batch": ("max", "_event_us")},
+                [], "arrival_ts", None, {"_in_batch": ("max", "_event_us")}, ties=("arrival_seq",),
             )
             closes = (
                 F.unix_seconds(time_bin(F.col("event_time"), size_seconds))
                 + size_seconds + lateness_seconds
             ) * 1_000_000
-            seen = F.greatest(F.col("_in_batch"), earlier)
-            flagged = rows.withColumn("_late", F.coalesce(closes <= seen, F.lit(False))).drop(
-                "_event_us", "_in_batch"
+            seen = F.greatest(F.col("_in_batch"), F.lit(earlier).cast("bigint"))
+            flagged = stage(
+                rows.withColumn("_late", F.coalesce(closes <= seen, F.lit(False))).drop("_in_batch"), "late-batch"
             )
             for name, late in (("on_time", False), ("late", True)):
-                flagged.filter(F.col("_late") == late).drop("_late").write.mode(
+                flagged.filter(F.col("_late") == late).drop("_late", "_event_us").write.mode(
                     "overwrite"
                 ).parquet(batch_path(f"{root}/{name}", batch_id))
-        finally:
-            batch.unpersist()
+            flagged.agg(F.count("*").alias("rows_in"), F.count_if("_late").alias("rows_late")).write.mode(
+                "overwrite"
+            ).parquet(batch_path(f"{root}/counts", batch_id))
+            own = flagged.agg(F.greatest(F.max("_event_us"), F.lit(earlier).cast("bigint")).alias("seen_us"))
+            own.coalesce(1).write.mode("overwrite").parquet(batch_path(f"{root}/seen", batch_id))
+            delete_path(spark, batch_path(f"{root}/seen", batch_id - 2))
 
     return write

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from orderflow.sources.lake import FLUSH_INTERVAL, PARTITIONS, with_partition_columns
+from orderflow.operators.features import newest_rank, online_latest
+from orderflow.session import child_names, delete_path, path_exists, stage, staging_scope
+from orderflow.sources.lake import FLUSH_INTERVAL, write_lake
 
 CHECKPOINT_INTERVAL = "60 seconds"
 
@@ -78,52 +80,66 @@ def archive_messages(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def write_lake_batches(path: str, ts: str, rows_per_file: int = 2_000_000) -> Callable[[DataFrame, int], None]:
+    """Each flush as hour-partitioned gzip Parquet in a folder of its own, which a repeated flush overwrites.
+
+    A flush counts its rows per hour first, so an hour is written by as many tasks as it needs files, however
+    few hours the flush has. Compaction merges the folders.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        with staging_scope(batch.sparkSession):
+            rows = stage(batch, "flush")
+            if not rows.isEmpty():
+                write_lake(rows, batch_path(path, batch_id), ts, "overwrite", rows_per_file)
+
+    return write
+
+
 def write_lake_stream(
     df: DataFrame, path: str, checkpoint: str, ts: str, interval: str | None = FLUSH_INTERVAL,
-    max_records: int = 2_000_000, writers_per_hour: int = 1,
+    rows_per_file: int = 2_000_000,
 ) -> StreamingQuery:
-    """Hour-partitioned gzip Parquet, flushed at the interval.
+    """The lake sink, flushed at the interval."""
+    return write_each(df, write_lake_batches(path, ts, rows_per_file), checkpoint, interval)
 
-    A flush is shuffled by (hour, writer), so each of its hours makes ``writers_per_hour`` files
-    instead of one per task; raise it where one flush of an hour is too much for one task. The size
-    target is met later by compaction.
-    """
-    writer = (
-        with_partition_columns(df, ts)
-        .withColumn("_writer", F.pmod(F.xxhash64(*df.columns), F.lit(writers_per_hour)))
-        .repartition(*PARTITIONS, "_writer")
-        .drop("_writer")
-        .writeStream.format("parquet")
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", max_records)
-        .option("checkpointLocation", checkpoint)
-        .option("path", path)
-        .partitionBy(*PARTITIONS)
-        .outputMode("append")
-    )
-    return _trigger(writer, interval).start()
 
+#: Micro-batches after which an upsert log begins anew with one row per key.
+GENERATION = 16
 
-def upsert_by_key(path: str) -> Callable[[DataFrame, int], None]:
-    """Idempotent upsert log: each micro-batch owns one ``batch_id=`` partition and overwrites it,
-    so a repeated batch changes nothing. :func:`read_upserted` resolves the newest row per key."""
+
+def upsert_by_key(
+    path: str, keys: list[str] | None = None, order: str | None = None
+) -> Callable[[DataFrame, int], None]:
+    """Idempotent upsert log: each micro-batch owns one ``batch_id=`` folder and overwrites it, so a repeated batch
+    changes nothing. :func:`read_upserted` resolves the newest row per key.
+
+    With ``keys`` the log is compacted: every :data:`GENERATION` micro-batches a new generation begins with the
+    newest row per key, and the one before the last is deleted. Without, it keeps all history.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_path(path, batch_id))
+        spark, generation = batch.sparkSession, batch_id // GENERATION if keys else 0
+        carried = f"{path}/generation={generation}/batch_id=-1"
+        if generation and batch_id % GENERATION == 0:
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields)
+            _newest(_log(spark, path, generation - 1, schema), keys, order).write.mode("overwrite").parquet(carried)
+            delete_path(spark, f"{path}/generation={generation - 2}")
+        batch.write.mode("overwrite").parquet(batch_path(f"{path}/generation={generation}", batch_id))
 
     return write
 
 
-def read_upserted(
-    spark: SparkSession, path: str, keys: list[str], schema: str, order: str | None = None
-) -> DataFrame:
-    """Newest row per key: by ``order`` when given, later batches breaking ties.
+def _log(spark: SparkSession, path: str, generation: int, schema: str) -> DataFrame:
+    folder = f"{path}/generation={generation}"
+    return spark.read.schema(f"{schema}, batch_id bigint").option("basePath", folder).parquet(folder)
 
-    One grouped ``max_by``, reduced before the shuffle.
-    """
-    rows = spark.read.schema(f"{schema}, batch_id bigint").option("basePath", path).parquet(path)
+
+def _newest(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """Newest row per key: by ``order`` when given, later batches and then larger rows breaking ties. One grouped
+    ``max_by``, reduced before the shuffle."""
     rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    rank = F.struct(order, "batch_id") if order else F.col("batch_id")
+    rank = F.struct(*([newest_rank(rows, order)] if order else []), "batch_id", *rest)
     return (
         rows.groupBy(*keys)
         .agg(F.max_by(F.struct(*rest), rank).alias("_r"))
@@ -131,6 +147,16 @@ def read_upserted(
     )
 
 
+def read_upserted(
+    spark: SparkSession, path: str, keys: list[str], schema: str, order: str | None = None
+) -> DataFrame:
+    """The current table: the newest row per key of the newest complete generation."""
+    found = [int(name.partition("=")[2]) for name in child_names(spark, path) if name.startswith("generation=")]
+    complete = [g for g in found if g == 0 or path_exists(spark, f"{path}/generation={g}/batch_id=-1/_SUCCESS")]
+    generation = max(complete, default=0)
+    return _newest(_log(spark, path, generation, schema), keys, order)
+
+
 def fan_out(outputs: dict[str, Callable[[DataFrame], DataFrame]], root: str) -> Callable[[DataFrame, int], None]:
     """Several outputs off one parsed micro-batch: it is computed once and kept while they write."""
 
@@ -148,18 +174,17 @@ def fan_out(outputs: dict[str, Callable[[DataFrame], DataFrame]], root: str) ->
 
 
 def ingest_features(
-    root: str, key: str, event_time: str
+    root: str, key: str, event_time: str, tie: str | None = None
 ) -> Callable[[DataFrame, int], None]:
-    """Offline history (append, by event date) and the online upsert log in one pass."""
-    from orderflow.operators.features import online_latest
+    """Offline history (append, by event date) and the online upsert log in one pass. The newest record is found by the
+    event time as a time and, among equal times, by ``tie`` or else by the whole record."""
+    online = upsert_by_key(f"{root}/online", [key], event_time)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             offline_append(batch, f"{root}/offline", event_time, batch_id)
-            online_latest(batch, key, event_time).write.mode("overwrite").parquet(
-                batch_path(f"{root}/online", batch_id)
-            )
+            online(online_latest(batch, key, event_time, tie), batch_id)
         finally:
             batch.unpersist()
 

@@ -2,33 +2,32 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from orderflow.operators import dedup as D
+from orderflow.operators import validate as V
 from orderflow.plans import inputs as I
 from orderflow.plans import stream_queries as Z
 from orderflow.schemas import RAW_ORDER
-from orderflow.session import scratch_path
+from orderflow.session import child_names, scratch_path
 from orderflow.streaming import jobs as J
 from orderflow.streaming import sinks as K
+from orderflow.streaming.dedup import flag_batch_duplicates
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_outcomes_over_a_restart_equal_the_batch_twin(spark):
-    """Two runs from one checkpoint: what the first accepted is a duplicate in the second."""
+def test_outcomes_over_restarts_equal_the_batch_twin(spark):
+    """Four runs from one checkpoint; a month of arrivals passes the 24-hour memory many times."""
     raw = I.raw_orders(spark, SF)
-    out = scratch_path(spark, "outcomes")
-
-    def start(stream, checkpoint):
-        outcomes = J.order_outcomes(stream, at=I.processed_at())
-        return J.run_dedup_query(
-            lambda: K.write_table(outcomes, out, checkpoint, None, partition_by=["outcome"]), spark
-        )
-
-    Z.replay(raw, start, n=2)
-    outcomes = spark.read.schema(J.OUTCOME + ", outcome string").parquet(out)
+    root = scratch_path(spark, "outcomes")
+    write = J.write_outcomes(root, at=I.processed_at())
+    Z.replay(raw, lambda s, ck: K.write_each(s, write, ck, None), n=4)
+    outcomes = J.read_outcomes(spark, root)
     assert outcomes.count() == raw.count()
-    valid = I.valid_orders(spark, SF).select("order_id", "arrival_seq", "arrival_ts")
-    twin = D.dedup_first(valid, ttl_seconds=10**9).select("order_id", "arrival_seq")
+    valid = I.staged(I.valid_orders(spark, SF).select("order_id", "arrival_seq", "arrival_ts"), "valid")
+    twin = D.dedup_first(valid).select("order_id", "arrival_seq")
+    assert twin.count() > valid.select("order_id").distinct().count()
     processed = outcomes.filter("outcome = 'processed'").select("order_id", "arrival_seq")
     assert processed.count() == twin.count()
     assert twin.exceptAll(processed).isEmpty()
@@ -36,6 +35,50 @@ def test_outcomes_over_a_restart_equal_the_batch_twin(spark):
     assert J.processed_of(outcomes).filter("tax is null or event_time is null").isEmpty()
 
 
+def test_memory_expires_over_generations(spark):
+    """Forty micro-batches pass two generations; a repeated micro-batch gives the same answer."""
+    memory = scratch_path(spark, "accepted")
+    got = []
+    for n in range(40):
+        batch = spark.createDataFrame(
+            [("same", n * 10, n), (f"only-{n}", n * 10, n)], "order_id string, sec bigint, arrival_seq bigint"
+        ).withColumn("arrival_ts", F.timestamp_seconds("sec"))
+        for _ in range(2 if n % 16 in (0, 5) else 1):
+            rows = {r["order_id"]: r["is_dup"] for r in flag_batch_duplicates(batch, n, memory, ttl_seconds=35).collect()}
+        assert rows[f"only-{n}"] is False
+        got.append(rows["same"])
+    assert got == [n % 4 != 0 for n in range(40)]
+    assert len(child_names(spark, memory)) <= 2
+
+
+def test_null_order_id_is_a_schema_error(spark):
+    text = '{"order_id":null,"customer_id":"CUST-US-1","amount":"5","currency":"USD","status":"shipped","timestamp":"2024-01-01","items_count":1}'
+    row = V.validate_orders(spark.createDataFrame([(text,)], "value string")).first()
+    assert (row["error_type"], row["error_message"]) == ("SCHEMA_INVALID", "Unexpected error: order_id is null")
+
+
+def test_long_dead_letter_is_replayed_whole(spark):
+    good = '{"order_id":"O","customer_id":"CUST-US-1","amount":"5","currency":"USD","status":"shipped","timestamp":"2024-01-01","items_count":1}'
+    text = " " * 20_000 + good.replace("customer_id", "cust_id")
+    dlq = V.to_dlq(V.route(V.validate_orders(spark.createDataFrame([(text,)], "value string")))[1], F.lit("now"))
+    row = dlq.first()
+    assert len(row["original_message"]) == 10_000 and row["full_message"] == text
+    found, bad = V.replay_dlq(dlq, {"customer_id": ["cust_id"]})
+    assert [r["order_id"] for r in found.collect()] == ["O"] and bad.isEmpty()
+
+
+def test_upsert_log_is_compacted(spark):
+    path = scratch_path(spark, "upsert")
+    write = K.upsert_by_key(path, ["k"], "v")
+    schema = "k string, v bigint, w string"
+    for n in range(40):
+        for _ in range(2 if n % 16 in (0, 3) else 1):
+            write(spark.createDataFrame([(f"k{n % 3}", n if n != 39 else 0, f"w{n}")], schema), n)
+    got = sorted(map(tuple, K.read_upserted(spark, path, ["k"], schema, "v").collect()))
+    assert got == [("k0", 36, "w36"), ("k1", 37, "w37"), ("k2", 38, "w38")]
+    assert len(child_names(spark, path)) <= 2
+
+
 def test_repeated_batch_changes_nothing(spark):
     path = scratch_path(spark, "upsert")
     write = K.upsert_by_key(path)
@@ -63,7 +106,7 @@ def test_only_the_window_query_has_a_watermark(spark):
     empty = scratch_path(spark, "empty")
     I.raw_orders(spark, SF).limit(0).write.parquet(empty)
     stream = spark.readStream.schema(RAW_ORDER).parquet(empty)
-    outcomes = J.order_outcomes(stream)
+    outcomes = J.with_outcome_text(stream)
     assert "EventTimeWatermark" not in outcomes._jdf.queryExecution().analyzed().toString()
-    windows = J.region_windows(J.processed_of(outcomes))
+    windows = J.region_windows(J.processed_of(outcomes.withColumn("outcome", F.lit("processed"))))
     assert "EventTimeWatermark" in windows._jdf.queryExecution().analyzed().toString()
