@@ -5,13 +5,13 @@ The k-mers are runs of ``K`` words (of bytes, in a short text). Each is numbered
 number of the signature. Two signatures agree in a function only if the same k-mers were selected and stand in the same order, so the share
 of equal numbers falls with the edit distance, and moving parts of a text lowers it too.
 
-``edited_report`` compares documents with an edited form that takes its last quarter from the next document. Ids are put in
-order range by range. Each document sends a head of the length its predecessor needs; whole texts are shuffled once, by
-id, and both joins use that shuffle. The work of a task follows the texts it holds.
+``edited_report`` compares documents with an edited form that takes its last quarter from the next document. Texts are dealt by
+range of their ids and sorted, so the next document is the next row; the first rows of each range are sent to the range before it too.
+Whole texts are shuffled once, compressed, and a task holds a few megabytes of them.
 
 Defined cases: a null text is empty; a text without k-mers has the fingerprint of zeros, like another such text and unlike all
-others; fewer than ``K`` words make one k-mer of all; ids that repeat share their place, and as next document stand for the smallest head
-and fingerprint among their rows; a null id is one id before all others; a single document is its own next one; an empty table gives an empty result.
+others; fewer than ``K`` words make one k-mer of all; ids that repeat share their place, and as next document they stand for one of
+their rows, always the same; a null id is one id before all others; a single document is its own next one; an empty table gives an empty result.
 Only the key and the text are read.
 """
 
@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.llm.arrays import mix, runs, words
-from orderflow.llm.common import pieces, spans, stored, text_array
+from orderflow.llm.common import pieces, spans, text_array
 
 K, FUNCTIONS, PICK = 3, 32, 2
 #: A text below so many bytes has too few words to compare; its k-mers are runs of so many bytes.
@@ -108,101 +109,114 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, digest, n_chars, fingerprint``: of each row, with a digest that tells texts of one id apart."""
-    rows = docs.select(
-        F.col(f"`{key}`").alias("key"),
-        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("digest"),
-        F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("bigint").alias("n_chars"),
-        F.col(f"`{text}`").alias("text"),
-    )
+    """``key, n_chars, fingerprint`` (bytes) of each row."""
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.length(whole).cast("bigint").alias("n_chars"), whole.alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 found = signatures(*text_array(part["text"]))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array([f.tobytes() for f in found], pa.binary())],
-                    names=["key", "digest", "n_chars", "fingerprint"],
+                    [*part.columns[:2], pa.array([f.tobytes() for f in found], pa.binary())], names=["key", "n_chars", "fingerprint"]
                 )
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(sign, f"key {kind}, digest bigint, n_chars bigint, fingerprint binary")
-
-
-def followers(keys: DataFrame) -> DataFrame:
-    """``key, next``: the next larger key of each distinct key, the smallest for the largest. Keys are dealt by range; only the
-    smallest key of each range meets the others'."""
-    dealt = stored(keys.select("key").distinct().repartitionByRange("key").withColumn("part", F.spark_partition_id()), "followers")
-    ranges = dealt.groupBy("part").agg(F.min("key").alias("least"))
-    order = Window.orderBy("part")
-    after = ranges.select("part", F.lead("least").over(order).alias("after"), F.min("least").over(order).alias("first"))
-    inside = F.lead("key").over(Window.partitionBy("part").orderBy("key"))
-    return (
-        dealt.withColumn("inside", inside)
-        .join(after, "part")
-        .select("key", F.coalesce("inside", "after", "first").alias("next"))
-    )
+    return rows.mapInArrow(sign, f"key {kind}, n_chars bigint, fingerprint binary").withColumnRenamed("key", key)
 
 
 _OUT = (
-    "doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 )
+_NO_ID = -(1 << 63)  # stands for a null id, before all others
 
 
-def edited_report(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
-    least = F.lit(-(1 << 63)).cast("bigint")  # stands for a null id, before all others
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), least).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    own = stored(fingerprints(texts, "key").withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int")), "fingerprints")
-    own = own.distinct()
-    following = stored(followers(own), "next-documents")
-    needs = own.select("key", "cut").distinct().join(following, "key").select(F.col("key").alias("for"), "next", "cut")
-    heads = (
-        texts.join(needs, texts["key"] == F.col("next"))
-        .select("for", "cut", F.expr("substring(text, 1, cut)").alias("head"))
-        .groupBy("for", "cut")
-        .agg(F.min("head").alias("head"))
-    )
-    next_print = (
-        own.groupBy("key").agg(F.min("fingerprint").alias("next_fingerprint")).withColumnRenamed("key", "next").join(following, "next")
-    ).select(F.col("key").alias("for"), "next_fingerprint")
-    side = (
-        own.withColumnRenamed("key", "for")
-        .join(heads, ["for", "cut"])
-        .join(next_print, "for")
-        .withColumnRenamed("digest", "of")
-    )
-    # The digest is compared outside the join's keys, so that this join is dealt by id like the one above.
-    same = (F.xxhash64("text") <= F.col("of")) & (F.xxhash64("text") >= F.col("of"))
-    rows = texts.join(side, (texts["key"] == F.col("for")) & same).select(
-        F.when(F.col("key") != least, F.col("key")).alias("doc_id"),
-        "n_chars",
-        F.concat(F.expr("substring(text, 1, int(n_chars - cut))"), F.col("head")).alias("edited"),
-        "fingerprint",
-        "next_fingerprint",
-    )
+def in_order(docs: DataFrame) -> DataFrame:
+    """``part, last, key, packed``: the texts in order of their ids, each range of ids in a partition of its own. The rows of a range's first
+    id come once more at the end of the range before it (``last``), those of the smallest id at the end of the last range, so every
+    partition holds the successor of each of its rows. The driver holds one id for each partition."""
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    shares = [i / ranges for i in range(1, ranges)] or [0.5]
+    least, cuts = texts.agg(F.min("key"), F.percentile_approx("key", shares, 100 * ranges)).first()
+    firsts = np.unique(np.array([least, *(cuts or [])] if least is not None else [0], np.int64))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for batch in batches:
-            for part in pieces(batch, "edited"):
-                body, at = text_array(part["edited"])
-                edited = signatures(body, at)
-                plain, following = (
-                    np.frombuffer(b"".join(part[name].to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
-                    for name in ("fingerprint", "next_fingerprint")
-                )
-                data = body.tobytes()
+            key = batch["key"].to_numpy()
+            part = np.searchsorted(firsts, key, side="right") - 1
+            again = np.flatnonzero(firsts[part] == key)
+            packed = pa.array([press.compress(t.as_py().encode()) for t in batch["text"]], pa.binary())
+            for rows, where, last in ((np.arange(len(key)), part, False), (again, (part[again] - 1) % len(firsts), True)):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part["doc_id"],
-                        part["n_chars"],
-                        pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]),
-                        pa.array([row.tobytes().hex() for row in plain]),
-                        pa.array([row.tobytes().hex() for row in edited]),
-                        pa.array(likeness(plain, edited)),
-                        pa.array(likeness(plain, following)),
+                        pa.array(where.astype(np.int32)),
+                        pa.array(np.full(len(rows), last)),
+                        pa.array(key[rows]),
+                        batch["digest"].take(pa.array(rows)),
+                        packed.take(pa.array(rows)),
                     ],
-                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                    names=["part", "last", "key", "digest", "packed"],
                 )
 
-    return rows.mapInArrow(compare, _OUT.format(kind="bigint"))
+    dealt = texts.withColumn("digest", F.xxhash64("text")).mapInArrow(deal, "part int, last boolean, key bigint, digest bigint, packed binary")
+    # Texts travel once, compressed one by one.
+    return dealt.repartitionById(len(firsts), "part").sortWithinPartitions("last", "key", "digest").drop("digest")
+
+
+def edited_report(docs: DataFrame) -> DataFrame:
+    """Per document: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
+    return in_order(docs).mapInArrow(_walk, _OUT)
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each text with the first text of the next id, in order, some megabytes at a time."""
+    plain = zstandard.ZstdDecompressor().decompress
+    waiting: list[tuple[int, str]] = []
+    ready: list[tuple[int, str, str]] = []
+    size, ended = 0, False
+    for batch in batches:
+        for i in range(0 if not ended else batch.num_rows, batch.num_rows):
+            key, last = batch["key"][i].as_py(), batch["last"][i].as_py()
+            text = plain(batch["packed"][i].as_py()).decode()
+            if waiting and (last or waiting[-1][0] != key):
+                ready += [(k, t, text) for k, t in waiting]
+                size += sum(len(t) for _, t in waiting)
+                waiting = []
+            if last:  # only the first of these rows is anyone's successor
+                ended = True
+                break
+            waiting.append((key, text))
+            if size >= 1 << 20:
+                yield _compared(ready)
+                ready, size = [], 0
+    if ready:
+        yield _compared(ready)
+
+
+def _compared(ready: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    places: dict[int, int] = {}  # a successor is mostly the next row's own text
+    texts: list[str] = []
+    for _, text, following in ready:
+        for one in (text, following):
+            if id(one) not in places:
+                places[id(one)] = len(texts)
+                texts.append(one)
+    cuts = [len(text) // 4 for _, text, _ in ready]
+    edited = [text[: len(text) - cut] + following[:cut] for (_, text, following), cut in zip(ready, cuts)]
+    found = of_texts(texts)
+    own, nexts = (found[[places[id(row[i])] for row in ready]] for i in (1, 2))
+    changed = of_texts(edited)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([None if key == _NO_ID else key for key, _, _ in ready], pa.int64()),
+            pa.array([len(text) for _, text, _ in ready], pa.int64()),
+            pa.array([hashlib.sha256(text.encode()).hexdigest() for text in edited]),
+            pa.array([row.tobytes().hex() for row in own]),
+            pa.array([row.tobytes().hex() for row in changed]),
+            pa.array(likeness(own, changed)),
+            pa.array(likeness(own, nexts)),
+        ],
+        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    )
