@@ -42,7 +42,8 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     small_dir = os.environ.get("BENCH_SMALL_DIR", "/root/testdata/sf0.01")
-    spark = build_session("bench", os.environ.get("BENCH_CPUS", "8"))
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    spark = build_session("bench", cpus, **{"orderflow.input.partitions": cpus})
 
     def run(name: str, where: str = sf_dir) -> float:
         start = time.perf_counter()

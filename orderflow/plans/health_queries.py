@@ -393,8 +393,8 @@ _W5 = "time_bucket(INTERVAL 5 MINUTE, event_time)"
 )
 def window_completeness(spark, sf):
     """Rows that entered each window against the rows its metrics were computed from."""
-    columns = ["arrival_seq", "arrival_ts", "event_time", "region", "amount"]
-    judged = I.staged(L.flag_late(I.processed_orders(spark, sf).select(*columns)), "judged")
+    columns = ["event_time", "region", "amount"]
+    judged = I.staged(L.flag_late(I.processed_orders(spark, sf, columns=columns)), "judged")
     emitted = W.window_accumulate(judged.filter(~F.col("is_late")), ["region"])
     return Q.window_completeness(judged, emitted).withColumn(
         "emitted", F.col("emitted").cast("bigint")
@@ -418,8 +418,7 @@ def _judged(flagged):
 )
 def unaccounted_per_window(spark, sf):
     """Without a count of duplicates they show up as unaccounted rows."""
-    columns = ["arrival_seq", "arrival_ts", "event_time", "is_dup"]
-    judged = _judged(I.flagged_orders(spark, sf).select(*columns))
+    judged = _judged(I.flagged_orders(spark, sf, columns=["event_time"]))
     return Q.unaccounted_of_flags(judged, late=F.col("is_late"), out=~F.col("is_late"))
 
 
@@ -431,7 +430,7 @@ def unaccounted_per_window(spark, sf):
     ),
 )
 def late_per_window(spark, sf):
-    return Q.late_per_window(L.flag_late(I.processed_orders(spark, sf).select("arrival_seq", "arrival_ts", "event_time")))
+    return Q.late_per_window(L.flag_late(I.processed_orders(spark, sf, columns=["event_time"])))
 
 
 def _missing(table, ts, step, name):
@@ -443,7 +442,7 @@ def _missing(table, ts, step, name):
 
 @query("Q4_missing_windows", sql(_missing("processed", "event_time", "5 MINUTE", "window_start")))
 def missing_windows(spark, sf):
-    return Q.missing_windows(W.window_accumulate(I.processed_orders(spark, sf), ["region"]))
+    return Q.missing_windows(W.window_accumulate(I.processed_orders(spark, sf, columns=["event_time", "region", "amount"]), ["region"]))
 
 
 @query(
@@ -473,7 +472,7 @@ def conservation(spark, sf):
 @query("Q6_uniqueness", sql("SELECT count(*) AS total, count(DISTINCT order_id) AS distinct_keys, count(*) = count(DISTINCT order_id) AS is_unique FROM processed"))
 def uniqueness(spark, sf):
     """Orders re-sent after the memory has expired are accepted again, so this reports them."""
-    return Q.uniqueness(I.processed_orders(spark, sf))
+    return Q.uniqueness(I.processed_orders(spark, sf, columns=[]))
 
 
 @query(
@@ -484,7 +483,7 @@ def uniqueness(spark, sf):
     ),
 )
 def dedup_ratio(spark, sf):
-    return Q.dedup_ratio(I.flagged_orders(spark, sf))
+    return Q.dedup_ratio(I.flagged_orders(spark, sf, columns=[]))
 
 
 @query(
@@ -556,7 +555,7 @@ def sample_audit(spark, sf):
 def key_difference(spark, sf):
     """The order table against the processed orders, both ways."""
     source = I.table(spark, sf, "orders").select(I.order_id_of(F.col("o_orderkey")).alias("order_id"))
-    return Q.key_difference(source, I.processed_orders(spark, sf), "order_id")
+    return Q.key_difference(source, I.processed_orders(spark, sf, columns=[]), "order_id")
 
 
 # --- lag --------------------------------------------------------------------------------------

@@ -38,10 +38,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than cores (one small file); an input of
-    cluster size has more splits and passes through without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal the input over ``orderflow.input.partitions`` tasks where a session sets that, as the benchmark does for its
+    one small file. Without it files are read as they are split."""
+    tasks = df.sparkSession.conf.get("orderflow.input.partitions", None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def with_amount(df: DataFrame) -> DataFrame:
@@ -135,17 +135,25 @@ def checked_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(checked.select("value", *VALID_COLUMNS, "error_type", "error_message"), "checked")
 
 
-def flagged_orders(spark: SparkSession, sf_dir: str, checked: DataFrame | None = None) -> DataFrame:
-    """Valid orders with ``is_dup``."""
+_ARRIVAL = ["order_id", "arrival_ts", "arrival_seq"]
+
+
+def flagged_orders(
+    spark: SparkSession, sf_dir: str, checked: DataFrame | None = None, columns: list[str] | None = None
+) -> DataFrame:
+    """Valid orders with ``is_dup``: all columns, or the arrival and ``columns``, which is all that is then computed and staged."""
+    wanted = VALID_COLUMNS if columns is None else list(dict.fromkeys([*_ARRIVAL, *columns]))
     if checked is None:
-        valid = staged(valid_orders(spark, sf_dir).select(*VALID_COLUMNS), "valid")
+        valid = staged(valid_orders(spark, sf_dir).select(*wanted), "valid")
     else:
-        valid = route(checked)[0].select(*VALID_COLUMNS)
+        valid = route(checked)[0].select(*wanted)
     return flag_duplicates(valid)
 
 
-def processed_orders(spark: SparkSession, sf_dir: str, checked: DataFrame | None = None) -> DataFrame:
-    return flagged_orders(spark, sf_dir, checked).filter(~F.col("is_dup")).drop("is_dup")
+def processed_orders(
+    spark: SparkSession, sf_dir: str, checked: DataFrame | None = None, columns: list[str] | None = None
+) -> DataFrame:
+    return flagged_orders(spark, sf_dir, checked, columns).filter(~F.col("is_dup")).drop("is_dup")
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

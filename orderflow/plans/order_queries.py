@@ -447,7 +447,7 @@ def dlq_wire_json(spark, sf):
 )
 def aggregate_wire_json(spark, sf):
     closes = F.timestamp_seconds(F.unix_seconds("window_end") + 600)
-    metrics = W.region_window_metrics(I.processed_orders(spark, sf), emitted_at=closes)
+    metrics = W.region_window_metrics(I.processed_orders(spark, sf, columns=["event_time", "region", "amount"]), emitted_at=closes)
     return E.to_wire_json(metrics, "aggregate").select("value")
 
 
@@ -522,7 +522,7 @@ def items_count_check(spark, sf):
 
 @query("D1_dedup_first", sql("SELECT order_id, arrival_seq, region, CAST(amount AS DOUBLE) AS amount FROM processed"))
 def dedup_first(spark, sf):
-    return I.processed_orders(spark, sf).select("order_id", "arrival_seq", "region", "amount")
+    return I.processed_orders(spark, sf, columns=["region", "amount"]).select("order_id", "arrival_seq", "region", "amount")
 
 
 @query(
@@ -547,5 +547,5 @@ def emit_duplicates(spark, sf):
     ),
 )
 def duplicate_counts(spark, sf):
-    return D.duplicate_counts(I.flagged_orders(spark, sf))
+    return D.duplicate_counts(I.flagged_orders(spark, sf, columns=[]))
 

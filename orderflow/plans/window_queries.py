@@ -55,7 +55,7 @@ def tumbling(spark, sf):
 def window_accumulate(spark, sf):
     """Accumulated per arrival day, then merged, as partials of separate batches would be."""
     per_day = W.window_accumulate(
-        I.processed_orders(spark, sf).withColumn("day", F.to_date("arrival_ts")), ["region", "day"]
+        I.processed_orders(spark, sf, columns=["event_time", "region", "amount"]).withColumn("day", F.to_date("arrival_ts")), ["region", "day"]
     )
     return W.merge_accumulators(per_day, ["region"])
 
@@ -70,18 +70,18 @@ def window_accumulate(spark, sf):
 def region_window_metrics(spark, sf):
     """The flagship: raw texts → valid → enriched → first arrivals → region windows."""
     closes = F.timestamp_seconds(F.unix_seconds("window_end") + 600)
-    return W.region_window_metrics(I.processed_orders(spark, sf), emitted_at=closes)
+    return W.region_window_metrics(I.processed_orders(spark, sf, columns=["event_time", "region", "amount"]), emitted_at=closes)
 
 
 @query("T6_drop_late", sql("SELECT order_id, arrival_seq, event_time FROM late WHERE NOT is_late"))
 def drop_late(spark, sf):
-    slim = I.processed_orders(spark, sf).select("order_id", "arrival_seq", "arrival_ts", "event_time")
+    slim = I.processed_orders(spark, sf, columns=["event_time"])
     return L.drop_late(slim).select("order_id", "arrival_seq", "event_time")
 
 
 @query("T6_late_count", sql("SELECT count(*) AS rows_in, count(*) FILTER (is_late) AS rows_late FROM late"))
 def late_count(spark, sf):
-    return L.late_count(I.processed_orders(spark, sf).select("arrival_seq", "arrival_ts", "event_time"))
+    return L.late_count(I.processed_orders(spark, sf, columns=["event_time"]))
 
 
 @query(
@@ -89,7 +89,7 @@ def late_count(spark, sf):
     sql(f"SELECT order_id, arrival_seq, {_END_5}, CASE WHEN is_late THEN 'late' ELSE 'on_time' END AS side FROM late"),
 )
 def route_late(spark, sf):
-    slim = I.processed_orders(spark, sf).select("order_id", "arrival_seq", "arrival_ts", "event_time")
+    slim = I.processed_orders(spark, sf, columns=["event_time"])
     on_time, late = L.route_late(slim)
     columns = ["order_id", "arrival_seq", "window_end"]
     return on_time.select(*columns, F.lit("on_time").alias("side")).unionByName(
@@ -117,7 +117,7 @@ _VERSIONS = """
     sql(_VERSIONS + f"SELECT region, window_start, version, is_correction, {_METRICS} FROM versions"),
 )
 def windows_with_corrections(spark, sf):
-    return L.windows_with_corrections(I.processed_orders(spark, sf)).drop(
+    return L.windows_with_corrections(I.processed_orders(spark, sf, columns=["event_time", "region", "amount"])).drop(
         "window_end", "processing_timestamp_ms"
     )
 
@@ -130,7 +130,7 @@ def windows_with_corrections(spark, sf):
     ),
 )
 def latest_versions(spark, sf):
-    versions = L.windows_with_corrections(I.processed_orders(spark, sf))
+    versions = L.windows_with_corrections(I.processed_orders(spark, sf, columns=["event_time", "region", "amount"]))
     return L.latest_versions(versions).drop("window_end", "processing_timestamp_ms", "is_correction")
 
 
@@ -206,7 +206,7 @@ _DELAY = "(epoch_us(window_start) // 1000000 // 300 * 37 + length(region) + tota
 )
 def window_emit_latency(spark, sf):
     """Each window is emitted a derived number of milliseconds after its end."""
-    agg = W.region_window_metrics(I.processed_orders(spark, sf))
+    agg = W.region_window_metrics(I.processed_orders(spark, sf, columns=["event_time", "region", "amount"]))
     start = F.unix_seconds("window_start")
     delay = ((start / 300).cast("bigint") * 37 + F.length("region") + F.col("total_orders") * 100) % 2500
     emitted = agg.withColumn("processing_timestamp_ms", F.unix_millis("window_end") + delay)
