@@ -17,9 +17,10 @@ The steps, over whole tables:
 1. Words are reduced to those that two different sets share. Equal sets count as one from here on: a set is known by a hash of its shingles.
 2. Documents with enough shared words keep these words, their shingles and a short bit sketch. Which words are shared is tested by a Bloom filter of
    fixed size; words that it lets through wrongly meet no partner.
-3. In rounds, sets meet the smallest set of each of their words, and verified links join components. Then all pairs of sets that share a
-   word and lie in different components are verified. So no link between components is lost, and a large group of near copies
-   is joined through a few of its members rather than through all of its pairs.
+3. In rounds, sets meet one hub of their words, and verified links join components. Then all pairs of sets that share a word and lie
+   in different components are compared: by a join for words of few sets, so that no row makes more than ``HOT`` pairs, and in blocks
+   for words of many. So no link between components is lost, and a large group of near copies is joined through some of its members
+   rather than through all of its pairs.
 4. Candidates pass a size test, then a Hamming test on the bit sketches, then the exact test on the shingles.
 
 Hashes have 64 bits; the words of a document suffice unless over a third of its shingles fall into shared parts, which for the chosen numbers of
@@ -51,6 +52,8 @@ NUM, DEN = 3, 4
 SMALL_BAND = 5
 SKETCH_BITS = 2048
 FILTER_BITS = 1 << 26
+#: Words of more sets are not joined with themselves; their sets are compared in blocks.
+HOT = 100
 
 
 def shingle_sets(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,9 +99,16 @@ def band(n: np.ndarray) -> np.ndarray:
     return np.frexp(n.astype(np.float64))[1]
 
 
-def sketch_words(tokens: np.ndarray, n: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The emitted words of each set's sketches, and the row each belongs to."""
+def sketch_words(tokens: np.ndarray, n: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The emitted words of each set's sketches, the row each belongs to, and how many of its words each set shares with any similar
+    set at least.
+
+    A set with enough words of rare shingles emits only such. Any other emits all of them, every rare shingle by itself, and, unless over a
+    quarter of its shingles are rare, words of frequent shingles. Two such sets that share no rare shingle differ in all of them; a similar set
+    lacks a quarter of a set's shingles at most, so frequent ones need be looked at only there and only in few words.
+    """
     out, rows = [], []
+    least = least_shared(n)
     late = np.zeros(len(tokens), bool)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
@@ -124,14 +134,24 @@ def sketch_words(tokens: np.ndarray, n: np.ndarray, frequent: np.ndarray) -> tup
         opens |= np.repeat(level <= SMALL_BAND, size)
         starts = np.flatnonzero(opens)
         word = np.bitwise_xor.reduceat(held, starts)
-        holder = of[starts]
-        first = np.searchsorted(holder, np.arange(len(row)))
-        keep = np.arange(len(starts)) - first[holder] <= (most_different(size) + spare(size))[holder]
-        out.append(mix(word[keep] ^ mix(level.astype(np.uint64) + np.uint64(1))[holder[keep]]))
+        holder, is_late = of[starts], behind[starts]
+        salt = mix(level.astype(np.uint64) + np.uint64(1))
+        place = np.arange(len(starts)) - np.searchsorted(holder, np.arange(len(row)))[holder]
+        rare_words = np.bincount(holder[~is_late], minlength=len(row))
+        rare = np.bincount(of[~behind], minlength=len(row))
+        most, more = most_different(size), spare(size)
+        short = rare_words < most + 1 + more
+        few = np.where(short, np.where(rare * DEN <= size * (DEN - NUM), rare_words + most - rare + 1 + more, rare_words), most + 1 + more)
+        keep = place < few[holder]
+        out.append(mix(word[keep] ^ salt[holder[keep]]))
         rows.append(row[holder[keep]])
+        alone = short[of] & ~behind & (level > SMALL_BAND)[of]
+        out.append(mix(held[alone] ^ mix(salt)[of[alone]]))
+        rows.append(row[of[alone]])
+        least[row[short]] = 1
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out), np.concatenate(rows)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), least
+    return np.concatenate(out), np.concatenate(rows), least
 
 
 def bit_sketches(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -148,7 +168,7 @@ def bit_sketches(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def frequent_shingles(docs: DataFrame, sample_rows: int, least_share: float = 0.001, most: int = 500_000) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, sample_rows: int, least_share: float = 0.0002, most: int = 500_000) -> np.ndarray:
     """Shingles in at least ``least_share`` of the documents of a bounded sample, sorted; at most ``most``. They only order the parts."""
     total = docs.count()
     share = min(1.0, sample_rows / max(1, total))
@@ -176,7 +196,7 @@ def shared_words(docs: DataFrame, frequent) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text"):
                 tokens, n = shingle_sets(*text_array(part["text"]))
-                word, row = sketch_words(tokens, n, frequent.value)
+                word, row, _ = sketch_words(tokens, n, frequent.value)
                 node = set_hashes(tokens, n)[row]
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(node)], names=["word", "node"])
 
@@ -204,7 +224,7 @@ def word_filter(shared: DataFrame) -> np.ndarray:
     return out
 
 
-_ROWS = "row bigint, key {kind}, n bigint, node bigint, words array<bigint>, tokens array<bigint>, sketch array<bigint>"
+_ROWS = "row bigint, key {kind}, n bigint, least bigint, node bigint, words array<bigint>, tokens array<bigint>, sketch array<bigint>"
 
 
 def shingled(docs: DataFrame, frequent, shared) -> DataFrame:
@@ -217,7 +237,7 @@ def shingled(docs: DataFrame, frequent, shared) -> DataFrame:
             for part in pieces(batch, "text"):
                 tokens, n = shingle_sets(*text_array(part["text"]))
                 node = set_hashes(tokens, n)
-                word, row = sketch_words(tokens, n, frequent.value)
+                word, row, least = sketch_words(tokens, n, frequent.value)
                 one, two = _probes(word)
                 may = (bits[one >> 6] >> (one & 63)) & (bits[two >> 6] >> (two & 63)) & 1 == 1
                 word, row = word[may], row[may]
@@ -227,7 +247,7 @@ def shingled(docs: DataFrame, frequent, shared) -> DataFrame:
                 carries[first] = True
                 word, row = word[carries[row]], row[carries[row]]
                 per = np.bincount(row, minlength=len(n))
-                enough = (per >= least_shared(n))[row]
+                enough = (per >= least)[row]
                 word, row = word[enough], row[enough]
                 order = np.argsort(row, kind="stable")
                 word, per = word[order], np.bincount(row, minlength=len(n))
@@ -248,12 +268,13 @@ def shingled(docs: DataFrame, frequent, shared) -> DataFrame:
                         pa.array(number + np.arange(len(n), dtype=np.int64)),
                         part["key"],
                         pa.array(n),
+                        pa.array(least),
                         pa.array(node),
                         lists(word.view(np.int64), per[some]),
                         lists(held.view(np.int64), size),
                         lists(sketch, SKETCH_BITS // 64),
                     ],
-                    names=["row", "key", "n", "node", "words", "tokens", "sketch"],
+                    names=["row", "key", "n", "least", "node", "words", "tokens", "sketch"],
                 )
                 number += len(n)
 
@@ -285,7 +306,93 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def linked_sets(docs: DataFrame, sample_rows: int = 10_000, star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def open_rows(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``word, node, root`` of what is left to compare, for words of up to ``HOT`` sets and of more. ``live`` has a row for each set
+    and word, with the set's ``least`` and the number of sets that hold the word.
+
+    Similar sets share ``least`` words or more, so they share one even without the ``least - 1`` most common of each set. Of words that
+    are then held by the same sets one is enough, which leaves about one word for each pair of near copies."""
+    own = Window.partitionBy("node")
+    rare = stored(
+        live.withColumn("rank", F.row_number().over(own.orderBy("held", "word")))
+        .withColumn("all", F.count("*").over(own))
+        .filter("rank <= all - least + 1")
+        .select("word", "node", "root"),
+        "open-words",
+    )
+    members = F.sum(F.xxhash64("node").cast("decimal(20,0)"))
+    holders = rare.groupBy("word").agg(
+        members.alias("members"), F.count("*").alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi")
+    )
+    kept = holders.filter("lo < hi").groupBy("members", "held").agg(F.min("word").alias("word"))
+    return tuple(rare.join(kept.filter(some).select("word"), "word") for some in (F.col("held") <= HOT, F.col("held") > HOT))
+
+
+def crossing_pairs(side: DataFrame) -> DataFrame:
+    """All pairs (``a, b``) of sets in different components that share a word; at most ``HOT`` for each row of ``side``."""
+    other = side.select("word", F.col("node").alias("node_2"), F.col("root").alias("root_2"))
+    crossing = side.join(other, "word").filter((F.col("node") < F.col("node_2")) & (F.col("root") != F.col("root_2")))
+    return crossing.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+
+
+def cluster_links(rows: DataFrame, sets: DataFrame, block: int = 2000) -> DataFrame:
+    """Links (``a, b``) between components of sets that share words of many sets, enough to connect what they connect.
+
+    Sets tied by such words are a cluster. All sets outside a cluster's largest component are compared with all of it, in blocks of
+    about ``block`` sets each way: sizes, bit sketches, and the exact test where both pass and no link has joined the two yet. So no
+    pair is left out and none is written but those that join components."""
+    labels = components(rows.select(F.col("node").alias("a"), F.col("word").alias("b"))).withColumnRenamed("root", "cluster")
+    nodes = stored(
+        rows.select("node", "root").distinct().join(labels, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "clusters"
+    )
+    largest = nodes.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("root", "n").alias("largest"))
+    nodes = nodes.join(largest, "cluster").withColumn("outside", F.col("root") != F.col("largest")).drop("largest")
+    blocks = nodes.groupBy("cluster").agg(
+        F.ceil(F.count("*") / block).alias("blocks"), F.ceil(F.count_if("outside") / block).alias("chunks")
+    )
+    dealt = nodes.join(blocks.filter("chunks > 0"), "cluster")
+    of = F.xxhash64("node", F.lit(7))
+    members = dealt.select(
+        "cluster", "node", "root", F.lit(False).alias("asks"), F.pmod(of, "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk")
+    )
+    asking = dealt.filter("outside").select(
+        "cluster", "node", "root", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.pmod(of, "chunks").alias("chunk")
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, root, n = (table[c].to_numpy() for c in ("node", "root", "n"))
+        asks = table["asks"].to_numpy()
+        sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        tokens = table["tokens"].combine_chunks()
+        joined: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        found = []
+        other = np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks).tolist():
+            apart = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            total = n[other] + n[i]
+            near = (DEN + NUM) * apart <= (DEN - NUM) * total
+            near &= (root[other] != root[i]) & (DEN * np.minimum(n[other], n[i]) >= NUM * np.maximum(n[other], n[i]))
+            for j in other[near].tolist():
+                a, b = find(int(root[i])), find(int(root[j]))
+                if a == b:
+                    continue
+                both = len(np.intersect1d(tokens[i].values.to_numpy(), tokens[j].values.to_numpy(), assume_unique=True))
+                if DEN * both >= NUM * (int(n[i]) + int(n[j]) - both):
+                    joined[a] = b
+                    found.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    whole = members.unionByName(asking).join(sets.select("node", "n", "tokens", "sketch"), "node")
+    return whole.groupBy("cluster", "block", "chunk").applyInArrow(compare, "a bigint, b bigint")
+
+
+def linked_sets(docs: DataFrame, sample_rows: int = 40_000, star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """One row a document (``key, n, node``), and the component (``node, root``) of every set that is linked with a smaller one.
 
     ``docs`` has the columns ``key`` and ``text``."""
@@ -298,11 +405,8 @@ def linked_sets(docs: DataFrame, sample_rows: int = 10_000, star_rounds: int = 2
     # One row for each set that shares words, chosen on a few numbers before the wide columns move.
     carriers = rows.filter(F.col("words").isNotNull()).groupBy("node").agg(F.min("row").alias("row")).select("row")
     sets = stored(rows.filter(F.col("words").isNotNull()).join(carriers, "row", "left_semi").drop("row", "key"), "sets")
-    # ``least``: as least_shared, for the smaller set of a pair.
-    different = F.floor((F.col("n") + F.floor(F.col("n") * DEN / NUM)) * (DEN - NUM) / (DEN + NUM))
-    least = (F.floor(different / 8) + 1).cast("bigint").alias("least")
     release_shuffles(spark)
-    members = stored(sets.select("node", least, F.explode("words").alias("word")), "members")
+    members = stored(sets.select("node", "least", F.explode("words").alias("word")), "members")
 
     roots = None
     links = None
@@ -310,31 +414,31 @@ def linked_sets(docs: DataFrame, sample_rows: int = 10_000, star_rounds: int = 2
         labelled = members.withColumn("root", F.col("node"))
         if roots is not None:
             labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # Only words whose sets lie in different components can add a link between components.
-        hub = F.min("node") if turn % 2 == 0 else F.max("node")
+        # Only words whose sets lie in different components can add a link between components. Another hub each round.
+        hub = F.min_by("node", F.xxhash64("node", F.lit(turn)))
         open_words = (
-            labelled.groupBy("word").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), hub.alias("hub")).filter("lo < hi")
+            labelled.groupBy("word")
+            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), hub.alias("hub"), F.count("*").alias("held"))
+            .filter("lo < hi")
         )
-        live = labelled.join(open_words.select("word", "hub"), "word")
         if turn < star_rounds:
-            # One hub for each set: the smallest of its words' hubs that lies in another component.
+            # One hub for each set, in another component: in turn that of its most common word, which many sets have, and the
+            # one that it shares most words with.
+            hubs = open_words.select("word", "hub", "held")
             if roots is None:
-                met = live.filter("node <> hub")
+                hubs = hubs.withColumn("hub_root", F.col("hub"))
             else:
                 of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-                met = live.join(of_hub, "hub", "left").filter(F.col("root") != F.coalesce("hub_root", "hub"))
-            met = met.groupBy("node").agg(F.min("hub").alias("hub"))
+                hubs = hubs.join(of_hub, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
+            met = labelled.join(hubs, "word").filter("root <> hub_root").groupBy("node", "hub").agg(
+                F.count("*").alias("equal"), F.max("held").alias("held")
+            )
+            met = met.groupBy("node").agg(F.max_by("hub", "held" if turn % 2 == 0 else "equal").alias("hub"))
             pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
-            side = live.select("word", "node", "root", "least")
-            other = side.select("word", F.col("node").alias("node_2"), F.col("root").alias("root_2"), F.col("least").alias("least_2"))
-            crossing = side.join(other, "word").filter((F.col("node") < F.col("node_2")) & (F.col("root") != F.col("root_2")))
-            pairs = (
-                crossing.groupBy(F.col("node").alias("a"), F.col("node_2").alias("b"), F.least("least", "least_2").alias("least"))
-                .agg(F.count("*").alias("equal"))
-                .filter("equal >= least")
-                .select("a", "b")
-            )
+            cold, hot = open_rows(labelled.join(open_words.select("word", "held"), "word"))
+            pairs = stored(crossing_pairs(cold), "candidates")
+            links = links.unionByName(stored(cluster_links(hot, sets), "cluster-links"))
         found = stored(verified(pairs, sets), "similar-sets")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
