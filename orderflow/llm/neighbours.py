@@ -5,7 +5,7 @@ into cells of ``cell`` nodes). NN-descent then improves the lists in rounds: eve
 list it to each other; pairs nearer than what one of them has so far enter its list. Rounds end when few entries change.
 Lists use 8-bit codes of the vectors, lengthened by one component that makes nearest and largest inner product the same.
 
-A query starts from its own node's list and expands, round by round, the best nodes of its beam that are not yet expanded, for all
+A query starts from its own node's list and the few longest vectors, and expands, round by round, the best nodes of its beam that are not yet expanded, for all
 queries in one join with the graph. It ends when its beam has none left. The nodes of the beam are ranked by the inner product
 of the original vectors in double precision.
 
@@ -41,6 +41,7 @@ class Params:
     beam: int = 96
     step: int = 24
     most_steps: int = 12
+    entries: int = 64
     seed: int = 11
 
 
@@ -226,7 +227,13 @@ def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, p: P
     their own lists."""
     edges = graph.select("node", F.col("list.other").alias("others"))
     beam = None
-    wanted = queries.join(edges, "node").select(F.col("node").alias("query"), F.explode(F.concat(F.array("node"), "others")).alias("node"))
+    # Long vectors have large products with many queries: a few of them are entries for all.
+    norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    longest = vectors.select("node", norm2.alias("norm2")).orderBy(F.desc("norm2"), "node").limit(p.entries).collect()
+    entries = F.array(*[F.lit(r.node) for r in longest]).cast("array<bigint>")
+    wanted = queries.join(edges, "node").select(
+        F.col("node").alias("query"), F.explode(F.concat(F.array("node"), "others", entries)).alias("node")
+    )
     own = queries.select(F.col("node").alias("query")).join(vectors.select(F.col("node").alias("query"), F.col("v").alias("q")), "query")
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

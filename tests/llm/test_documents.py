@@ -101,6 +101,25 @@ def test_join_around_the_threshold(spark):
     assert ours == brute_components(rows)
 
 
+def test_join_of_a_large_group_in_blocks(spark, monkeypatch):
+    """Many copies with edits on both sides of the threshold; words of over three sets go to the blocks."""
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    monkeypatch.setattr(ngram_join.cluster_links, "__defaults__", (7,))
+    monkeypatch.setattr(ngram_join.linked_sets, "__defaults__", (40_000, 1))
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for key in range(90):
+        text = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 8)):
+            text[at] = f"e{rng.integers(1 << 30)}"
+        rows.append((key, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ours = sorted(tuple(r) for r in ngram_join.near_duplicates(docs).collect())
+    assert ours == brute_components(rows)
+    assert 1 < len({r[2] for r in ours}) < 60
+
+
 def test_join_odd_rows(spark):
     found = ngram_join.near_duplicates(odd_documents(spark)).collect()
     assert len(found) == 12
