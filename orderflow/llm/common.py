@@ -82,6 +82,11 @@ def text_array(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at.astype(np.int64) - int(at[0])
 
 
+def texts_of(batch: pa.RecordBatch, text: str = "text") -> Iterator[str | None]:
+    """The texts of a batch one after the other, so that only one is held as an object."""
+    return (value.as_py() for value in batch.column(batch.schema.get_field_index(text)))
+
+
 def pieces(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most_bytes`` of text each (one row at least), so that the memory
     of a vectorised step follows the longest text and not the size of the batch."""

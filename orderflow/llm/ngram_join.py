@@ -168,7 +168,7 @@ def bit_sketches(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def frequent_shingles(docs: DataFrame, sample_rows: int, least_share: float = 0.0002, most: int = 500_000) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, sample_rows: int, least_share: float = 0.0004, most: int = 500_000) -> np.ndarray:
     """Shingles in at least ``least_share`` of the documents of a bounded sample, sorted; at most ``most``. They only order the parts."""
     total = docs.count()
     share = min(1.0, sample_rows / max(1, total))
@@ -392,7 +392,7 @@ def cluster_links(rows: DataFrame, sets: DataFrame, block: int = 2000) -> DataFr
     return whole.groupBy("cluster", "block", "chunk").applyInArrow(compare, "a bigint, b bigint")
 
 
-def linked_sets(docs: DataFrame, sample_rows: int = 40_000, star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def linked_sets(docs: DataFrame, sample_rows: int = 20_000, star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """One row a document (``key, n, node``), and the component (``node, root``) of every set that is linked with a smaller one.
 
     ``docs`` has the columns ``key`` and ``text``."""

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import free_name
+from orderflow.llm.common import free_name, texts_of
 from orderflow.llm.labelled import labelled_sample, remainder
 
 HELD_OUT, HELD_OUT_REMAINDER = 4, 2
@@ -107,7 +107,7 @@ def train(rows: np.ndarray, y: np.ndarray, p: Params = Params()) -> Model:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(t) for t in batch["text"].to_pylist()]
+        rows = [features(t) for t in texts_of(batch)]
         yield pa.RecordBatch.from_arrays(
             [batch["doc_id"].cast(pa.int64()), batch["y"].cast(pa.float64()), pa.array(rows, pa.list_(pa.float64()))],
             names=["doc_id", "y", "x"],
@@ -129,7 +129,7 @@ def score(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rows = np.array([features(t) for t in batch["text"].to_pylist()])
+                rows = np.array([features(t) for t in texts_of(batch)])
                 scores = pa.array(model.score(rows), pa.float64())
                 yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderflow.llm.common import free_name, stored
+from orderflow.llm.common import free_name, stored, texts_of
 from orderflow.llm.labelled import labelled_sample, remainder
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -151,7 +151,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = (Counter(), Counter())
-            for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist()):
+            for text, y in zip(texts_of(batch), batch["y"].to_pylist()):
                 seen[int(y > 0)].update(terms_of(text).keys())
             terms = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays(
@@ -196,7 +196,7 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[s
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
-            for text in batch["text"].to_pylist():
+            for text in texts_of(batch):
                 here = set()
                 for word in set(TOKEN.findall((text or "").lower())):
                     if word in known:
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params())
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [weights_of(t, idf) for t in batch["text"].to_pylist()]
+            found = [weights_of(t, idf) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"].cast(pa.int64()),
@@ -251,7 +251,7 @@ def score(docs: DataFrame, index: Index) -> tuple[DataFrame, str, str]:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Index(**held.value)
         for batch in batches:
-            found = [nearest(weights_of(t, own.idf), own) for t in batch["text"].to_pylist()]
+            found = [nearest(weights_of(t, own.idf), own) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,

@@ -105,7 +105,7 @@ def test_join_of_a_large_group_in_blocks(spark, monkeypatch):
     """Many copies with edits on both sides of the threshold; words of over three sets go to the blocks."""
     monkeypatch.setattr(ngram_join, "HOT", 3)
     monkeypatch.setattr(ngram_join.cluster_links, "__defaults__", (7,))
-    monkeypatch.setattr(ngram_join.linked_sets, "__defaults__", (40_000, 1))
+    monkeypatch.setattr(ngram_join.linked_sets, "__defaults__", (20_000, 1))
     rng = np.random.default_rng(12)
     base = [f"w{i}" for i in range(120)]
     rows = []
