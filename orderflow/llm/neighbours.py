@@ -3,7 +3,8 @@
 Equal vectors are one node. A node's list starts from random hyperplane partitions, inside which all pairs are compared (oversize cells are dealt
 into cells of ``cell`` nodes). NN-descent then improves the lists in rounds: every node introduces its neighbours and a sample of those that
 list it to each other; pairs nearer than what one of them has so far enter its list. Rounds end when few entries change.
-Lists use 8-bit codes of the vectors, lengthened by one component that makes nearest and largest inner product the same.
+Lists use 8-bit codes of the vectors, each on its own scale, lengthened by one component that makes nearest and largest inner product the same.
+That component is kept as a number beside the code, so a few long vectors do not coarsen the codes of the others.
 
 A query starts from its own node's list and the few longest vectors, and expands, round by round, the best nodes of its beam that are not yet expanded, for all
 queries in one join with the graph. It ends when its beam has none left. The nodes of the beam are ranked by the inner product
@@ -61,29 +62,43 @@ def usable(table: DataFrame) -> DataFrame:
 
 
 def coded(nodes: DataFrame) -> DataFrame:
-    """``node, code``: 8-bit codes of the lengthened vectors, all on one scale."""
-    norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    least2, most2, most = nodes.agg(
-        F.min(norm2), F.max(norm2), F.max(F.array_max(F.transform("v", F.abs)))
-    ).first()
-    scale = 127.0 / max(most or 1.0, ((most2 or 0.0) - (least2 or 0.0)) ** 0.5, 1e-300)
-    length2 = most2 or 0.0
+    """``node, code``: the scale, the shortfall and the 8-bit components of each vector, as parts of the greatest length.
+
+    A vector of length ``r`` is lengthened by a component ``1 - shortfall``, with ``shortfall = 1 - sqrt(1 - r * r)``: all have length one then."""
+    most = nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / most) * (x / most))
+    longest = (nodes.agg(F.max(norm2)).first()[0] or 1.0) ** 0.5
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = batch["v"].flatten().to_numpy().reshape(batch.num_rows, -1)
-                more = np.sqrt(np.maximum(0.0, length2 - (v * v).sum(1)))[:, None]
-                codes = np.rint(np.hstack([v, more]) * scale).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([batch["node"], pa.array([c.tobytes() for c in codes], pa.binary())], names=["node", "code"])
+                v = batch["v"].flatten().to_numpy().reshape(batch.num_rows, -1) / most / longest
+                norm2 = np.minimum(1.0, (v * v).sum(1))
+                scale = np.maximum(np.abs(v).max(1), 1e-300) / 127
+                head = np.stack([scale, norm2 / (1 + np.sqrt(1 - norm2))], 1).astype(np.float32)
+                codes = np.rint(v / scale[:, None]).astype(np.int8)
+                packed = [h.tobytes() + c.tobytes() for h, c in zip(head, codes)]
+                yield pa.RecordBatch.from_arrays([batch["node"], pa.array(packed, pa.binary())], names=["node", "code"])
 
     return nodes.select("node", "v").mapInArrow(encode, "node bigint, code binary")
 
 
-def _matrix(codes: pa.Array) -> np.ndarray:
+_HEAD = 8  # bytes of scale and shortfall
+
+
+def _matrix(codes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Components, scales and shortfalls."""
     if isinstance(codes, pa.ChunkedArray):
         codes = codes.combine_chunks()
-    return np.frombuffer(b"".join(codes.to_pylist()), np.int8).reshape(len(codes), -1).astype(np.float32)
+    rows = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1)
+    head = np.ascontiguousarray(rows[:, :_HEAD]).view(np.float32)
+    return rows[:, _HEAD:].view(np.int8).astype(np.float32), head[:, 0], head[:, 1]
+
+
+def _near(own: np.ndarray, scale: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """The inner products of the lengthened vectors, less one: near one, the small differences would be lost. Products of 8-bit components
+    are whole numbers and the rest goes by pairs, so a pair has the same value wherever it meets."""
+    return own @ own.T * np.multiply.outer(scale, scale) - (np.add.outer(short, short) - np.multiply.outer(short, short))
 
 
 def first_graph(codes: DataFrame, p: Params) -> DataFrame:
@@ -95,10 +110,9 @@ def first_graph(codes: DataFrame, p: Params) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = _matrix(batch["code"])
+            own, _, _ = _matrix(batch["code"])
             planes = np.random.default_rng(p.seed).standard_normal((own.shape[1], p.partitions * bits)).astype(np.float32)
-            # The lengthening component has one sign; planes go through the middle of the others.
-            planes[-1] = 0
+            # Planes leave out the lengthening component, which has one sign; the scale does not change a side.
             side = (own @ planes > 0).reshape(len(own), p.partitions, bits)
             cell = side @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((len(own), p.partitions), np.int64)
             for t in range(p.partitions):
@@ -112,9 +126,9 @@ def first_graph(codes: DataFrame, p: Params) -> DataFrame:
     cells = dealt.join(sizes, ["part", "cell"]).withColumn("split", F.pmod(F.xxhash64("node", "part"), F.col("split")))
 
     def compare(table: pa.Table) -> pa.Table:
-        own, node = _matrix(table["code"]), table["node"].to_numpy()
+        node = table["node"].to_numpy()
         k = min(p.k, len(node) - 1)
-        near = own @ own.T
+        near = _near(*_matrix(table["code"]))
         np.fill_diagonal(near, -np.inf)
         best = np.argpartition(-near, max(0, k - 1), axis=1)[:, :k] if k else np.zeros((len(node), 0), np.int64)
         pairs = pa.StructArray.from_arrays(
@@ -185,8 +199,7 @@ def introduce(graph: DataFrame, codes: DataFrame, p: Params, turn: int) -> DataF
         found = []
         starts = np.flatnonzero(np.diff(at, prepend=~at[0]) != 0).tolist()
         for a, b in zip(starts, [*starts[1:], len(at)]):
-            own = code[a:b]
-            neg = -(own @ own.T)
+            neg = -_near(*(part[a:b] for part in code))
             np.fill_diagonal(neg, np.inf)
             i, j = np.nonzero(neg < bound[a:b, None])
             if len(i):

@@ -54,6 +54,25 @@ def test_descent_improves_a_poor_graph(spark):
     assert hits >= 0.9 * 20 * 75
 
 
+def test_a_few_long_vectors_leave_the_others_apart(spark):
+    """Recall against brute force where a few vectors are 10 to 1,000 times longer than the others."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 64))
+    x = centres[rng.integers(60, size=6000)] + rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[[20, 1001, 2002, 3003, 4004]] *= np.array([[10.0], [50.0], [200.0], [500.0], [1000.0]])
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in neighbours.search(table).collect():
+        found.setdefault(r.query_id, []).append(r.score)
+    hits = 0
+    for query in range(0, 6000, 20):
+        scores = x @ x[query]
+        scores[query] = -np.inf
+        hits += sum(s >= np.sort(scores)[-20] - 1e-9 for s in found[query])
+    assert hits >= 0.9 * 20 * 300, hits / (20 * 300)
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(i, [float(i % 7), 1.0, float(i)]) for i in range(45)]
     rows += [(100 + i, [1.0, 2.0, 3.0]) for i in range(60)]  # equal vectors
