@@ -23,7 +23,7 @@ class AcceptedArrivals:
     """The memory: a folder per generation of micro-batches, in it one folder per micro-batch.
 
     A generation begins with the rows of the one before that are still remembered, so neither files nor rows
-    grow with the age of the stream. Micro-batch ``n`` reads what earlier ones wrote and overwrites its own
+    grow with the age of the stream. Its first micro-batch carries them, with rows of its own or without. Micro-batch ``n`` reads what earlier ones wrote and overwrites its own
     folder, so a repeated micro-batch leaves the same memory behind.
     """
 
@@ -38,15 +38,19 @@ class AcceptedArrivals:
         rows = self.spark.read.schema(schema).parquet(self._folder(generation))
         return rows.filter(F.col("batch_id") < before).select("_key", "_accepted_us")
 
-    def before(self, batch_id: int, earliest_us: int) -> DataFrame | None:
-        """Arrivals accepted by earlier micro-batches and remembered at ``earliest_us`` or later."""
+    def before(self, batch_id: int, earliest_us: int | None) -> DataFrame | None:
+        """Arrivals accepted by earlier micro-batches and remembered at ``earliest_us`` or later. Without an arrival to tell the time, the
+        clock is the latest accepted one less a whole memory: what may still be met stays, and empty micro-batches cannot make it grow."""
         generation = batch_id // GENERATION
         carried = f"{self._folder(generation)}/batch_id=-1"
         if generation and batch_id % GENERATION == 0 and path_exists(self.spark, self._folder(generation - 1)):
-            old = self._rows(generation - 1, batch_id).filter(F.col("_accepted_us") + self.ttl_us > earliest_us)
+            old = self._rows(generation - 1, batch_id)
+            if earliest_us is None:
+                earliest_us = (old.agg(F.max("_accepted_us")).first()[0] or 0) - self.ttl_us
+            old = old.filter(F.col("_accepted_us") + self.ttl_us > earliest_us)
             old.groupBy("_key").agg(F.max("_accepted_us").alias("_accepted_us")).write.mode("overwrite").parquet(carried)
             delete_path(self.spark, self._folder(generation - 2))
-        if not path_exists(self.spark, self._folder(generation)):
+        if earliest_us is None or not path_exists(self.spark, self._folder(generation)):
             return None
         return self._rows(generation, batch_id).filter(F.col("_accepted_us") + self.ttl_us > earliest_us)
 
@@ -66,6 +70,7 @@ def flag_batch_duplicates(
     own = AcceptedArrivals(batch.sparkSession, memory, ttl_seconds)
     earliest = batch.agg(F.min(F.unix_micros("arrival_ts"))).first()[0]
     if earliest is None:
+        own.before(batch_id, None)
         own.write(batch.limit(0).select(F.col(key).alias("_key"), F.lit(0).cast("bigint").alias("_accepted_us")), batch_id)
         return batch.withColumn("is_dup", F.lit(False))
     known = own.before(batch_id, earliest)

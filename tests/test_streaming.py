@@ -51,6 +51,20 @@ def test_memory_expires_over_generations(spark):
     assert len(child_names(spark, memory)) <= 2
 
 
+def test_memory_survives_a_generation_that_begins_without_valid_rows(spark):
+    """Micro-batches 16 and 32 hold only rejected records, 16 is repeated; the memory of before is still met."""
+    memory = scratch_path(spark, "accepted")
+    got = {}
+    for n in (14, 15, 16, 16, 17, 31, 32, 33):
+        rows = [] if n % 16 == 0 else [("same", n, n), (f"only-{n}", n, n)]
+        batch = spark.createDataFrame(rows, "order_id string, sec bigint, arrival_seq bigint")
+        batch = batch.withColumn("arrival_ts", F.timestamp_seconds("sec"))
+        got[n] = {r["order_id"]: r["is_dup"] for r in flag_batch_duplicates(batch, n, memory, ttl_seconds=1000).collect()}
+    assert got[16] == got[32] == {}
+    assert [got[n]["same"] for n in (14, 15, 17, 31, 33)] == [False, True, True, True, True]
+    assert not any(got[n][f"only-{n}"] for n in (14, 15, 17, 31, 33))
+
+
 def test_null_order_id_is_a_schema_error(spark):
     text = '{"order_id":null,"customer_id":"CUST-US-1","amount":"5","currency":"USD","status":"shipped","timestamp":"2024-01-01","items_count":1}'
     row = V.validate_orders(spark.createDataFrame([(text,)], "value string")).first()
