@@ -5,6 +5,9 @@ The k-mers are runs of ``K`` words (of bytes, in a short text). Each is numbered
 number of the signature. Two signatures agree in a function only if the same k-mers were selected and stand in the same order, so the share
 of equal numbers falls with the edit distance, and moving parts of a text lowers it too.
 
+Numbers of the two kinds of k-mers never meet, so a text below ``BOTH`` bytes has a second signature of the other kind: any two texts have a
+kind in common, and ``compared`` takes that.
+
 ``edited_report`` compares documents with an edited form that takes its last quarter from the next document. Texts are dealt by
 range of their ids and sorted, so the next document is the next row; the first rows of each range are sent to the range before it too.
 Whole texts are shuffled once, compressed, and a task holds a few megabytes of them.
@@ -32,6 +35,8 @@ from orderflow.llm.common import pieces, spans, text_array
 K, FUNCTIONS, PICK = 3, 32, 2
 #: A text below so many bytes has too few words to compare; its k-mers are runs of so many bytes.
 SHORT, SHORT_K = 200, 4
+#: A text below so many bytes has signatures of both kinds; texts of both sides of ``SHORT`` meet by bytes if both are below, else by words.
+BOTH = 2 * SHORT
 _PLACE_BITS = 20
 #: One odd multiplier for each hash function.
 _FACTORS = [int(x) | 1 for x in mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))]
@@ -39,16 +44,31 @@ _FACTORS = [int(x) | 1 for x in mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64)
 
 def signatures(body: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One row of ``FUNCTIONS`` 32-bit numbers for each text."""
+    return _signed(body, at, np.diff(at) < SHORT)
+
+
+def second_signatures(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The signatures by the other kind of k-mers of the texts below ``BOTH`` bytes; zeros for the others."""
     out = np.zeros((len(at) - 1, FUNCTIONS), np.uint32)
     size = np.diff(at)
-    short = np.flatnonzero(size < SHORT)
+    near = np.flatnonzero(size < BOTH)
+    if len(near):
+        own = body[spans(at[:-1][near], size[near])]
+        out[near] = _signed(own, np.concatenate([[0], np.cumsum(size[near])]), size[near] >= SHORT)
+    return out
+
+
+def _signed(body: np.ndarray, at: np.ndarray, by_bytes: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(at) - 1, FUNCTIONS), np.uint32)
+    size = np.diff(at)
+    short = np.flatnonzero(by_bytes)
     if len(short):
         own = body[spans(at[:-1][short], size[short])]
         _fill(out, short, *runs(mix(own.astype(np.uint64) + np.uint64(1)), size[short], SHORT_K))
-    other = np.flatnonzero(size >= SHORT)
+    other = np.flatnonzero(~by_bytes)
     if len(other):
         hashes, counts = words(body, at, lower=False)
-        hashes = hashes[np.repeat(size >= SHORT, counts)]
+        hashes = hashes[np.repeat(~by_bytes, counts)]
         _fill(out, other, *runs(hashes, counts[other], K))
     return out
 
@@ -104,29 +124,50 @@ def of_texts(texts: list[str]) -> np.ndarray:
     return signatures(body, at)
 
 
+def both_of_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second signatures, and sizes in bytes."""
+    body, at = text_array(pa.array(texts, pa.large_string()))
+    return signatures(body, at), second_signatures(body, at), np.diff(at)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
+def compared(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Likeness row by row by a kind of k-mers that both texts have; ``a`` and ``b`` as of :func:`both_of_texts`."""
+    (first, second, size), (first_b, second_b, size_b) = a, b
+    across = (size < SHORT) != (size_b < SHORT)
+    by_bytes = np.maximum(size, size_b) < BOTH
+    # Below SHORT the first signature is the one of bytes, from there on the second.
+    own = np.where((across & ((size < SHORT) != by_bytes))[:, None], second, first)
+    other = np.where((across & ((size_b < SHORT) != by_bytes))[:, None], second_b, first_b)
+    return likeness(own, other)
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_chars, fingerprint`` (bytes) of each row."""
+    """``key, n_chars, fingerprint, second_fingerprint`` (bytes) of each row; the last is null from ``BOTH`` bytes on."""
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.length(whole).cast("bigint").alias("n_chars"), whole.alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                found = signatures(*text_array(part["text"]))
+                body, at = text_array(part["text"])
+                found, second = signatures(body, at), second_signatures(body, at)
+                seconds = [f.tobytes() if n < BOTH else None for f, n in zip(second, np.diff(at))]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:2], pa.array([f.tobytes() for f in found], pa.binary())], names=["key", "n_chars", "fingerprint"]
+                    [*part.columns[:2], pa.array([f.tobytes() for f in found], pa.binary()), pa.array(seconds, pa.binary())],
+                    names=["key", "n_chars", "fingerprint", "second_fingerprint"],
                 )
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(sign, f"key {kind}, n_chars bigint, fingerprint binary").withColumnRenamed("key", key)
+    return rows.mapInArrow(sign, f"key {kind}, n_chars bigint, fingerprint binary, second_fingerprint binary").withColumnRenamed("key", key)
 
 
 _OUT = (
-    "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
+    "second_fingerprint string, edited_second_fingerprint string"
 )
 _NO_ID = -(1 << 63)  # stands for a null id, before all others
 
@@ -166,7 +207,8 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 
 def edited_report(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
+    """Per document: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+    second_fingerprint, edited_second_fingerprint``; the last two are null from ``BOTH`` bytes on."""
     return in_order(docs).mapInArrow(_walk, _OUT)
 
 
@@ -189,13 +231,13 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             waiting.append((key, text))
             if size >= 1 << 20:
-                yield _compared(ready)
+                yield _report(ready)
                 ready, size = [], 0
     if ready:
-        yield _compared(ready)
+        yield _report(ready)
 
 
-def _compared(ready: list[tuple[int, str, str]]) -> pa.RecordBatch:
+def _report(ready: list[tuple[int, str, str]]) -> pa.RecordBatch:
     places: dict[int, int] = {}  # a successor is mostly the next row's own text
     texts: list[str] = []
     for _, text, following in ready:
@@ -205,18 +247,19 @@ def _compared(ready: list[tuple[int, str, str]]) -> pa.RecordBatch:
                 texts.append(one)
     cuts = [len(text) // 4 for _, text, _ in ready]
     edited = [text[: len(text) - cut] + following[:cut] for (_, text, following), cut in zip(ready, cuts)]
-    found = of_texts(texts)
-    own, nexts = (found[[places[id(row[i])] for row in ready]] for i in (1, 2))
-    changed = of_texts(edited)
+    found = both_of_texts(texts)
+    own, nexts = (tuple(part[[places[id(row[i])] for row in ready]] for part in found) for i in (1, 2))
+    changed = both_of_texts(edited)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([None if key == _NO_ID else key for key, _, _ in ready], pa.int64()),
             pa.array([len(text) for _, text, _ in ready], pa.int64()),
             pa.array([hashlib.sha256(text.encode()).hexdigest() for text in edited]),
-            pa.array([row.tobytes().hex() for row in own]),
-            pa.array([row.tobytes().hex() for row in changed]),
-            pa.array(likeness(own, changed)),
-            pa.array(likeness(own, nexts)),
+            pa.array([row.tobytes().hex() for row in own[0]]),
+            pa.array([row.tobytes().hex() for row in changed[0]]),
+            pa.array(compared(own, changed)),
+            pa.array(compared(own, nexts)),
+            *(pa.array([row.tobytes().hex() if n < BOTH else None for row, n in zip(x[1], x[2])], pa.string()) for x in (own, changed)),
         ],
-        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        names=[f.split()[0] for f in _OUT.split(", ")],
     )

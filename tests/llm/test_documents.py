@@ -180,6 +180,21 @@ def test_fingerprints(spark, texts):
     assert nearer >= 0.95 * len(ids)
 
 
+def test_fingerprints_meet_across_the_border(spark):
+    """Near copies of 195 to 205 bytes, and an edited form that is shorter than the border, are alike."""
+    rng = np.random.default_rng(3)
+    base = " ".join("".join(chr(97 + c) for c in rng.integers(26, size=5)) for _ in range(80))
+    copies = [base[:n] for n in range(195, 206)]
+    first, second, size = fingerprints.both_of_texts(copies)
+    for i in range(len(copies)):
+        turned = tuple(np.repeat(x[i : i + 1], len(copies), axis=0) for x in (first, second, size))
+        assert (fingerprints.compared(turned, (first, second, size)) > 0.5).all()
+    rows = spark.createDataFrame([(1, base[:220]), (2, ""), (3, base[:199]), (4, base[:201])], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in fingerprints.edited_report(rows).collect()}
+    assert found[1].near_edited > 0.2 and found[3].near_next > 0.5
+    assert found[1].second_fingerprint != found[1].fingerprint
+
+
 def test_fingerprints_see_order():
     base = [f"w{i}" for i in range(400)]
     moved = base[200:] + base[:200]
