@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orderflow.llm import bpe, counts, fingerprints, licenses, mixing, neighbours, ngram_join, quality, toxicity, warc
+from orderflow.llm import bpe, counts, fingerprints, licenses, mixing, negatives, neighbours, ngram_join, quality, toxicity, vector_codes, warc
 from orderflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,13 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_nn_descent")
 def nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"))
+
+
+@query("op11_vector_codes", vector_codes.COMPRESS_SQL)
+def compressed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_hard_negatives", negatives.MINE_SQL)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.shifted_labels(read(spark, sf_dir, "embeddings")))
