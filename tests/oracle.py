@@ -9,7 +9,7 @@ import os
 import duckdb
 
 TYPES = {
-    "string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN",
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
     "timestamp_ntz": "TIMESTAMP",
 }
 
