@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orderflow.llm import bpe, counts, fingerprints, licenses, mixing, negatives, neighbours, ngram_join, quality, toxicity, vector_codes, warc
+from orderflow.llm import (
+    bpe, counts, embedding_dedup, fingerprints, licenses, mixing, negatives, neighbours, ngram_join, quality, toxicity, vector_codes, warc,
+)
 from orderflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +86,8 @@ def compressed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_hard_negatives", negatives.MINE_SQL)
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.shifted_labels(read(spark, sf_dir, "embeddings")))
+
+
+@query("op13_embedding_dedup", embedding_dedup.DEDUP_SQL)
+def deduplicated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
