@@ -74,7 +74,7 @@ def test_empty_and_repeated_rows(spark):
 def test_codes_by_plain_loops(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(v) for v in rng.normal(size=11)], int(i % 4)) for i in rng.permutation(150)]
-    rows += [(i, rows[i][1], 1) for i in range(500, 520)]
+    rows += [(500 + i, rows[i][1], 1) for i in range(20)]
     found = vector_codes.compress(frame(spark, rows), parts=4, entries=6).collect()
     ints = {i: [int(np.floor(256 * x)) for x in v] + [0] for i, v, _ in rows}
     books = [[ints[i][3 * p : 3 * p + 3] for i in range(6)] for p in range(4)]
