@@ -23,7 +23,8 @@ def flag_duplicates(
 ) -> DataFrame:
     """Add ``is_dup``. A row is accepted when no earlier *accepted* row of its key is younger than
     the memory; duplicates do not refresh it. Arrivals are ordered by (arrival_ts, arrival_seq);
-    ``arrival_seq`` may be a struct, as (partition, offset). Of rows that share key and arrival one is accepted.
+    ``arrival_seq`` may be a struct, as (partition, offset). Of rows that share key and arrival one is accepted, the same one in every run:
+    the rows themselves tell which.
     A null key is a key.
 
     A key's first arrival is a grouped minimum (partial aggregation, so a hot key does not matter).
@@ -66,12 +67,17 @@ def flag_duplicates(
     if special.filter("_mark = 'tied'").isEmpty():
         return marked.select(*df.columns, F.col("_mark").isNotNull().alias("is_dup"))
     # Several rows of one accepted arrival: all but one are duplicates. Only they are numbered.
-    same = Window.partitionBy(key, arrival_ts, arrival_seq).orderBy(F.lit(1))
+    same = Window.partitionBy(key, arrival_ts, arrival_seq).orderBy(row_order(df.columns))
     tied = F.coalesce(F.col("_mark") == "tied", F.lit(False))
     others = marked.filter(~tied).withColumn("is_dup", F.col("_mark").isNotNull())
     return others.unionByName(marked.filter(tied).withColumn("is_dup", F.row_number().over(same) > 1)).drop("_mark")
 
 
+def row_order(columns: list[str]) -> Column:
+    """An order of rows by what they hold; rows that hold the same are alike in any order."""
+    return F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])))
+
+
 def _accepted_again(slim: DataFrame, spans: DataFrame, ttl: int) -> DataFrame | None:
     """Accepted arrivals after the first, for keys seen over more than one memory length."""
     long_keys = spans.filter(F.col("_last") - F.col("_at.clock") >= ttl).select("_key", "_at")

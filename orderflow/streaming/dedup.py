@@ -1,65 +1,85 @@
 """First arrival per key wins, over micro-batches, with a time-limited memory kept as a table.
 
-The memory holds one row per accepted arrival and is read once per micro-batch: an equi-join in the JVM on
-the keys of the batch, however large the batch is. Its clock is the arrival, as in the batch operator, so
-the answer does not depend on where micro-batches begin and a backlog is de-duplicated like live input.
+The clock is the arrival, as in the batch operator, so the answer does not depend on where micro-batches begin and a backlog is
+de-duplicated like live input. A micro-batch that spans less than the memory accepts at most one arrival a key, so one grouped minimum decides it; a
+backlog takes a round more for each memory it spans.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderflow import constants as C
 from orderflow.functions.scalar import join_on
-from orderflow.operators.dedup import flag_duplicates
-from orderflow.session import delete_path, path_exists, stage
+from orderflow.operators.dedup import row_order
+from orderflow.session import delete_path
+from orderflow.streaming.memory import AcceptedKeys
 
-#: Micro-batches after which the memory is rewritten without what has expired.
-GENERATION = 16
 
+def accept_batch(
+    batch: DataFrame, batch_id: int, memory: AcceptedKeys, key: str = "order_id"
+) -> tuple[DataFrame, bool] | None:
+    """``_key, _clock, _seq, _rows`` of the arrivals that a micro-batch accepts, written into the memory, and whether several rows share one of
+    them. None for a micro-batch without rows.
 
-class AcceptedArrivals:
-    """The memory: a folder per generation of micro-batches, in it one folder per micro-batch.
-
-    A generation begins with the rows of the one before that are still remembered, so neither files nor rows
-    grow with the age of the stream. Its first micro-batch carries them, with rows of its own or without. Micro-batch ``n`` reads what earlier ones wrote and overwrites its own
-    folder, so a repeated micro-batch leaves the same memory behind.
+    Per key, the first arrival that is at least ``ttl`` after what is remembered is accepted, then the first that is ``ttl`` after that one. Rows
+    are reduced to arrivals and arrivals to a minimum before they are shuffled.
     """
-
-    def __init__(self, spark: SparkSession, root: str, ttl_seconds: int):
-        self.spark, self.root, self.ttl_us = spark, root, ttl_seconds * 1_000_000
-
-    def _folder(self, generation: int) -> str:
-        return f"{self.root}/generation={generation}"
-
-    def _rows(self, generation: int, before: int) -> DataFrame:
-        schema = "_key string, _accepted_us bigint, batch_id bigint"
-        rows = self.spark.read.schema(schema).parquet(self._folder(generation))
-        return rows.filter(F.col("batch_id") < before).select("_key", "_accepted_us")
-
-    def before(self, batch_id: int, earliest_us: int | None) -> DataFrame | None:
-        """Arrivals accepted by earlier micro-batches and remembered at ``earliest_us`` or later. Without an arrival to tell the time, the
-        clock is the latest accepted one less a whole memory: what may still be met stays, and empty micro-batches cannot make it grow."""
-        generation = batch_id // GENERATION
-        carried = f"{self._folder(generation)}/batch_id=-1"
-        if generation and batch_id % GENERATION == 0 and path_exists(self.spark, self._folder(generation - 1)):
-            old = self._rows(generation - 1, batch_id)
-            if earliest_us is None:
-                earliest_us = (old.agg(F.max("_accepted_us")).first()[0] or 0) - self.ttl_us
-            old = old.filter(F.col("_accepted_us") + self.ttl_us > earliest_us)
-            old.groupBy("_key").agg(F.max("_accepted_us").alias("_accepted_us")).write.mode("overwrite").parquet(carried)
-            delete_path(self.spark, self._folder(generation - 2))
-        if earliest_us is None or not path_exists(self.spark, self._folder(generation)):
-            return None
-        return self._rows(generation, batch_id).filter(F.col("_accepted_us") + self.ttl_us > earliest_us)
-
-    def write(self, accepted: DataFrame, batch_id: int) -> None:
-        accepted.write.mode("overwrite").parquet(f"{self._folder(batch_id // GENERATION)}/batch_id={batch_id}")
+    spark, ttl, clock = batch.sparkSession, memory.ttl_us, F.unix_micros("arrival_ts")
+    memory.tidy(batch_id)
+    earliest, newest = batch.agg(F.min(clock), F.max(clock)).first()
+    own = memory.own(batch_id)
+    delete_path(spark, own)
+    if earliest is None:
+        return None
+    at = F.struct(clock.alias("clock"), F.col("arrival_seq").alias("seq"))
+    arrivals = batch.select(F.col(key).alias("_key"), at.alias("_at")).groupBy("_key", "_at").agg(F.count("*").alias("_rows"))
+    known = memory.latest(batch.select(F.col(key).alias("_key")), batch_id, earliest)
+    if known is None:
+        open_for = arrivals
+    else:
+        open_for = join_on(arrivals, known, ["_key"], "left")
+        open_for = open_for.filter(F.col("_known").isNull() | (F.col("_at.clock") >= F.col("_known") + ttl)).drop("_known")
+    turn, several = 0, False
+    while True:
+        first = open_for.groupBy("_key").agg(F.min(F.struct("_at", "_rows")).alias("_first"), F.max("_at.clock").alias("_last"))
+        flat = first.select(
+            "_key", F.col("_first._at.clock").alias("_clock"), F.col("_first._at.seq").alias("_seq"), F.col("_first._rows").alias("_rows"), "_last"
+        )
+        flat.write.parquet(f"{own}/round={turn}")
+        step = spark.read.schema(flat.schema).parquet(f"{own}/round={turn}")
+        longer = step.filter(F.col("_last") >= F.col("_clock") + ttl)
+        most_rows, more = step.agg(F.max("_rows"), F.count_if(F.col("_last") >= F.col("_clock") + ttl)).first()
+        several = several or (most_rows or 0) > 1
+        if not more:
+            break
+        turn += 1
+        following = longer.select("_key", F.col("_clock").alias("_known"))
+        open_for = join_on(arrivals, following, ["_key"]).filter(F.col("_at.clock") >= F.col("_known") + ttl).drop("_known")
+    kept = flat.schema
+    accepted = spark.read.schema(kept).option("recursiveFileLookup", True).parquet(own).drop("_last")
+    return accepted, several
+
+
+def mark_duplicates(batch: DataFrame, accepted: tuple[DataFrame, bool] | None, key: str = "order_id") -> DataFrame:
+    """``batch`` with ``is_dup``: rows whose arrival was not accepted and, of rows that share key and arrival, all but one. Which one is
+    told by the rows themselves, so a repeated run tells the same."""
+    if accepted is None:
+        return batch.withColumn("is_dup", F.lit(True))
+    arrivals, several = accepted
+    named = arrivals.withColumnsRenamed({"_key": key, "_seq": "arrival_seq"})
+    met = join_on(batch.withColumn("_clock", F.unix_micros("arrival_ts")), named, [key, "_clock", "arrival_seq"], "left").drop("_clock")
+    if not several:
+        return met.withColumn("is_dup", F.col("_rows").isNull()).drop("_rows")
+    tied = F.coalesce(F.col("_rows") > 1, F.lit(False))
+    same = Window.partitionBy(key, "arrival_ts", "arrival_seq").orderBy(row_order(batch.columns))
+    numbered = met.filter(tied).withColumn("is_dup", F.row_number().over(same) > 1)
+    return met.filter(~tied).withColumn("is_dup", F.col("_rows").isNull()).unionByName(numbered).drop("_rows")
 
 
 def flag_batch_duplicates(
-    batch: DataFrame, batch_id: int, memory: str, key: str = "order_id", ttl_seconds: int = C.DEDUP_TTL_SECONDS
+    batch: DataFrame, batch_id: int, memory: str, key: str = "order_id", ttl_seconds: int = C.DEDUP_TTL_SECONDS, **layout: int
 ) -> DataFrame:
     """One micro-batch's twin of :func:`orderflow.operators.dedup.flag_duplicates`; adds ``is_dup``.
 
@@ -67,27 +87,8 @@ def flag_batch_duplicates(
     ``arrival_seq``, and its key is a text. An arrival that is late by more than a micro-batch counts as a duplicate of
     what was accepted after it.
     """
-    own = AcceptedArrivals(batch.sparkSession, memory, ttl_seconds)
-    earliest = batch.agg(F.min(F.unix_micros("arrival_ts"))).first()[0]
-    if earliest is None:
-        own.before(batch_id, None)
-        own.write(batch.limit(0).select(F.col(key).alias("_key"), F.lit(0).cast("bigint").alias("_accepted_us")), batch_id)
-        return batch.withColumn("is_dup", F.lit(False))
-    known = own.before(batch_id, earliest)
-    fresh, repeated = batch, None
-    if known is not None:
-        here = batch.select(F.col(key).alias("_key")).distinct()
-        latest = join_on(known, here, ["_key"], "left_semi").groupBy("_key").agg(F.max("_accepted_us").alias("_accepted_us"))
-        met = join_on(batch.withColumn("_key", F.col(key)), latest, ["_key"], "left").drop("_key")
-        held = F.coalesce(F.unix_micros("arrival_ts") < F.col("_accepted_us") + own.ttl_us, F.lit(False))
-        marked = stage(met.withColumn("_held", held), "met-memory")
-        fresh = marked.filter(~F.col("_held")).drop("_held", "_accepted_us")
-        repeated = marked.filter("_held").drop("_held", "_accepted_us").withColumn("is_dup", F.lit(True))
-    flagged = flag_duplicates(fresh, key, ttl_seconds=ttl_seconds)
-    flagged = stage(flagged if repeated is None else flagged.unionByName(repeated), "flagged-batch")
-    accepted = flagged.filter(~F.col("is_dup")).groupBy(F.col(key).alias("_key"))
-    own.write(accepted.agg(F.max(F.unix_micros("arrival_ts")).alias("_accepted_us")), batch_id)
-    return flagged
+    own = AcceptedKeys(batch.sparkSession, memory, ttl_seconds, **layout)
+    return mark_duplicates(batch, accept_batch(batch, batch_id, own, key), key)
 
 
 def dedup_within_watermark(df: DataFrame, key: str, ts: str, delay: str) -> DataFrame:

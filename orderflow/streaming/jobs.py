@@ -19,7 +19,8 @@ from orderflow.operators.enrich import enrich_orders, from_wire_json, to_wire_js
 from orderflow.operators.validate import route, to_dlq, validate_orders
 from orderflow.operators.windows import finish_windows, window_accumulate, with_event_time
 from orderflow.session import delete_path, path_exists, stage, staging_scope
-from orderflow.streaming.dedup import flag_batch_duplicates
+from orderflow.streaming.dedup import accept_batch, mark_duplicates
+from orderflow.streaming.memory import AcceptedKeys
 from orderflow.streaming.sinks import batch_path
 
 OUTCOME = (
@@ -55,19 +56,20 @@ def write_outcomes(
             return
         with staging_scope(spark):
             checked = stage(with_outcome_text(batch, at), "checked-batch")
-            valid, rejected = route(checked)
-            flagged = flag_batch_duplicates(valid, batch_id, f"{root}/accepted", ttl_seconds=ttl_seconds)
+            memory = AcceptedKeys(spark, f"{root}/accepted", ttl_seconds)
+            accepted = accept_batch(route(checked)[0], batch_id, memory)
             repeated = F.concat(
                 F.lit("Order "), F.col("order_id"), F.lit(" already processed within deduplication window")
             )
-            judged = (
-                flagged.withColumn("error_type", F.when(F.col("is_dup"), "DUPLICATE"))
-                .withColumn("error_message", F.when(F.col("is_dup"), repeated))
-                .drop("is_dup")
+            duplicate = F.col("is_dup") & F.col("error_type").isNull()
+            judged = mark_duplicates(checked, accepted).select(
+                "order_id", "arrival_seq", "arrival_ts",
+                F.when(duplicate, "DUPLICATE").otherwise(F.col("error_type")).alias("error_type"),
+                F.when(duplicate, repeated).otherwise(F.col("error_message")).alias("error_message"),
+                "value",
             )
             (
-                judged.unionByName(rejected)
-                .withColumn("outcome", F.when(F.col("error_type").isNull(), "processed").otherwise("dlq"))
+                judged.withColumn("outcome", F.when(F.col("error_type").isNull(), "processed").otherwise("dlq"))
                 .write.mode("overwrite").partitionBy("outcome").parquet(target)
             )
 

@@ -13,6 +13,7 @@ from orderflow.session import child_names, scratch_path
 from orderflow.streaming import jobs as J
 from orderflow.streaming import sinks as K
 from orderflow.streaming.dedup import flag_batch_duplicates
+from orderflow.streaming.memory import AcceptedKeys, bits_of, has_bits
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,7 +37,7 @@ def test_outcomes_over_restarts_equal_the_batch_twin(spark):
 
 
 def test_memory_expires_over_generations(spark):
-    """Forty micro-batches pass two generations; a repeated micro-batch gives the same answer."""
+    """Forty micro-batches pass two merges of segments; a repeated micro-batch gives the same answer."""
     memory = scratch_path(spark, "accepted")
     got = []
     for n in range(40):
@@ -48,7 +49,59 @@ def test_memory_expires_over_generations(spark):
         assert rows[f"only-{n}"] is False
         got.append(rows["same"])
     assert got == [n % 4 != 0 for n in range(40)]
-    assert len(child_names(spark, memory)) <= 2
+    assert len(child_names(spark, f"{memory}/recent")) <= 16 and len(child_names(spark, f"{memory}/merged")) <= 2
+
+
+def test_reads_follow_the_micro_batch(spark, monkeypatch):
+    """Forty micro-batches of 500 ids, 3 of them seen before: the answers are those of the batch twin, and what is read of merged segments
+    is the buckets of repeated ids (or of the few that pass a filter by chance), however much is remembered."""
+    read = []
+    monkeypatch.setattr(AcceptedKeys, "hit_buckets", lambda self, *a, f=AcceptedKeys.hit_buckets: (read.append(f(self, *a)), read[-1])[1])
+    memory, schema, every, flagged = scratch_path(spark, "accepted"), "order_id string, sec bigint, arrival_seq bigint", [], []
+    segments = []
+    for n in range(40):
+        ids = [500 * n + i for i in range(500)] + [500 * (n // 2) + i for i in range(3) if n > 1]
+        rows = [(f"ORD-{k}", 60 * n + i // 10, 1000 * n + i) for i, k in enumerate(ids)]
+        every += rows
+        batch = spark.createDataFrame(rows, schema).withColumn("arrival_ts", F.timestamp_seconds("sec"))
+        for _ in range(2 if n in (4, 16) else 1):
+            out = flag_batch_duplicates(batch, n, memory, ttl_seconds=3600, fan=4, buckets=16).select("arrival_seq", "is_dup").collect()
+        flagged += out
+        segments.append(len(AcceptedKeys(spark, memory, 3600, 4, 16).segments()))
+    whole = spark.createDataFrame(every, schema).withColumn("arrival_ts", F.timestamp_seconds("sec"))
+    twin = D.flag_duplicates(whole, ttl_seconds=3600).select("arrival_seq", "is_dup").collect()
+    assert sorted(map(tuple, flagged)) == sorted(map(tuple, twin))
+    assert sum(r.is_dup for r in flagged) == 3 * 38
+    # A micro-batch meets up to seven segments of 16 buckets; 3 repeated ids and about 1 in 400 strangers a segment hit few.
+    assert max(segments) >= 4 and len(read) >= 36
+    assert max(map(len, read)) <= 24 and sum(map(len, read[-5:])) <= sum(map(len, read[10:15])) + 40
+
+
+def test_bloom_filter_has_no_false_negatives(spark):
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("_key"))
+    index = keys.select(F.explode(bits_of(F.col("_key"))).alias("place")).agg(F.bitmap_construct_agg("place").alias("bitmap"))
+    asked = keys.unionByName(spark.range(3000, 9000).select(F.concat(F.lit("k"), "id").alias("_key")))
+    passed = asked.join(index).filter(has_bits(F.col("bitmap"), bits_of(F.col("_key")))).select("_key").collect()
+    own = [r for r in passed if int(r[0][1:]) < 3000]
+    assert len(own) == 3000 and len(passed) - len(own) < 0.03 * 6000
+
+
+def test_tied_arrivals_are_told_apart_by_their_rows(spark):
+    """Of rows that share key and arrival one is accepted, the same one in any run, in batches and in streams."""
+    rows = [("a", 5, 1, f"payload-{i}") for i in range(6)] + [("a", 9, 2, "later"), ("b", 5, 1, "x"), (None, 5, 1, "n"), (None, 5, 1, "m")]
+    table = spark.createDataFrame(rows, "order_id string, sec bigint, arrival_seq bigint, payload string")
+    table = table.withColumn("arrival_ts", F.timestamp_seconds("sec"))
+    wanted = None
+    for turn in range(3):
+        dealt = table.orderBy(F.xxhash64("payload", F.lit(turn))).repartition(3)
+        flagged = D.flag_duplicates(dealt)
+        streamed = flag_batch_duplicates(dealt, 0, scratch_path(spark, "accepted"))
+        got = sorted(r.payload for r in flagged.filter("not is_dup").collect())
+        assert got == sorted(r.payload for r in streamed.filter("not is_dup").collect())
+        assert len(got) == 3 and (wanted is None or got == wanted)
+        wanted = got
+        again = sorted(r.payload for r in D.flag_duplicates(dealt).filter("is_dup").collect())
+        assert sorted(got + again) == sorted(r[3] for r in rows)
 
 
 def test_memory_survives_a_generation_that_begins_without_valid_rows(spark):
