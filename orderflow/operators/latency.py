@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from orderflow.functions.percentiles import approx_percentiles, exact_percentiles
 from orderflow.functions.scalar import join_on, time_bin
+from orderflow.operators.rollups import K as SKETCH_K
+from orderflow.operators.rollups import with_quantiles
 
 P50_95_99 = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
@@ -142,17 +144,18 @@ RETENTION_DAYS = {"latency": 1, "resource": 7, "throughput": 30, "errors": 30, "
 def metric_rollup(
     df: DataFrame, now: Column, classes: dict[str, str], ts: str = "ts", keep_raw_days: int = 1
 ) -> DataFrame:
-    """Per-minute averages and the retention cut by metric class.
+    """Per-minute averages and percentiles, and the retention cut by metric class.
 
     Points past their class's retention are left out, but latency points past it survive as
-    per-minute percentiles for 30 days, as every class's averages do.
+    per-minute percentiles for 30 days, as every class's averages do. ``sketch`` answers other quantiles and
+    merges to longer times (:mod:`orderflow.operators.rollups`).
     """
     mapping = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
     age_days = (F.unix_seconds(now) - F.unix_seconds(ts)) / 86400
     tagged = df.withColumn("metric_class", mapping[F.col("metric_name")])
     days = F.create_map(*[F.lit(x) for pair in RETENTION_DAYS.items() for x in pair])
     kept_days = F.when(F.col("metric_class") == "latency", 30).otherwise(days[F.col("metric_class")])
-    return (
+    rows = (
         tagged.filter((age_days <= kept_days) & (age_days >= 0))
         .groupBy("metric_name", "metric_class", F.date_trunc("minute", ts).alias("minute"))
         .agg(
@@ -160,8 +163,10 @@ def metric_rollup(
             F.round(F.avg("value"), 6).alias("avg_value"),
             F.max("value").alias("max_value"),
             F.max(age_days <= keep_raw_days).alias("raw_kept"),
+            F.kll_sketch_agg_double("value", SKETCH_K).alias("sketch"),
         )
     )
+    return with_quantiles(rows)
 
 
 # Fixed values: (metric, direction, warning from, critical beyond). Direction "low" is bad when small.

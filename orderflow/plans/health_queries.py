@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
 from orderflow.functions.scalar import region_of
 from orderflow.operators import alarms as A
 from orderflow.operators import dedup as D
@@ -13,6 +12,7 @@ from orderflow.operators import lag as G
 from orderflow.operators import late as L
 from orderflow.operators import latency as Y
 from orderflow.operators import quality as Q
+from orderflow.operators import rollups as R
 from orderflow.operators import validate as V
 from orderflow.operators import windows as W
 from orderflow.plans import inputs as I
@@ -319,11 +319,19 @@ _CLASSES = {
 }
 
 
+def _disc(value: str, p: float) -> str:
+    """SQL: the least value that at least the share ``p`` of a group's rows do not exceed."""
+    return f"list_sort(list({value}))[greatest(1, ceil({p} * count(*)))::INT]"
+
+
+_MINUTE_P = ", ".join(f"{_disc('value', p)} AS {name}" for name, p in R.P50_95_99.items())
+
+
 @query(
     "O19_metric_rollup",
     sql(
         "SELECT metric_name, metric_class, date_trunc('minute', ts) AS minute, count(*) AS points, round(avg(value), 6) AS avg_value, max(value) AS max_value,"
-        " bool_or(age <= 86400) AS raw_kept FROM ("
+        f" bool_or(age <= 86400) AS raw_kept, {_MINUTE_P} FROM ("
         " SELECT *, CASE " + " ".join(f"WHEN metric_name = '{k}' THEN '{v}'" for k, v in _CLASSES.items()) + " END AS metric_class,"
         " epoch_us(date_trunc('second', (SELECT max(ts) FROM metrics))) // 1000000 - epoch_us(date_trunc('second', ts)) // 1000000 AS age FROM metrics)"
         " WHERE age <= 86400 * CASE metric_class WHEN 'resource' THEN 7 ELSE 30 END GROUP BY 1, 2, 3"
@@ -331,7 +339,51 @@ _CLASSES = {
 )
 def metric_rollup(spark, sf):
     m = I.metrics(spark, sf)
-    return Y.metric_rollup(m, I.newest(m, "ts"), _CLASSES)
+    return Y.metric_rollup(m, I.newest(m, "ts"), _CLASSES).drop("sketch")
+
+
+def _minute_sketches(spark, sf):
+    """What outlives the raw points: a table of minute rollups."""
+    return I.staged(R.rollup(I.metrics(spark, sf), ["metric_name"], "ts", "value"), "minute-sketches")
+
+
+@query(
+    "O19_rollup_by_hour",
+    sql(
+        f"SELECT metric_name, date_trunc('hour', ts) AS start, count(*) AS n, min(value) AS low, max(value) AS high, {_MINUTE_P}"
+        " FROM metrics GROUP BY 1, 2"
+    ),
+)
+def rollup_by_hour(spark, sf):
+    """Hours from the sketches of their minutes, read after the raw points are gone; hours have fewer points than a sketch, so the answers are exact."""
+    hours = R.coarser(_minute_sketches(spark, sf), ["metric_name"], "hour")
+    return R.with_quantiles(hours).drop("sketch", "total")
+
+
+@query(
+    "O19_rollup_rank_error",
+    sql("SELECT metric_name, count(*) AS n, true AS p50_near, true AS p95_near, true AS p99_near FROM metrics GROUP BY 1"),
+)
+def rollup_rank_error(spark, sf):
+    """The whole time from minutes to hours to days to all: whether the rank of each answer among the raw points is within the stated error."""
+    rolled = _minute_sketches(spark, sf)
+    for unit in ("hour", "day", None):
+        rolled = R.coarser(rolled, ["metric_name"], unit)
+    return R.rank_checked(rolled, I.metrics(spark, sf), ["metric_name"], "value")
+
+
+@query(
+    "O11_latency_sketches",
+    sql(
+        "SELECT operator, date_trunc('hour', timestamp) AS start, count(*) AS n, " + ", ".join(f"{_disc('latency_ms', p)}::DOUBLE AS {name}" for name, p in R.P50_95_99.items())
+        + " FROM logs WHERE latency_ms > 0 GROUP BY 1, 2"
+    ),
+)
+def latency_sketches(spark, sf):
+    """Latency percentiles per operator and hour, merged from stored minutes."""
+    positive = I.log_events(spark, sf).filter("latency_ms > 0")
+    minutes = I.staged(R.rollup(positive, ["operator"], "timestamp", "latency_ms"), "latency-sketches")
+    return R.with_quantiles(R.coarser(minutes, ["operator"], "hour")).select("operator", "start", "n", *R.P50_95_99)
 
 
 @query(

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from orderflow.operators import enrich as E
 from orderflow.operators import features as X
+from orderflow.operators import rollups as R
 from orderflow.operators import validate as V
 from orderflow.operators import windows as W
 from orderflow.plans import inputs as I
@@ -367,6 +368,24 @@ def _features(spark, sf):
     return root
 
 
+@query(
+    "O19_rollup_stream",
+    sql(
+        "SELECT metric_name, start, count(*) AS n, min(value) AS low, max(value) AS high, list_sort(list(value))[greatest(1, ceil(0.95 * count(*)))::INT] AS p95"
+        " FROM (SELECT *, date_trunc('hour', ts) AS start FROM metrics WHERE date_trunc('day', ts) > TIMESTAMP '2024-01-09') GROUP BY 1, 2"
+    ),
+)
+def rollup_stream(spark, sf):
+    """Sketches that three micro-batches leave behind, merged to hours; the first days are past their retention and not read."""
+    out = scratch_path(spark, "rollups")
+    points = I.metrics(spark, sf).select("ts", "metric_name", "value", "event_id")
+    replay(
+        points, lambda s, ck: K.write_each(s, K.rollup_batches(out, ["metric_name"], "ts", "value"), ck, None), n=3, order="event_id"
+    )
+    hours = K.read_rollups(spark, out, ["metric_name"], "hour", since="2024-01-10")
+    return R.with_quantiles(hours, {"p95": 0.95}).drop("sketch", "total")
+
+
 _STAMP = "strftime(datetime, '%Y-%m-%dT%H:%M:%SZ')"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from orderflow.operators.features import newest_rank, online_latest
+from orderflow.operators.rollups import coarser, rollup
 from orderflow.session import child_names, delete_path, path_exists, stage, staging_scope
 from orderflow.sources.lake import FLUSH_INTERVAL, write_lake
 
@@ -199,3 +200,20 @@ def offline_append(df: DataFrame, path: str, event_time: str, batch_id: int) ->
         .partitionBy("event_date")
         .parquet(batch_path(path, batch_id))
     )
+
+
+def rollup_batches(path: str, keys: list[str], ts: str, value: str) -> Callable[[DataFrame, int], None]:
+    """Each micro-batch's minute rollups with their sketches, by day, in a folder that a repeated micro-batch overwrites. Raw points are
+    not needed again: minutes that several micro-batches touch are merged by :func:`read_rollups`."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = rollup(batch, keys, ts, value).withColumn("day", F.to_date("start"))
+        rows.write.mode("overwrite").partitionBy("day").parquet(batch_path(path, batch_id))
+
+    return write
+
+
+def read_rollups(spark: SparkSession, path: str, keys: list[str], unit: str | None = "minute", since: str | None = None) -> DataFrame:
+    """Rollups of all micro-batches, merged to ``unit``; ``since`` is a day, and older days are not read."""
+    rows = spark.read.parquet(path)
+    return coarser(rows.filter(F.col("day") >= since) if since else rows, keys, unit)
