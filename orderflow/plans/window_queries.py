@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.operators import features as X
@@ -15,6 +17,7 @@ from orderflow.plans.oracle import average, percentile, sql
 from orderflow.plans.registry import query
 from orderflow.sources import lake as K
 from orderflow.sources import orders as R
+from orderflow.sources.snapshots import SnapshotLake
 
 _METRICS = (
     f"total_orders, CAST(total_amount AS DOUBLE) AS total_amount, {average('total_amount', 'total_orders')} AS avg_order_value,"
@@ -449,3 +452,43 @@ def compact_partitions(spark, sf):
     into = I.scratch_path(spark, "compact")
     files = K.compact_partitions(spark, _lake(spark, sf, rows_per_file=8), into).drop("bytes")
     return files.join(K.rows_per_hour(K.lake_table(spark, into)), K.PARTITIONS)
+
+
+@query(
+    "K9_snapshots",
+    "SELECT moment, strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows, count(DISTINCT date_trunc('hour', ts)) AS hours FROM events,"
+    " (VALUES ('before', 2), ('during', 3), ('after', 3), ('after, of the version before', 2)) m(moment, parts) WHERE event_id % 3 < parts GROUP BY 1, 2",
+)
+def snapshots(spark, sf):
+    """Rows per day before compaction, while it has written but not committed and another flush arrives, and after it; the old version stays as it was."""
+    lake = SnapshotLake(spark, I.scratch_path(spark, "snapshots"), "ts")
+    events = I.staged(I.events(spark, sf), "events")
+    for part in (0, 1):
+        lake.append(events.filter(F.col("event_id") % 3 == part), rows_per_file=8)
+    old, seen = lake.commit_of()["version"], {}
+    seen["before"] = lake.read()
+
+    def meanwhile():
+        lake.append(events.filter(F.col("event_id") % 3 == 2))
+        seen["during"] = lake.read()
+
+    lake.compact(while_running=meanwhile)
+    seen |= {"after": lake.read(), "after, of the version before": lake.read(version=old)}
+    days = []
+    for moment, rows in seen.items():
+        day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+        counts = F.count("*").alias("rows"), F.countDistinct(F.date_trunc("hour", "ts")).alias("hours")
+        days.append(rows.groupBy(day).agg(*counts).withColumn("moment", F.lit(moment)))
+    return reduce(DataFrame.unionByName, days)
+
+
+@query(
+    "K9_snapshot_files",
+    "SELECT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, strftime(ts, '%H') AS hour, 1::BIGINT AS files FROM events GROUP BY ALL",
+)
+def snapshot_files(spark, sf):
+    """After compaction an hour of many small files has one file."""
+    lake = SnapshotLake(spark, I.scratch_path(spark, "snapshots"), "ts")
+    lake.append(I.events(spark, sf), rows_per_file=4)
+    lake.compact()
+    return lake.files().groupBy(*K.PARTITIONS).agg(F.count("*").alias("files"))

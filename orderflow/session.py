@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = (
@@ -103,3 +104,47 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none where there is no such folder."""
     system, target = _file_system(spark, path)
     return [status.getPath().getName() for status in system.listStatus(target)] if system.exists(target) else []
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """List files in about four tasks a core while the block runs: by default each path is a task of its own, up to 10,000."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(max(32, 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, whole."""
+    system, target = _file_system(spark, path)
+    stream = system.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small text file appear at once and whole, unless there is one: of several that try, one gets True. Rests on the file system's rename
+    without overwriting, as the checkpoints of streaming queries do."""
+    system, target = _file_system(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rpartition('/')[0]}/.draft-{uuid.uuid4().hex}")
+    system.mkdirs(draft.getParent())
+    stream = system.create(draft, True)
+    stream.write(text.encode())
+    stream.close()
+    files = spark._jvm.org.apache.hadoop.fs
+    context = files.FileContext.getFileContext(system.makeQualified(target).toUri(), spark._jsc.hadoopConfiguration())
+    no_options = spark.sparkContext._gateway.new_array(getattr(files, "Options$Rename"), 0)
+    try:
+        context.rename(system.makeQualified(draft), system.makeQualified(target), no_options)
+        return True
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        system.delete(draft, False)
+        return False

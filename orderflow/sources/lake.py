@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderflow.session import few_listing_tasks
+
 # Hour partitions, gzip Parquet, flush interval and size, days to each storage tier.
 PARTITIONS = ["year", "month", "day", "hour"]
 FLUSH_INTERVAL = "300 seconds"
@@ -20,6 +22,12 @@ def with_partition_columns(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumns({name: F.date_format(ts, fmt) for name, fmt in formats.items()})
 
 
+def writers(spark: SparkSession) -> int:
+    """As many as the session shuffles into. Named, because many small files take long however few bytes they have, and by bytes
+    they would all go to one task."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def write_lake(
     df: DataFrame, path: str, ts: str, mode: str = "append", rows_per_file: int = 2_000_000
 ) -> None:
@@ -40,7 +48,7 @@ def write_lake(
         .withColumn(
             "_writer", F.pmod(F.xxhash64(*df.columns), F.coalesce("_files", F.lit(1)))
         )
-        .repartition(*PARTITIONS, "_writer")
+        .repartition(writers(df.sparkSession), *PARTITIONS, "_writer")
         .drop("_files", "_writer")
         .write.mode(mode)
         .option("compression", "gzip")
@@ -77,21 +85,23 @@ def lake_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     """The whole lake. Partition columns are texts, so that ``05`` stays what the folder says; the other columns come from
     ``schema`` or the files."""
     reader = spark.read.option("basePath", path)
-    if schema is None:
-        found = reader.parquet(path).schema
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.fields if f.name not in PARTITIONS)
-    return reader.schema(schema + "".join(f", {p} string" for p in PARTITIONS)).parquet(path)
+    with few_listing_tasks(spark):
+        if schema is None:
+            found = reader.parquet(path).schema
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.fields if f.name not in PARTITIONS)
+        return reader.schema(schema + "".join(f", {p} string" for p in PARTITIONS)).parquet(path)
 
 
 def lake_files(spark: SparkSession, path: str) -> DataFrame:
     """Path, size and modification time of every data file, without reading contents."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .load(path)
-        .select("path", F.col("length").alias("bytes"), "modificationTime")
-    )
+    with few_listing_tasks(spark):
+        files = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.parquet")
+            .load(path)
+        )
+    return files.select("path", F.col("length").alias("bytes"), "modificationTime")
 
 
 def partitions_of_files(files: DataFrame) -> DataFrame:
@@ -138,7 +148,7 @@ def compact_partitions(
     (
         rows.join(sizes, PARTITIONS, "left")
         .withColumn("_writer", F.coalesce(spread, F.lit(0)))
-        .repartition(*PARTITIONS, "_writer")
+        .repartition(writers(spark), *PARTITIONS, "_writer")
         .drop("_files", "_writer")
         .write.mode("overwrite")
         .option("compression", "gzip")
