@@ -21,9 +21,11 @@ from orderflow.operators import windows as W
 from orderflow.plans import inputs as I
 from orderflow.plans.oracle import average, sql
 from orderflow.plans.registry import query
+from orderflow.plans.window_queries import VERSIONS
 from orderflow.session import scratch_path
 from orderflow.sources.orders import parse_ticks, read_orders_stream
 from orderflow.streaming import jobs as J
+from orderflow.streaming import panes as P
 from orderflow.streaming import sinks as K
 from orderflow.streaming.dedup import dedup_within_watermark
 
@@ -174,6 +176,38 @@ def corrections_stream(spark, sf):
     return K.read_upserted(spark, out, ["region", "window_start"], schema)
 
 
+def _paned(spark, sf, n=4):
+    root = scratch_path(spark, "panes")
+    slim = I.processed_orders(spark, sf, columns=["event_time", "region", "amount"])
+    replay(slim.drop("order_id"), lambda s, ck: K.write_each(s, P.pane_batches(root), ck, None), n=n)
+    return root
+
+
+_CLOSED = " epoch_us(window_start) + 900000000 <= (SELECT max(epoch_us(event_time)) FROM processed)"
+
+
+@query(
+    "T8_versions_stream",
+    sql(VERSIONS + f"SELECT region, window_start, version, is_correction, {_ALL} FROM versions WHERE" + _CLOSED),
+)
+def versions_stream(spark, sf):
+    """Firings and corrections of windows that open, close and are forgotten during a replay of four micro-batches: the versions of the batch operator,
+    of all windows that have closed by the end."""
+    return P.read_versions(spark, _paned(spark, sf)).drop("window_end", "processing_timestamp_ms")
+
+
+@query(
+    "T8_too_late_stream",
+    sql(
+        "SELECT arrival_seq FROM (SELECT *, max(epoch_us(event_time)) OVER (ORDER BY arrival_seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen"
+        " FROM processed) WHERE epoch_us(time_bucket(INTERVAL 5 MINUTE, event_time)) + 2700000000 <= seen"
+    ),
+)
+def too_late_stream(spark, sf):
+    """Rows that came after their window was forgotten."""
+    return spark.read.parquet(f"{_paned(spark, sf)}/too_late").select("arrival_seq")
+
+
 def _outcomes(spark, sf):
     """The first streaming query, raw texts to outcomes, over three micro-batches; arrivals span a month, so the
     24-hour memory expires many times."""
@@ -336,16 +370,28 @@ def window_cogroup_stream(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("D3_dedup_within_watermark", sql("SELECT DISTINCT order_id FROM valid"))
+@query(
+    "D3_dedup_within_watermark",
+    sql(
+        "SELECT order_id, count(*) AS n FROM ("
+        " SELECT order_id FROM valid QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY arrival_ts) = 1 UNION ALL"
+        " SELECT v.order_id FROM valid v JOIN (SELECT order_id, min(arrival_ts) AS first FROM valid GROUP BY 1) f USING (order_id), (SELECT min(arrival_seq) AS a, max(arrival_seq) AS b FROM valid)"
+        "  WHERE v.arrival_seq >= a + (b - a) // 2 AND f.first + INTERVAL 2 HOUR <= (SELECT to_timestamp(0)::TIMESTAMP + to_microseconds(max(epoch_us(arrival_ts)) // 1000 * 1000 - 7200000000) FROM valid WHERE arrival_seq < a + (b - a) // 2)"
+        "  AND f.first < v.arrival_ts GROUP BY 1"
+        ") GROUP BY 1"
+    ),
+)
 def dedup_watermark(spark, sf):
+    """Two micro-batches and a delay of 2 hours: a copy is dropped while its order is remembered, and taken where the first micro-batch's watermark has
+    passed the end of that memory."""
     out = scratch_path(spark, "dedup")
 
     def start(stream, checkpoint):
-        unique = dedup_within_watermark(stream, "order_id", "arrival_ts", "40 days")
+        unique = dedup_within_watermark(stream, "order_id", "arrival_ts", "2 hours")
         return K.write_table(unique.select("order_id"), out, checkpoint, None)
 
     replay(_valid(spark, sf), start, n=2)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).groupBy("order_id").agg(F.count("*").alias("n"))
 
 
 def _features(spark, sf):

@@ -100,7 +100,7 @@ def route_late(spark, sf):
     )
 
 
-_VERSIONS = """
+VERSIONS = """
 , staged AS (
   SELECT region, window_start, amount, CASE WHEN is_late THEN date_trunc('minute', arrival_ts) END AS stage FROM (
     SELECT *, max(epoch_us(event_time)) OVER (ORDER BY arrival_seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM late)
@@ -117,7 +117,7 @@ _VERSIONS = """
 
 @query(
     "T8_windows_with_corrections",
-    sql(_VERSIONS + f"SELECT region, window_start, version, is_correction, {_METRICS} FROM versions"),
+    sql(VERSIONS + f"SELECT region, window_start, version, is_correction, {_METRICS} FROM versions"),
 )
 def windows_with_corrections(spark, sf):
     return L.windows_with_corrections(I.processed_orders(spark, sf, columns=["event_time", "region", "amount"])).drop(
@@ -128,7 +128,7 @@ def windows_with_corrections(spark, sf):
 @query(
     "T8_latest_versions",
     sql(
-        _VERSIONS + f"SELECT region, window_start, version, {_METRICS} FROM versions"
+        VERSIONS + f"SELECT region, window_start, version, {_METRICS} FROM versions"
         " QUALIFY row_number() OVER (PARTITION BY region, window_start ORDER BY version DESC) = 1"
     ),
 )

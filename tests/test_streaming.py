@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orderflow.operators import dedup as D
+from orderflow.operators import late as L
 from orderflow.operators import validate as V
 from orderflow.plans import inputs as I
 from orderflow.plans import stream_queries as Z
 from orderflow.schemas import RAW_ORDER
 from orderflow.session import child_names, scratch_path
 from orderflow.streaming import jobs as J
+from orderflow.streaming import panes as P
 from orderflow.streaming import sinks as K
 from orderflow.streaming.dedup import flag_batch_duplicates
 from orderflow.streaming.memory import AcceptedKeys, bits_of, has_bits
@@ -177,3 +179,21 @@ def test_only_the_window_query_has_a_watermark(spark):
     assert "EventTimeWatermark" not in outcomes._jdf.queryExecution().analyzed().toString()
     windows = J.region_windows(J.processed_of(outcomes.withColumn("outcome", F.lit("processed"))))
     assert "EventTimeWatermark" in windows._jdf.queryExecution().analyzed().toString()
+
+
+def test_panes_equal_the_batch_versions_over_repeated_micro_batches(spark):
+    """Seven micro-batches, one of them repeated and one empty: the versions of closed windows are those of the batch operator, and few panes stay open."""
+    rows = I.staged(I.processed_orders(spark, "/root/testdata/sf0.01", columns=["event_time", "region", "amount"]).drop("order_id"), "rows")
+    root = scratch_path(spark, "panes")
+    write = P.pane_batches(root)
+    for n, part in enumerate([*Z.chunks(rows, "arrival_seq", 6), rows.limit(0)]):
+        for _ in range(2 if n == 3 else 1):
+            write(part, n)
+        assert 0 < spark.read.parquet(f"{root}/panes/batch_id={n}").count() < 60
+    newest = rows.agg(F.max("event_time")).first()[0]
+    closed = F.unix_seconds("window_end") + 600 <= F.unix_micros(F.lit(newest)) / 1_000_000
+    batch = L.windows_with_corrections(rows).filter(closed)
+    columns = ["region", "window_start", "version", "is_correction", "total_orders", "total_amount", "max_order_value", "avg_order_value"]
+    streamed = P.read_versions(spark, root).select(*columns)
+    assert streamed.count() == batch.count() and streamed.filter("version > 1").count() >= 30
+    assert batch.select(*columns).exceptAll(streamed).isEmpty()
