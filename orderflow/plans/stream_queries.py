@@ -26,6 +26,7 @@ from orderflow.session import scratch_path
 from orderflow.sources.orders import parse_ticks, read_orders_stream
 from orderflow.streaming import jobs as J
 from orderflow.streaming import panes as P
+from orderflow.streaming import records as U
 from orderflow.streaming import sinks as K
 from orderflow.streaming.dedup import dedup_within_watermark
 
@@ -303,6 +304,21 @@ def upsert_by_key(spark, sf):
     return K.read_upserted(spark, out, ["customer_id"], schema, order="arrival_seq")
 
 
+@query(
+    "F4_lookup_in_runs",
+    "SELECT c_custkey, event_id, event_type, k IS NOT NULL AS found FROM customer LEFT JOIN"
+    " (SELECT user_id AS k, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) ON k = c_custkey",
+)
+def lookup_in_runs(spark, sf):
+    """Every customer looked up in the records that six micro-batches upserted, after two merges of runs."""
+    out = scratch_path(spark, "records")
+    records = I.events(spark, sf).select(F.col("user_id").alias("c_custkey"), "event_id", "event_type")
+    write = U.upsert_records(out, ["c_custkey"], "event_id", fan=2, buckets=16)
+    replay(records, lambda s, ck: K.write_each(s, write, ck, None), n=6, order="event_id")
+    store = U.UpsertedRecords(spark, out, ["c_custkey"], records.schema, "event_id", fan=2, buckets=16)
+    return store.lookup(I.table(spark, sf, "customer"))
+
+
 @query(
     "K7_fan_out",
     sql("SELECT CASE WHEN error_type IS NULL THEN 'valid' ELSE 'rejected' END AS output, arrival_seq FROM checked"),

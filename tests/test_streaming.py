@@ -15,7 +15,9 @@ from orderflow.streaming import jobs as J
 from orderflow.streaming import panes as P
 from orderflow.streaming import sinks as K
 from orderflow.streaming.dedup import flag_batch_duplicates
-from orderflow.streaming.memory import AcceptedKeys, bits_of, has_bits
+from orderflow.streaming.memory import AcceptedKeys
+from orderflow.streaming.records import UpsertedRecords
+from orderflow.streaming.runs import bits_of, has_bits
 
 SF = "/root/testdata/sf0.001"
 
@@ -197,3 +199,26 @@ def test_panes_equal_the_batch_versions_over_repeated_micro_batches(spark):
     streamed = P.read_versions(spark, root).select(*columns)
     assert streamed.count() == batch.count() and streamed.filter("version > 1").count() >= 30
     assert batch.select(*columns).exceptAll(streamed).isEmpty()
+
+
+def test_lookups_open_only_the_buckets_of_their_keys(spark):
+    """Thirty upserts of 400 records: lookups equal the whole table, also after a repeated micro-batch, and open a few of many files."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType().add("k", "long").add("part", "string").add("v", "long").add("w", "string")
+    store = UpsertedRecords(spark, scratch_path(spark, "records"), ["k", "part"], schema, "v", fan=4, buckets=16)
+    newest = {}
+    for n in range(30):
+        rows = [((n * 397 + 7 * i) % 3000, None if i % 9 == 0 else f"p{i % 2}", (n * 31 + i) % 50, f"{n}-{i}") for i in range(400)]
+        for _ in range(2 if n in (8, 16, 17) else 1):
+            store.write(spark.createDataFrame(rows, schema), n)
+        for k, part, v, w in rows:
+            newest[k, part] = max(newest.get((k, part), (-1,)), (v, n, w))
+    table = store.table().collect()
+    assert {(r.k, r.part): (r.v, r.w) for r in table} == {key: (v, w) for key, (v, _, w) in newest.items()} and len(table) == len(newest)
+    some = [*list(newest)[:3], (10**9, "p0"), (5, "nowhere")]
+    asked = spark.createDataFrame(some, "k bigint, part string")
+    found = {(r.k, r.part): (r.v, r.w) if r.found else None for r in store.lookup(asked).collect()}
+    assert found == {key: newest[key][::2] if key in newest else None for key in some}
+    opened = store.folders_of(asked.select(store.key_of().alias("_key")))
+    assert len(store.segments()) >= 4 and len(opened) < 0.35 * 16 * (len(store.segments()) + len(store.recent(store.segments(), 99)))
