@@ -1,7 +1,7 @@
 """Mixing sources to target weights by hash-threshold histograms, in DataFrame operations only.
 
 Every source gets a target, and a document is taken a whole number of times: ``rounds`` times for all
-documents of its source and once more if the hash of its id lies at or below its source's threshold. The
+documents of its source and once more if the hash of its id, source and text lies at or below its source's threshold. The
 threshold comes from nested histograms: sizes are summed by source and by the leading bits of the hash,
 the bucket in which the budget ends is found from at most 1,024 sums a source, and only the documents of
 that bucket are looked at again with the next bits. Nothing is sorted by hash, and a source that holds a
@@ -10,7 +10,7 @@ third of all rows is reduced on the map side to one sum a bucket.
 Thresholds are nested: a larger budget takes a superset of the documents, and a rerun the same ones.
 
 Defined cases: a null source is a source of its own, ranked last; a null text has size 0; rows with the
-same id share a hash and are taken or left together; a source without words has target 0; an empty table
+same id, source and text share a hash and are taken or left together, all others are taken one by one, whatever ids they repeat or lack; a source without words has target 0; an empty table
 gives an empty result. Other columns are kept, whatever their names.
 """
 
@@ -31,9 +31,10 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def hash_of(key: str) -> Column:
+def hash_of(*columns: str) -> Column:
     """60 bits of MD5: the same in every engine."""
-    digest = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
+    digest = F.md5(F.concat_ws("|", *texts))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
@@ -149,7 +150,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> tuple[Dat
     """The sizes and hashes of all documents (``doc_id, source, size, hash``), and one row a source with
     ``source_size, target, rounds, threshold``. Both are stored."""
     slim = stored(
-        docs.select("doc_id", "source", size_of("text").alias("size"), hash_of("doc_id").alias("hash")), "mix-sizes"
+        docs.select("doc_id", "source", size_of("text").alias("size"), hash_of("doc_id", "source", "text").alias("hash")), "mix-sizes"
     )
     plan = stored(thresholds(slim, stored(targets(slim, weights), "mix-targets")), "mix-plan")
     return slim, plan
@@ -174,7 +175,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     per_source = plan.select(
         F.col("source").alias(names["of"]), F.col("rounds").alias(names["rounds"]), F.col("threshold").alias(names["threshold"])
     )
-    extra = F.when(hash_of("doc_id") <= F.col(names["threshold"]), F.lit(1)).otherwise(F.lit(0))
+    extra = F.when(hash_of("doc_id", "source", "text") <= F.col(names["threshold"]), F.lit(1)).otherwise(F.lit(0))
     times = (F.col(names["rounds"]) + extra).cast("int")
     return (
         docs.join(per_source, docs["source"].eqNullSafe(F.col(names["of"])))
@@ -186,7 +187,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
 REPORT_SQL = """
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as hash
+         ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::varchar, ''), coalesce(source, ''), coalesce(text, ''))), 1, 15))::bigint as hash
   from documents),
 s0 as (select source, sum(size)::bigint as source_size from d group by source),
 s as (select *, [1, 2, 3][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from s0),

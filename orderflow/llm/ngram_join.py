@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderflow.llm.arrays import mix, runs, words
-from orderflow.llm.common import free_name, pieces, release_shuffles, spans, stored, text_array
+from orderflow.llm.common import WORD, free_name, pieces, release_shuffles, spans, stored, text_array
 from orderflow.llm.components import components
 
 K = 5
@@ -463,16 +463,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, that with the smallest key (a null key is the largest), with the columns of ``docs``. Of rows that
-    repeat key and text one stays."""
-    own = F.col(f"`{key}`")
-    mark, turn = free_name(docs, "row_key"), free_name(docs, "row_turn")
-    marked = docs.withColumn(mark, F.struct(own.isNull().alias("last"), own.alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("digest")))
-    found = _components(marked.select(F.col(mark).alias("key"), F.col(f"`{text}`").alias("text")))
+    repeat key and text one stays, that with the least hash of its columns. Texts without words are linked with nothing, so all rows that have one stay."""
+    own, body = F.col(f"`{key}`"), F.col(f"`{text}`")
+    mark, repeated, blank = (free_name(docs, name) for name in ("row_key", "row_repeated", "row_blank"))
+    marked = docs.withColumn(mark, F.struct(own.isNull().alias("last"), own.alias("id"), F.xxhash64(body).alias("digest")))
+    found = stored(_components(marked.select(F.col(mark).alias("key"), body.alias("text"))).filter("n > 0"), "near-copies")
     gone = found.filter("key <> least").select(F.col("key").alias(mark)).distinct()
-    same = Window.partitionBy(mark).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]))
-    return (
-        marked.join(gone, mark, "left_anti")
-        .withColumn(turn, F.row_number().over(same))
-        .filter(F.col(turn) == 1)
-        .drop(mark, turn)
-    )
+    several = found.filter("key = least").groupBy(F.col("key").alias(mark)).agg(F.count("*").alias(repeated)).filter(F.col(repeated) > 1)
+    has_words = F.coalesce(body.rlike(WORD), F.lit(False))
+    kept = marked.withColumn(blank, ~has_words).join(gone, mark, "left_anti").join(several, mark, "left")
+    alone = F.col(blank) | F.col(repeated).isNull()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    firsts = kept.filter(~alone).groupBy(mark).agg(F.min_by(row, order).alias(mark + "_row")).select(f"{mark}_row.*")
+    return kept.filter(alone).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(firsts)

@@ -106,6 +106,20 @@ def read_seek_table(data: bytes) -> list[tuple[int, int]]:
     return [struct.unpack_from("<II", table, 8 * i) for i in range(count)]
 
 
+#: Names that stores have among Hadoop's file systems, and among Arrow's.
+STORES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "file": "file", "s3": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def address(folder: str) -> str:
+    """The folder as Arrow's file systems name it: a path, ``file:/path`` and ``s3a://`` are the usual forms of a shared folder."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon or "/" in scheme:
+        scheme, rest = "file", folder
+    if scheme not in STORES:
+        raise ValueError(f"archives can be written to {', '.join(sorted(STORES))}, not to {scheme}")
+    return f"{STORES[scheme]}://{rest[2:] if rest.startswith('//') else rest}"
+
+
 def decisions(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """``pages`` with ``payload`` (UTF-8), ``digest`` and ``refers_to`` (null for a response)."""
     own = pages.select(
@@ -130,6 +144,7 @@ def write_bundles(
     pages: DataFrame, folder: str, least_bytes: int = 1000, frame_bytes: int = 1 << 20, bundle_bytes: int = 128 << 20
 ) -> DataFrame:
     """Write all records under ``folder`` and return the stored index, one row a record."""
+    folder = address(folder)
     pa.fs.FileSystem.from_uri(folder)[0].create_dir(pa.fs.FileSystem.from_uri(folder)[1], recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +218,7 @@ def read_bundles(
 
     Tasks get frames, not records or files: a frame is fetched once, by its place in the bundle. The number of tasks
     follows the bytes of the frames, which the index knows and the rows that name them do not show."""
+    folder = address(folder)
     frames = index.groupBy("bundle", "frame", "frame_at", "frame_bytes").agg(
         F.collect_list(F.struct("record_at", "record_bytes")).alias("places")  # bounded by the size of a frame
     )
@@ -232,7 +248,6 @@ def archive(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """Write the archives into a fresh shared folder and read all records back, without their payloads."""
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
-    folder = folder if "://" in folder else f"file://{folder}"
     index = write_bundles(pages, folder, least_bytes)
     return read_bundles(spark, folder, index, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"

@@ -6,12 +6,14 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import zstandard
 from oracle import connect
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from orderflow.llm import neighbours, ngram_join, quality, toxicity, warc
+from orderflow.llm import mixing, neighbours, ngram_join, quality, toxicity, warc
 from orderflow.llm.common import read
 from orderflow.session import scratch_path
 
@@ -95,12 +97,12 @@ def test_archives_hold_records_and_a_seek_table(spark):
         + [(100, None, None), (101, "http://y", ""), (102, "http://y", "short"), (103, "http://y", "short"), (None, "u", "n" * 2000)],
         "page_id bigint, url string, html string",
     )
-    folder = "file://" + scratch_path(spark, "warc").removeprefix("file:")
+    folder = "file:" + scratch_path(spark, "warc").removeprefix("file:")
     index = warc.write_bundles(pages, folder, frame_bytes=4000, bundle_bytes=3000)
     places = index.collect()
     assert len(places) == 45
     for name in {p.bundle for p in places}:
-        with open(f"{folder.removeprefix('file://')}/{name}", "rb") as file:
+        with open(f"{folder.removeprefix('file:')}/{name}", "rb") as file:
             data = file.read()
         frames = warc.read_seek_table(data)
         starts = np.cumsum([0, *[packed for packed, _ in frames]])
@@ -120,6 +122,37 @@ def test_archives_hold_records_and_a_seek_table(spark):
     assert warc.archive(pages.limit(0)).collect() == []
 
 
+def test_addresses_of_shared_folders():
+    for folder in ("/data/x", "file:/data/x", "file:///data/x"):
+        assert warc.address(folder) == "file:///data/x"
+    assert warc.address("s3a://bucket/x") == "s3://bucket/x" and warc.address("hdfs://host:9000/x") == "hdfs://host:9000/x"
+    with pytest.raises(ValueError):
+        warc.address("ftp://host/x")
+
+
+def test_rows_that_are_no_copies_stay(spark):
+    """Blank texts are linked with nothing, so all their rows stay, whatever ids they lack or share; of rows that repeat id and text one stays."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, "", "a"), (None, " ", "b"), (None, None, "c"), (7, "", "d"), (7, "", "e"), (3, text, "f"), (5, text, "g"), (None, text, "h")]
+    rows += [(9, "quite another text of six words", "i")] * 2 + [(9, "quite another text of six words", "j"), (9, "and one more for the same id", "k")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row_key string")
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r.row_key for r in kept.collect())
+    assert [k for k in got if k in "abcdefghk"] == list("abcdefk") and len(got) == 8 and got[-2] in "ij"
+    assert sorted(r.row_key for r in ngram_join.one_of_each(docs.repartition(3)).collect()) == got
+
+
+def test_mix_reaches_its_target_with_ids_that_lack_or_repeat(spark):
+    rows = [(None if i % 3 == 0 else i % 100, f"{i} " + "w " * 9, "a" if i % 2 else "b") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    report = mixing.mix_report(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    for r in mixing.mix_report(docs).groupBy("target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 10
+    assert report
+    assert mixing.mixed(docs).count() * 10 == sum(r.taken for r in report)
+
+
 def test_pipeline_stages(spark):
     """Each stage keeps what its operator says, and the columns of the documents."""
     docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
