@@ -18,6 +18,7 @@ from orderflow.operators import windows as W
 from orderflow.plans import inputs as I
 from orderflow.plans.oracle import percentile, sql
 from orderflow.plans.registry import query
+from orderflow.sources.digests import DigestedTable, digest_difference, unequal_places
 
 _FOUR = ["parse_error", "duplicate", "validation_error", "timeout"]
 _THREE = ["parse_error", "validation_error", "timeout"]
@@ -610,6 +611,42 @@ def key_difference(spark, sf):
     return Q.key_difference(source, I.processed_orders(spark, sf, columns=[]), "order_id")
 
 
+def _digested(spark, rows, name):
+    table = DigestedTable(spark, I.scratch_path(spark, name), "o_orderkey", buckets=2, period="yyyy-MM")
+    table.write(rows.select("o_orderkey", "o_orderdate", "o_totalprice"), "o_orderdate")
+    return table
+
+
+@query(
+    "Q12_digest_difference",
+    "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 307 = 0 AND o_orderkey % 211 <> 0 THEN 'extra_in_sink' ELSE 'missing_in_sink' END AS side, 1::BIGINT AS copies"
+    " FROM orders WHERE o_orderkey % 211 = 0 OR o_orderkey % 307 = 0"
+    " UNION ALL SELECT o_orderkey, unnest(['missing_in_sink', 'extra_in_sink']), 1::BIGINT FROM orders"
+    " WHERE o_orderkey % 401 = 0 AND o_orderkey % 211 <> 0 AND o_orderkey % 307 <> 0",
+)
+def digest_difference_of_orders(spark, sf):
+    """The order table against a copy that lacks some orders, has some twice and others with another price."""
+    orders = I.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    changed = F.when((k % 401 == 0) & (k % 307 != 0), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    kept = orders.filter(k % 211 != 0).withColumn("o_totalprice", changed)
+    sink = kept.unionByName(kept.filter(k % 307 == 0))
+    return digest_difference(_digested(spark, orders, "source"), _digested(spark, sink, "sink")).drop("row")
+
+
+@query(
+    "Q12_digest_places",
+    "SELECT strftime(o_orderdate, '%Y-%m') AS month, 1::BIGINT AS buckets FROM orders QUALIFY row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) = 1",
+)
+def digest_places(spark, sf):
+    """One order missing, the dearest: what differs, and so is read, is one bucket of one month."""
+    orders = I.table(spark, sf, "orders")
+    dearest = orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1).select("o_orderkey")
+    sink = orders.join(dearest, "o_orderkey", "left_anti")
+    places = unequal_places(_digested(spark, orders, "source"), _digested(spark, sink, "sink"))
+    return spark.createDataFrame([(p[0],) for p in places], "month string").groupBy("month").agg(F.count("*").alias("buckets"))
+
+
 # --- lag --------------------------------------------------------------------------------------
 
 
