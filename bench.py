@@ -62,8 +62,9 @@ def main() -> None:
     extra = {}
     if small_dir and os.path.isdir(small_dir):
         # What each further order costs, without the fixed cost of planning and starting jobs.
-        more, longer = raw_rows - raw_orders(small_dir), took[flagship] - run(flagship, small_dir)
-        extra["flagship_marginal_orders_per_sec"] = round(more / max(longer, 1e-3))
+        more = raw_rows - raw_orders(small_dir)
+        marginal = {name: round(more / max(took[name] - run(name, small_dir), 1e-3)) for name in HEADLINE}
+        extra = {"flagship_marginal_orders_per_sec": marginal[flagship], "marginal_orders_per_sec": marginal}
     print(
         json.dumps(
             {
