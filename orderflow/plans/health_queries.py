@@ -763,14 +763,23 @@ _SPECS = """
 ('checkpoint-duration-high','checkpoint_duration_ms','Average','>',30000,60,2,1,'notBreaching','MEDIUM'),
 ('duplicate-detection-spike','DuplicateRecordDetected','Sum','>',10,60,1,1,'notBreaching','MEDIUM'),
 ('deserialization-error-low','kafka_deserialization_errors_total','Sum','>',5,60,1,1,'notBreaching','LOW')"""
-_POLICIES = """
+POLICIES = """
 ('a','DLQRecordCount','Sum','>',100,3600,1,1,'breaching','LOW'),
 ('b','LatencyP99','Average','>',5000,3600,2,2,'missing','LOW'),
 ('c','consumer_lag_records','Maximum','>',50000,3600,2,1,'notBreaching','LOW'),
 ('d','WindowCompleteness','Average','<',95,1800,2,2,'breaching','LOW')"""
 
 
-def _states(specs):
+POLICY_SPECS = [
+    ("a", "DLQRecordCount", "Sum", ">", 100.0, 3600, 1, 1, "breaching", "LOW"),
+    ("b", "LatencyP99", "Average", ">", 5000.0, 3600, 2, 2, "missing", "LOW"),
+    ("c", "consumer_lag_records", "Maximum", ">", 50000.0, 3600, 2, 1, "notBreaching", "LOW"),
+    ("d", "WindowCompleteness", "Average", "<", 95.0, 1800, 2, 2, "breaching", "LOW"),
+]
+
+
+def alarm_states(specs, until="hi"):
+    """``until``: the last period of an alarm, by default that of its metric's last datapoint."""
     return f"""
 , specs AS (
   SELECT * FROM (VALUES {specs}) v(alarm_name, metric_name, statistic, comparison, threshold, period, n, m, missing, severity)
@@ -779,7 +788,7 @@ def _states(specs):
     WHEN 'Sum' THEN sum(value) WHEN 'Maximum' THEN max(value) ELSE min(value) END, 6) AS value
   FROM metrics JOIN specs USING (metric_name) GROUP BY 1, 2
 ), calendar AS (
-  SELECT alarm_name, unnest(generate_series(lo, hi, period)) AS sec FROM
+  SELECT alarm_name, unnest(generate_series(lo, {until}, period)) AS sec FROM
     (SELECT alarm_name, min(sec) AS lo, max(sec) AS hi FROM reduced GROUP BY 1) JOIN specs USING (alarm_name)
 ), points AS (
   SELECT c.alarm_name, c.sec, r.value, s.threshold, s.severity, s.n, s.m,
@@ -796,7 +805,7 @@ def _states(specs):
 """
 
 
-_STATES = _states(_SPECS)
+_STATES = alarm_states(_SPECS)
 
 
 @query("L1_evaluate_alarms", sql(_STATES + "SELECT * FROM states"))
@@ -805,16 +814,10 @@ def evaluate_alarms(spark, sf):
     return A.evaluate_alarms(I.metrics(spark, sf))
 
 
-@query("L1_missing_data", sql(_states(_POLICIES) + "SELECT * FROM states"))
+@query("L1_missing_data", sql(alarm_states(POLICIES) + "SELECT * FROM states"))
 def missing_data(spark, sf):
     """Alarms that treat missing data as breaching, as missing and as not breaching."""
-    specs = [
-        ("a", "DLQRecordCount", "Sum", ">", 100.0, 3600, 1, 1, "breaching", "LOW"),
-        ("b", "LatencyP99", "Average", ">", 5000.0, 3600, 2, 2, "missing", "LOW"),
-        ("c", "consumer_lag_records", "Maximum", ">", 50000.0, 3600, 2, 1, "notBreaching", "LOW"),
-        ("d", "WindowCompleteness", "Average", "<", 95.0, 1800, 2, 2, "breaching", "LOW"),
-    ]
-    return A.evaluate_alarms(I.metrics(spark, sf), specs)
+    return A.evaluate_alarms(I.metrics(spark, sf), POLICY_SPECS)
 
 
 @query(

@@ -19,11 +19,13 @@ from orderflow.operators import rollups as R
 from orderflow.operators import validate as V
 from orderflow.operators import windows as W
 from orderflow.plans import inputs as I
+from orderflow.plans.health_queries import POLICIES, POLICY_SPECS, alarm_states
 from orderflow.plans.oracle import average, sql
 from orderflow.plans.registry import query
 from orderflow.plans.window_queries import VERSIONS
 from orderflow.session import scratch_path
 from orderflow.sources.orders import parse_ticks, read_orders_stream
+from orderflow.streaming import alarms as L
 from orderflow.streaming import jobs as J
 from orderflow.streaming import panes as P
 from orderflow.streaming import records as U
@@ -448,6 +450,41 @@ def rollup_stream(spark, sf):
     return R.with_quantiles(hours, {"p95": 0.95}).drop("sketch", "total")
 
 
+_PASSED = "((SELECT max(epoch_us(ts)) // 1000 - 600000 FROM metrics) // 1000 // period - 1) * period"
+_POLICY_STATES = alarm_states(POLICIES, _PASSED)
+
+
+def _alarm_run(spark, sf, changes=False):
+    out = scratch_path(spark, "alarms")
+
+    def start(stream, checkpoint):
+        states = L.evaluate_alarms_stream(stream, POLICY_SPECS)
+        return K.write_table(L.changes(states) if changes else states, out, checkpoint, None)
+
+    replay(I.metrics(spark, sf).drop("dims"), start, n=3, order="event_id")
+    return spark.read.parquet(out)
+
+
+@query("L1_alarm_states_stream", sql(_POLICY_STATES + "SELECT * FROM states"))
+def alarm_states_stream(spark, sf):
+    """The states of L1_missing_data by timers, over three runs that resume from their checkpoint: every period that the watermark has passed, with or without datapoints."""
+    return _alarm_run(spark, sf).drop("from_state", "held_s")
+
+
+@query(
+    "L3_alarm_changes_stream",
+    sql(
+        _POLICY_STATES + ", edges AS (SELECT *, lag(state, 1, 'OK') OVER w AS from_state, min(period_start) OVER w AS begun FROM states"
+        " WINDOW w AS (PARTITION BY alarm_name ORDER BY period_start))"
+        " SELECT alarm_name, severity, period_start, from_state, state AS to_state, (epoch_us(period_start) - epoch_us(coalesce(lag(period_start)"
+        " OVER (PARTITION BY alarm_name ORDER BY period_start), begun))) // 1000000 AS held_s FROM edges WHERE from_state <> state"
+    ),
+)
+def alarm_changes_stream(spark, sf):
+    """Each change of a state as it happens, with how long the state before had lasted."""
+    return _alarm_run(spark, sf, changes=True)
+
+
 _STAMP = "strftime(datetime, '%Y-%m-%dT%H:%M:%SZ')"
 
 
