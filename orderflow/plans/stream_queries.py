@@ -21,11 +21,12 @@ from orderflow.operators import windows as W
 from orderflow.plans import inputs as I
 from orderflow.plans.health_queries import POLICIES, POLICY_SPECS, alarm_states
 from orderflow.plans.oracle import average, sql
-from orderflow.plans.registry import query
-from orderflow.plans.window_queries import VERSIONS
+from orderflow.plans.registry import ORACLES, query
+from orderflow.plans.window_queries import SPANS, VERSIONS
 from orderflow.session import scratch_path
 from orderflow.sources.orders import parse_ticks, read_orders_stream
 from orderflow.streaming import alarms as L
+from orderflow.streaming import histories as H
 from orderflow.streaming import jobs as J
 from orderflow.streaming import panes as P
 from orderflow.streaming import records as U
@@ -510,6 +511,16 @@ def offline_append(spark, sf):
     return history.select("event_id", "ticker", "event_date")
 
 
+@query("F6_tiled_history_stream", ORACLES["F6_customer_history"])
+def tiled_history_stream(spark, sf):
+    """Histories of F6 from tiles, over three micro-batches in the order of event time; tiles older than the longest span are forgotten on the way."""
+    out = scratch_path(spark, "histories")
+    orders = I.valid_orders(spark, sf).select("customer_id", "arrival_seq", "event_time", "amount", F.unix_micros("event_time").alias("_order"))
+    write = H.history_batches(out, "customer_id", "event_time", "amount", SPANS, folder=H.DAY)
+    replay(orders, lambda s, ck: K.write_each(s, write, ck, None), n=3, order="_order")
+    return H.read_histories(spark, out).drop("event_time", "amount", "_order")
+
+
 @query(
     "T10_sessions_stream",
     sql(

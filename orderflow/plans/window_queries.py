@@ -309,7 +309,7 @@ def _span(seconds: int) -> str:
     return f"(PARTITION BY customer_id ORDER BY us RANGE BETWEEN {seconds * 1_000_000} PRECEDING AND 1 PRECEDING)"
 
 
-_SPANS = {"1h": 3600, "1d": 86400, "7d": 7 * 86400}
+SPANS = {"1h": 3600, "1d": 86400, "7d": 7 * 86400}
 
 
 @query(
@@ -318,7 +318,7 @@ _SPANS = {"1h": 3600, "1d": 86400, "7d": 7 * 86400}
         "SELECT arrival_seq, customer_id, "
         + ", ".join(
             f"count(*) OVER {_span(s)} AS orders_{n}, CAST(coalesce(sum(amount) OVER {_span(s)}, 0) AS DOUBLE) AS amount_{n}"
-            for n, s in _SPANS.items()
+            for n, s in SPANS.items()
         )
         + ", (us - max(us) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) // 1000000 AS recency_s"
         " FROM (SELECT *, epoch_us(event_time) AS us FROM valid)"
@@ -326,7 +326,7 @@ _SPANS = {"1h": 3600, "1d": 86400, "7d": 7 * 86400}
 )
 def customer_history(spark, sf):
     orders = I.valid_orders(spark, sf).select("customer_id", "arrival_seq", "event_time", "amount")
-    return X.customer_history(I.staged(orders, "history"), "customer_id", "event_time", "amount", _SPANS).drop(
+    return X.customer_history(I.staged(orders, "history"), "customer_id", "event_time", "amount", SPANS).drop(
         "event_time", "amount"
     )
 
