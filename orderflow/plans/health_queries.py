@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orderflow.functions.scalar import region_of
 from orderflow.operators import alarms as A
 from orderflow.operators import dedup as D
+from orderflow.operators import distincts as T
 from orderflow.operators import errors as O
 from orderflow.operators import lag as G
 from orderflow.operators import late as L
@@ -747,6 +748,42 @@ def profile_columns(spark, sf):
     return Q.profile_columns(I.staged(I.valid_orders(spark, sf).select(*_PROFILED), "profiled"), _PROFILED)
 
 
+def _profile_sketches(spark, sf):
+    """Sketches per column and hour, written once; the orders are not read again."""
+    orders = I.valid_orders(spark, sf).select("event_time", *_PROFILED)
+    return I.staged(T.distinct_rollup(I.staged(orders, "profiled"), "event_time", _PROFILED), "profile-sketches")
+
+
+_NEAR = "count(*) AS row_count, count(*) FILTER ({c} IS NULL) AS null_count, count(DISTINCT {c}) <= 1 AS is_constant"
+
+
+@query(
+    "Q19_profile_by_day",
+    sql(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, date_trunc('day', event_time) AS start, {_NEAR.format(c=c)} FROM valid WHERE event_time >= TIMESTAMP '2024-01-08'"
+            " AND event_time < TIMESTAMP '2024-01-22' GROUP BY 2"
+            for c in _PROFILED
+        )
+    ),
+)
+def profile_by_day(spark, sf):
+    """Days of two weeks, united from the sketches of their hours."""
+    hours = _profile_sketches(spark, sf).filter("start >= '2024-01-08' and start < '2024-01-22'")
+    return T.profiles(T.united(hours, "day")).drop("distinct_estimate")
+
+
+@query(
+    "Q6_distinct_sketches",
+    sql(" UNION ALL ".join(f"SELECT '{c}' AS column_name, {_NEAR.format(c=c)}, count(DISTINCT {c}) AS distinct_count, true AS distinct_near FROM valid" for c in _PROFILED)),
+)
+def distinct_sketches(spark, sf):
+    """Hours united to days and days to the whole time: whether each estimate is as near to the exact count as stated."""
+    days = T.united(_profile_sketches(spark, sf), "day")
+    orders = I.staged(I.valid_orders(spark, sf).select(*_PROFILED), "counted")
+    return T.distincts_checked(T.profiles(T.united(days)), orders, _PROFILED)
+
+
 # --- alarms -----------------------------------------------------------------------------------
 
 

@@ -24,6 +24,7 @@ from orderflow.plans.oracle import average, sql
 from orderflow.plans.registry import ORACLES, query
 from orderflow.plans.window_queries import SPANS, VERSIONS
 from orderflow.session import scratch_path
+from orderflow.sources.indexed import indexed_log, replay_indexed
 from orderflow.sources.orders import parse_ticks, read_orders_stream
 from orderflow.streaming import alarms as L
 from orderflow.streaming import histories as H
@@ -511,6 +512,22 @@ def offline_append(spark, sf):
     return history.select("event_id", "ticker", "event_date")
 
 
+@query(
+    "T15_indexed_replay",
+    sql(
+        "SELECT arrival_seq, topic, partition, arrival_ts, value FROM raw WHERE arrival_ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)"
+        " AND arrival_seq < (SELECT max(event_id) * 2 - max(event_id) // 5 FROM events)"
+    ),
+)
+def indexed_replay(spark, sf):
+    """A range of arrival times and offsets out of a log that two micro-batches wrote, by its index of files."""
+    out, raw = scratch_path(spark, "log"), I.raw_orders(spark, sf)
+    replay(raw, lambda s, ck: K.write_each(s, indexed_log(out, "arrival_seq", "arrival_ts", 5_000), ck, None), n=2)
+    ts = F.unix_micros("ts")
+    middle, newest = I.events(spark, sf).agg(F.timestamp_micros(F.min(ts) + F.floor((F.max(ts) - F.min(ts)) / 2)), F.max("event_id")).first()
+    return replay_indexed(spark, out, raw.schema, "arrival_seq", "arrival_ts", (None, newest * 2 - newest // 5), (middle, None))
+
+
 @query("F6_tiled_history_stream", ORACLES["F6_customer_history"])
 def tiled_history_stream(spark, sf):
     """Histories of F6 from tiles, over three micro-batches in the order of event time; tiles older than the longest span are forgotten on the way."""
