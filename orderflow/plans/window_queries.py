@@ -14,7 +14,9 @@ from orderflow.operators import windows as W
 from orderflow.operators.latency import P50_95_99
 from orderflow.plans import inputs as I
 from orderflow.plans.oracle import average, percentile, sql
-from orderflow.plans.registry import query
+from orderflow.plans.registry import ORACLES, query
+from orderflow.session import scratch_path
+from orderflow.sources import laid_out as Z
 from orderflow.sources import lake as K
 from orderflow.sources import orders as R
 from orderflow.sources.snapshots import SnapshotLake
@@ -305,6 +307,17 @@ def point_in_time(spark, sf):
     )
 
 
+@query("F5_laid_out_history", ORACLES["F5_point_in_time"])
+def laid_out_history(spark, sf):
+    """The same from a history that is laid out by customer and day in blocks of 32 log events and read in place."""
+    labels = I.staged(I.valid_orders(spark, sf).select("customer_id", "arrival_seq", "event_time"), "labels")
+    history = Z.lay_out(
+        I.log_table(spark, sf), scratch_path(spark, "laid-out"), "customer_id", "timestamp", ["latency_ms", "operator"], "order_id", 8,
+        block_rows=32, slice_seconds=86400,
+    )
+    return Z.lookup_as_of(labels, history, "customer_id", "event_time")
+
+
 def _span(seconds: int) -> str:
     return f"(PARTITION BY customer_id ORDER BY us RANGE BETWEEN {seconds * 1_000_000} PRECEDING AND 1 PRECEDING)"
 
