@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orderflow.functions.percentiles import exact_percentiles
+
 SPEC_SCHEMA = (
     "alarm_name string, metric_name string, statistic string, comparison string, threshold double,"
     " period_seconds int, evaluation_periods int, datapoints_to_alarm int,"
@@ -114,12 +116,9 @@ def alarm_transitions(states: DataFrame) -> DataFrame:
 
 
 def suggest_threshold(states: DataFrame, probability: float = 0.95) -> DataFrame:
-    """A percentile of each alarm's values in its OK periods. The input has one row per period."""
-    return (
-        states.filter((F.col("state") == "OK") & F.col("value").isNotNull())
-        .groupBy("alarm_name", "threshold")
-        .agg(
-            F.count("*").alias("normal_periods"),
-            F.round(F.percentile("value", probability), 4).alias("suggested_threshold"),
-        )
+    """A percentile of each alarm's values in its OK periods, without an alarm's whole life in one buffer."""
+    normal = states.filter((F.col("state") == "OK") & F.col("value").isNotNull())
+    found = exact_percentiles(normal, ["alarm_name", "threshold"], "value", {"_p": probability})
+    return found.select(
+        "alarm_name", "threshold", F.col("n").alias("normal_periods"), F.round("_p", 4).alias("suggested_threshold")
     )
