@@ -36,6 +36,13 @@ def build_session(app: str = "orderflow", cpus: str = "*", **conf: str) -> Spark
     return spark
 
 
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """For queries started from here on; one that resumes keeps the store of its checkpoint."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(name, ""):
+        spark.conf.set(name, ROCKSDB_PROVIDER)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from orderflow.operators.alarms import ALARM_SPECS, alarm_specs
+from orderflow.session import keep_state_in_rocksdb
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the processor travels with the job
 
@@ -110,8 +111,10 @@ def evaluate_alarms_stream(metrics: DataFrame, specs: list[tuple] | None = None,
     """The state of every alarm in every closed period since its metric's first datapoint, once, as the batch operator finds it. ``from_state`` is the state of
     the period before (OK at first) and ``held_s`` how long that had lasted.
 
-    Datapoints later than ``lateness`` are dropped; null and NaN values count as none. Periods are whole seconds.
+    Datapoints later than ``lateness`` are dropped; null and NaN values count as none. Periods are whole seconds. The state of timers needs the RocksDB
+    store, which is set for queries that the session starts from here on.
     """
+    keep_state_in_rocksdb(metrics.sparkSession)
     rows = ALARM_SPECS if specs is None else specs
     step = math.gcd(*[r[5] for r in rows])
     table = alarm_specs(metrics.sparkSession, rows).select("alarm_name", "metric_name", "period_seconds")
