@@ -37,10 +37,12 @@ def build_session(app: str = "orderflow", cpus: str = "*", **conf: str) -> Spark
 
 
 def keep_state_in_rocksdb(spark: SparkSession) -> None:
-    """For queries started from here on; one that resumes keeps the store of its checkpoint."""
+    """For queries started from here on; one that resumes keeps the store of its checkpoint. A micro-batch then uploads its changes and not the files
+    of every store."""
     name = "spark.sql.streaming.stateStore.providerClass"
     if "RocksDB" not in spark.conf.get(name, ""):
         spark.conf.set(name, ROCKSDB_PROVIDER)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def shared_dir(spark: SparkSession) -> str:
