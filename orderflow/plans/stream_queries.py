@@ -516,7 +516,7 @@ def offline_append(spark, sf):
     "T15_indexed_replay",
     sql(
         "SELECT arrival_seq, topic, partition, arrival_ts, value FROM raw WHERE arrival_ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)"
-        " AND arrival_seq < (SELECT max(event_id) * 2 - max(event_id) // 5 FROM events)"
+        " AND arrival_seq < (SELECT min(arrival_seq) + (max(arrival_seq) - min(arrival_seq)) // 10 * 9 FROM raw)"
     ),
 )
 def indexed_replay(spark, sf):
@@ -524,8 +524,9 @@ def indexed_replay(spark, sf):
     out, raw = scratch_path(spark, "log"), I.raw_orders(spark, sf)
     replay(raw, lambda s, ck: K.write_each(s, indexed_log(out, "arrival_seq", "arrival_ts", 5_000), ck, None), n=2)
     ts = F.unix_micros("ts")
-    middle, newest = I.events(spark, sf).agg(F.timestamp_micros(F.min(ts) + F.floor((F.max(ts) - F.min(ts)) / 2)), F.max("event_id")).first()
-    return replay_indexed(spark, out, raw.schema, "arrival_seq", "arrival_ts", (None, newest * 2 - newest // 5), (middle, None))
+    middle = I.events(spark, sf).agg(F.timestamp_micros(F.min(ts) + F.floor((F.max(ts) - F.min(ts)) / 2))).first()[0]
+    low, high = spark.read.parquet(f"{out}/data").agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
+    return replay_indexed(spark, out, raw.schema, "arrival_seq", "arrival_ts", (None, low + (high - low) // 10 * 9), (middle, None))
 
 
 @query("F6_tiled_history_stream", ORACLES["F6_customer_history"])
