@@ -19,7 +19,7 @@ from orderflow.session import scratch_path
 from orderflow.sources import laid_out as Z
 from orderflow.sources import lake as K
 from orderflow.sources import orders as R
-from orderflow.sources.snapshots import SnapshotLake
+from orderflow.sources.snapshots import SnapshotLake, hours_of
 
 _METRICS = (
     f"total_orders, CAST(total_amount AS DOUBLE) AS total_amount, {average('total_amount', 'total_orders')} AS avg_order_value,"
@@ -420,6 +420,13 @@ def _lake(spark, sf, rows_per_file=2_000_000):
     return path
 
 
+def _flush_rows(events, least):
+    """Rows per file of a lake of small files: those of one flush in the busiest hour, ``least`` at least. So an hour has a file for each of its
+    flushes, and the number of files follows the hours and not the rows."""
+    busiest = hours_of(events, "ts").agg(F.max("rows")).first()[0] or 0
+    return max(least, -(-busiest // K.FLUSHES_AN_HOUR))
+
+
 @query(
     "S6_read_lake",
     "SELECT event_id, ts, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10 06:30:00' AND ts < TIMESTAMP '2024-01-12 18:00:00'",
@@ -463,7 +470,8 @@ def write_lake(spark, sf):
 def compact_partitions(spark, sf):
     """An hour of several small files becomes one file with all its rows."""
     into = I.scratch_path(spark, "compact")
-    files = K.compact_partitions(spark, _lake(spark, sf, rows_per_file=8), into).drop("bytes")
+    small = _flush_rows(I.events(spark, sf), 8)
+    files = K.compact_partitions(spark, _lake(spark, sf, rows_per_file=small), into).drop("bytes")
     return files.join(K.rows_per_hour(K.lake_table(spark, into)), K.PARTITIONS)
 
 
@@ -477,7 +485,8 @@ def snapshots(spark, sf):
     lake = SnapshotLake(spark, I.scratch_path(spark, "snapshots"), "ts")
     events = I.staged(I.events(spark, sf), "events")
     for part in (0, 1):
-        lake.append(events.filter(F.col("event_id") % 3 == part), rows_per_file=8)
+        rows = events.filter(F.col("event_id") % 3 == part)
+        lake.append(rows, rows_per_file=_flush_rows(rows, 8))
     old, seen = lake.commit_of()["version"], {}
     seen["before"] = lake.read()
 
@@ -502,6 +511,7 @@ def snapshots(spark, sf):
 def snapshot_files(spark, sf):
     """After compaction an hour of many small files has one file."""
     lake = SnapshotLake(spark, I.scratch_path(spark, "snapshots"), "ts")
-    lake.append(I.events(spark, sf), rows_per_file=4)
+    events = I.events(spark, sf)
+    lake.append(events, rows_per_file=_flush_rows(events, 4))
     lake.compact()
     return lake.files().groupBy(*K.PARTITIONS).agg(F.count("*").alias("files"))

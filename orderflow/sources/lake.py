@@ -12,6 +12,7 @@ from orderflow.session import few_listing_tasks
 # Hour partitions, gzip Parquet, flush interval and size, days to each storage tier.
 PARTITIONS = ["year", "month", "day", "hour"]
 FLUSH_INTERVAL = "300 seconds"
+FLUSHES_AN_HOUR = 12
 TARGET_FILE_BYTES = 128 * 1024 * 1024
 GLACIER_DAYS = 90
 DEEP_ARCHIVE_DAYS = 365
