@@ -33,14 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_amount(spread(table(spark, sf_dir, "events")))
+def events(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    return with_amount(spread(table(spark, sf_dir, "events"), deal))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, deal: bool = False) -> DataFrame:
     """Deal the input over ``orderflow.input.partitions`` tasks where a session sets that, as the benchmark does for its
-    one small file. Without it files are read as they are split."""
+    one small file. Without it files are read as they are split, or with ``deal`` go over two tasks a core: a range of time out of
+    them then has rows in every task, however the files are laid out."""
     tasks = df.sparkSession.conf.get("orderflow.input.partitions", None)
+    if not tasks and deal:
+        tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(int(tasks)) if tasks else df
 
 
@@ -101,12 +104,12 @@ def raw_orders_of(ev: DataFrame) -> DataFrame:
     )
 
 
-def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_orders_of(events(spark, sf_dir))
+def raw_orders(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    return raw_orders_of(events(spark, sf_dir, deal))
 
 
-def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate_orders(raw_orders(spark, sf_dir))
+def validated(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    return validate_orders(raw_orders(spark, sf_dir, deal))
 
 
 def processed_at() -> Column:
@@ -114,9 +117,9 @@ def processed_at() -> Column:
     return F.timestamp_micros(F.unix_micros("arrival_ts") + F.lit(250_000))
 
 
-def valid_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def valid_orders(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
     """Valid orders, enriched, duplicates still in."""
-    return enrich_orders(route(validated(spark, sf_dir))[0], processed_at())
+    return enrich_orders(route(validated(spark, sf_dir, deal))[0], processed_at())
 
 
 staged = stage
