@@ -9,8 +9,8 @@ in an order common to all documents, and documents that share fewer than ``1 + t
 have only a passage in common.
 
 Sizes are banded by powers of two, each band with its own number of parts; a document whose partners may lie in the next band emits words
-of that band too. Parts are ordered so that shingles frequent in a bounded sample come last: passages that many documents share then
-make few candidates. The sample sets only the order, and any order gives the same result.
+of that band too. Parts are ordered so that frequent shingles, counted over all documents, come last: passages that many documents share then
+make few candidates. The counts set only the order, and any order gives the same result.
 
 The steps, over whole tables:
 
@@ -168,11 +168,8 @@ def bit_sketches(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def frequent_shingles(docs: DataFrame, sample_rows: int, least_share: float = 0.0004, most: int = 500_000) -> np.ndarray:
-    """Shingles in at least ``least_share`` of the documents of a bounded sample, sorted; at most ``most``. They only order the parts."""
-    total = docs.count()
-    share = min(1.0, sample_rows / max(1, total))
-    some = docs.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
+def frequent_shingles(docs: DataFrame, least_share: float = 0.0004, most: int = 500_000) -> np.ndarray:
+    """Shingles in at least ``least_share`` of all documents, sorted; the ``most`` most frequent of them. They only order the parts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,9 +177,9 @@ def frequent_shingles(docs: DataFrame, sample_rows: int, least_share: float = 0.
                 tokens, _ = shingle_sets(*text_array(part["text"]))
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], names=["token"])
 
-    bound = max(4, int(least_share * min(sample_rows, total)))
+    bound = max(4, int(least_share * docs.count()))
     rows = (
-        some.mapInArrow(emit, "token bigint").groupBy("token").agg(F.count("*").alias("n"))
+        docs.select("text").mapInArrow(emit, "token bigint").groupBy("token").agg(F.count("*").alias("n"))
         .filter(F.col("n") >= bound).orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()
     )
     return np.sort(rows["token"].to_numpy().view(np.uint64))
@@ -392,16 +389,20 @@ def cluster_links(rows: DataFrame, sets: DataFrame, block: int = 2000) -> DataFr
     return whole.groupBy("cluster", "block", "chunk").applyInArrow(compare, "a bigint, b bigint")
 
 
-def linked_sets(docs: DataFrame, sample_rows: int = 20_000, star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def linked_sets(docs: DataFrame, star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """One row a document (``key, n, node``), and the component (``node, root``) of every set that is linked with a smaller one.
 
     ``docs`` has the columns ``key`` and ``text``."""
     spark = docs.sparkSession
     context = spark.sparkContext
-    frequent = context.broadcast(frequent_shingles(docs, sample_rows))  # at most 500,000 numbers
+    frequent = context.broadcast(frequent_shingles(docs))  # at most 500,000 numbers
+    release_shuffles(spark)
     shared = stored(shared_words(docs, frequent), "shared-words")
     release_shuffles(spark)
-    rows = shingled(docs, frequent, context.broadcast(word_filter(shared)))  # FILTER_BITS bits
+    bits = context.broadcast(word_filter(shared))  # FILTER_BITS bits
+    rows = shingled(docs, frequent, bits)
+    frequent.destroy()
+    bits.destroy()
     # One row for each set that shares words, chosen on a few numbers before the wide columns move.
     carriers = rows.filter(F.col("words").isNotNull()).groupBy("node").agg(F.min("row").alias("row")).select("row")
     sets = stored(rows.filter(F.col("words").isNotNull()).join(carriers, "row", "left_semi").drop("row", "key"), "sets")

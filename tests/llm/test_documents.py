@@ -11,13 +11,15 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from orderflow.llm import arrays, bpe, counts, fingerprints, licenses, mixing, ngram_join, quality, toxicity, words
-from orderflow.llm.common import read
+from orderflow.llm.common import read, text_array
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, row string, hash int"
@@ -451,3 +453,20 @@ def test_word_hashes():
     hashes, n = arrays.words(body, at, lower=True)
     assert n.tolist() == [3, 0, 2, 1]
     assert hashes[0] == hashes[2] and hashes[1] == hashes[4] and len(set(hashes.tolist())) == 4
+
+
+def test_frequent_shingles_are_counted_over_all_documents(spark):
+    """A passage in one document of a thousand, of more documents than a bounded sample would hold, and one that is too rare."""
+    rows = spark.range(24_000).select(
+        F.col("id").alias("key"),
+        F.when(F.col("id") % 1_000 == 7, "a passage that repeats often").when(F.col("id") % 4_000 == 9, "one that is rather rare")
+        .otherwise(F.concat(F.lit("alone "), F.col("id"))).alias("text"),
+    )
+    for floor, most in ((0.0004, 500_000), (0.001, 500_000), (0.0004, 1)):
+        found = ngram_join.frequent_shingles(rows, floor, most)
+        tokens, _ = ngram_join.shingle_sets(*arrays_of(["a passage that repeats often"]))
+        assert found.tolist() == tokens.tolist()
+
+
+def arrays_of(texts):
+    return text_array(pa.array(texts))
