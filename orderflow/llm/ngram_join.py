@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +53,8 @@ NUM, DEN = 3, 4
 SMALL_BAND = 5
 SKETCH_BITS = 2048
 FILTER_BITS = 1 << 26
+#: Buckets in which shingles are counted together before the frequent ones are counted one by one.
+BUCKETS = 1 << 24
 #: Words of more sets are not joined with themselves; their sets are compared in blocks.
 HOT = 100
 
@@ -168,20 +171,72 @@ def bit_sketches(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def frequent_shingles(docs: DataFrame, least_share: float = 0.0004, most: int = 500_000) -> np.ndarray:
-    """Shingles in at least ``least_share`` of all documents, sorted; the ``most`` most frequent of them. They only order the parts."""
+def buckets_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return (tokens & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def full_buckets(docs: DataFrame, bound: int, buckets: int = BUCKETS, blocks: int = 2048) -> np.ndarray:
+    """A bit for each bucket of shingle hashes: whether it holds ``bound`` shingles of all documents together, or more.
+
+    A task counts in an array of fixed size and sends the counts in blocks, which are added up block by block. So what is shuffled follows the
+    number of tasks and not of shingles, and no task holds more than its array."""
+    each = buckets // blocks
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, press = np.zeros(buckets, np.uint32), zstandard.ZstdCompressor(level=1, write_content_size=True)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                tokens, _ = shingle_sets(*text_array(part["text"]))
+                np.add.at(counts, buckets_of(tokens, buckets), np.uint32(1))
+        dense = counts.reshape(blocks, each)
+        used = np.flatnonzero(dense.any(axis=1))
+        for begin in range(0, len(used), 64):
+            some = used[begin : begin + 64]
+            packed = [press.compress(dense[i].tobytes()) for i in some.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], names=["block", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total, plain = np.zeros(each, np.int64), zstandard.ZstdDecompressor().decompress
+        for packed in table["counts"]:
+            total += np.frombuffer(plain(packed.as_py()), np.uint32)
+        return pa.table({"block": table["block"][:1], "full": pa.array([np.packbits(total >= bound).tobytes()], pa.binary())})
+
+    sums = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, full binary")
+    rows = sums.toArrow()  # a bit a bucket
+    out = np.zeros((blocks, each // 8), np.uint8)
+    for block, full in zip(rows["block"].to_pylist(), rows["full"].to_pylist()):
+        out[block] = np.frombuffer(full, np.uint8)
+    return out.reshape(-1)
+
+
+def shingles_in(docs: DataFrame, full) -> DataFrame:
+    """``token``: the shingles of each document's set that fall into full buckets."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = full.value
         for batch in batches:
             for part in pieces(batch, "text"):
                 tokens, _ = shingle_sets(*text_array(part["text"]))
+                at = buckets_of(tokens, 8 * len(bits))
+                tokens = tokens[bits[at >> 3] >> (7 - (at & 7)) & 1 == 1]
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], names=["token"])
 
+    return docs.select("text").mapInArrow(emit, "token bigint")
+
+
+def frequent_shingles(docs: DataFrame, least_share: float = 0.0004, most: int = 500_000, buckets: int = BUCKETS) -> np.ndarray:
+    """Shingles in at least ``least_share`` of all documents, sorted; the ``most`` most frequent of them. They only order the parts.
+
+    A frequent shingle fills its bucket alone, so only the shingles in full buckets are counted one by one, and most of the others never
+    leave their task. Buckets are too few to tell them apart where documents have over ``least_share * buckets`` shingles on average; the
+    counts are the same there, but nearly all shingles are shuffled."""
     bound = max(4, int(least_share * docs.count()))
+    full = docs.sparkSession.sparkContext.broadcast(full_buckets(docs, bound, buckets))  # a bit a bucket
     rows = (
-        docs.select("text").mapInArrow(emit, "token bigint").groupBy("token").agg(F.count("*").alias("n"))
+        shingles_in(docs, full).groupBy("token").agg(F.count("*").alias("n"))
         .filter(F.col("n") >= bound).orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()
     )
+    full.destroy()
     return np.sort(rows["token"].to_numpy().view(np.uint64))
 
 

@@ -468,5 +468,21 @@ def test_frequent_shingles_are_counted_over_all_documents(spark):
         assert found.tolist() == tokens.tolist()
 
 
+def test_rare_shingles_are_not_shuffled_to_be_counted(spark):
+    """A passage in every tenth of 1,000 documents of 40 other words: the 36,000 shingles that a document has alone stay in their tasks.
+    With few buckets many rare shingles share a full one, and the counts are the same."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) + (" a passage that repeats often" if i % 10 == 7 else "") for i in range(1_000)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "few words"])], "key long, text string").repartition(5)
+    tokens, n = ngram_join.shingle_sets(*arrays_of(texts))
+    token, found = np.unique(tokens, return_counts=True)
+    assert n.sum() > 36_000
+    for buckets, most in ((ngram_join.BUCKETS, 1_000), (1 << 14, 40_000)):
+        full = ngram_join.full_buckets(rows, 4, buckets)
+        held = ngram_join.shingles_in(rows, spark.sparkContext.broadcast(full))
+        assert 100 <= held.count() <= most
+        assert ngram_join.frequent_shingles(rows, 0.0004, buckets=buckets).tolist() == token[found >= 4].tolist()
+    assert len(ngram_join.frequent_shingles(rows.limit(0))) == 0
+
+
 def arrays_of(texts):
     return text_array(pa.array(texts))
