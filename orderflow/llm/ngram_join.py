@@ -34,6 +34,7 @@ component; an empty table gives an empty result. Only the key and the text are r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderflow.llm.arrays import mix, runs, words
-from orderflow.llm.common import WORD, free_name, pieces, release_shuffles, spans, stored, text_array
+from orderflow.llm.common import WORD, free_name, pieces, release_shuffles, small_batches, spans, stored, text_array
 from orderflow.llm.components import components
 
 K = 5
@@ -55,6 +56,8 @@ SKETCH_BITS = 2048
 FILTER_BITS = 1 << 26
 #: Buckets in which shingles are counted together before the frequent ones are counted one by one.
 BUCKETS = 1 << 24
+#: Bytes of text that a step works on at once; its arrays take about 50 times as many, and what a Python worker once took it mostly keeps.
+PIECE = 1 << 18
 #: Words of more sets are not joined with themselves; their sets are compared in blocks.
 HOT = 100
 
@@ -175,6 +178,42 @@ def buckets_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return (tokens & np.uint64(buckets - 1)).astype(np.int64)
 
 
+def bucket_counts(sets: Iterator[np.ndarray], buckets: int, blocks: int, most_over: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    """How many shingles fall into each bucket: blocks (their number, their counts) with any, which may come more than once.
+
+    A bucket has a byte, and each full 256 go into a list. It gets an entry for 256 shingles at most; with ``most_over`` entries all is
+    handed on and counting starts anew. So memory is bounded, whatever the number of shingles and however frequent one is."""
+    each = buckets // blocks
+    low, over_at, over, entries = np.zeros(buckets, np.uint8), [], [], 0
+
+    def counted() -> Iterator[tuple[int, np.ndarray]]:
+        at, n = np.concatenate([*over_at, np.zeros(0, np.int64)]), np.concatenate([*over, np.zeros(0, np.int64)])
+        order = np.argsort(at)
+        at, n = at[order], n[order]
+        bounds = np.searchsorted(at, np.arange(blocks + 1) * each)
+        for block in range(blocks):
+            own, some = low[block * each : (block + 1) * each], slice(bounds[block], bounds[block + 1])
+            if own.any() or some.start < some.stop:
+                counts = own.astype(np.uint32)
+                np.add.at(counts, at[some] - block * each, n[some].astype(np.uint32) << np.uint32(8))
+                yield block, counts
+
+    for tokens in sets:
+        at, n = np.unique(buckets_of(tokens, buckets), return_counts=True)
+        n = n + low[at]
+        low[at] = n & 255
+        full = n > 255
+        if full.any():
+            over_at.append(at[full])
+            over.append(n[full] >> 8)
+            entries += len(over[-1])
+        if entries >= most_over:
+            yield from counted()
+            low[:] = 0
+            over_at, over, entries = [], [], 0
+    yield from counted()
+
+
 def full_buckets(docs: DataFrame, bound: int, buckets: int = BUCKETS, blocks: int = 2048) -> np.ndarray:
     """A bit for each bucket of shingle hashes: whether it holds ``bound`` shingles of all documents together, or more.
 
@@ -183,17 +222,12 @@ def full_buckets(docs: DataFrame, bound: int, buckets: int = BUCKETS, blocks: in
     each = buckets // blocks
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, press = np.zeros(buckets, np.uint32), zstandard.ZstdCompressor(level=1, write_content_size=True)
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                tokens, _ = shingle_sets(*text_array(part["text"]))
-                np.add.at(counts, buckets_of(tokens, buckets), np.uint32(1))
-        dense = counts.reshape(blocks, each)
-        used = np.flatnonzero(dense.any(axis=1))
-        for begin in range(0, len(used), 64):
-            some = used[begin : begin + 64]
-            packed = [press.compress(dense[i].tobytes()) for i in some.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], names=["block", "counts"])
+        press = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        sets = (shingle_sets(*text_array(part["text"]))[0] for batch in batches for part in pieces(batch, "text", PIECE))
+        found = bucket_counts(sets, buckets, blocks)
+        while some := [(block, press.compress(counts.tobytes())) for block, counts in islice(found, 64)]:
+            block, packed = zip(*some)
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total, plain = np.zeros(each, np.int64), zstandard.ZstdDecompressor().decompress
@@ -215,7 +249,7 @@ def shingles_in(docs: DataFrame, full) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = full.value
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 tokens, _ = shingle_sets(*text_array(part["text"]))
                 at = buckets_of(tokens, 8 * len(bits))
                 tokens = tokens[bits[at >> 3] >> (7 - (at & 7)) & 1 == 1]
@@ -246,7 +280,7 @@ def shared_words(docs: DataFrame, frequent) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 tokens, n = shingle_sets(*text_array(part["text"]))
                 word, row, _ = sketch_words(tokens, n, frequent.value)
                 node = set_hashes(tokens, n)[row]
@@ -286,7 +320,7 @@ def shingled(docs: DataFrame, frequent, shared) -> DataFrame:
         bits = shared.value
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 tokens, n = shingle_sets(*text_array(part["text"]))
                 node = set_hashes(tokens, n)
                 word, row, least = sketch_words(tokens, n, frequent.value)
@@ -450,14 +484,15 @@ def linked_sets(docs: DataFrame, star_rounds: int = 2) -> tuple[DataFrame, DataF
     ``docs`` has the columns ``key`` and ``text``."""
     spark = docs.sparkSession
     context = spark.sparkContext
-    frequent = context.broadcast(frequent_shingles(docs))  # at most 500,000 numbers
-    release_shuffles(spark)
-    shared = stored(shared_words(docs, frequent), "shared-words")
-    release_shuffles(spark)
-    bits = context.broadcast(word_filter(shared))  # FILTER_BITS bits
-    rows = shingled(docs, frequent, bits)
-    frequent.destroy()
-    bits.destroy()
+    with small_batches(spark):
+        frequent = context.broadcast(frequent_shingles(docs))  # at most 500,000 numbers
+        release_shuffles(spark)
+        shared = stored(shared_words(docs, frequent), "shared-words")
+        release_shuffles(spark)
+        bits = context.broadcast(word_filter(shared))  # FILTER_BITS bits
+        rows = shingled(docs, frequent, bits)
+        frequent.destroy()
+        bits.destroy()
     # One row for each set that shares words, chosen on a few numbers before the wide columns move.
     carriers = rows.filter(F.col("words").isNotNull()).groupBy("node").agg(F.min("row").alias("row")).select("row")
     sets = stored(rows.filter(F.col("words").isNotNull()).join(carriers, "row", "left_semi").drop("row", "key"), "sets")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from orderflow.llm import arrays, bpe, counts, fingerprints, licenses, mixing, ngram_join, quality, toxicity, words
-from orderflow.llm.common import read, text_array
+from orderflow.llm.common import read, small_batches, text_array
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, row string, hash int"
@@ -484,5 +485,67 @@ def test_rare_shingles_are_not_shuffled_to_be_counted(spark):
     assert len(ngram_join.frequent_shingles(rows.limit(0))) == 0
 
 
+class Taken(Exception):
+    pass
+
+
+class Frame:
+    """Hands out the step that would run over its batches."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, step, _):
+        raise Taken(step)
+
+
+def test_steps_over_texts_keep_little_memory():
+    """Over 8 MB of texts, of which one word alone is in all: a counting task holds no array of 4 bytes a bucket, and work arrays follow a piece."""
+    texts = ["common"] * 3_000 + [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(3_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    frequent = type("Held", (), {"value": np.zeros(0, np.uint64)})()
+    for start, most in ((lambda: ngram_join.full_buckets(Frame(), 4), 40), (lambda: ngram_join.shared_words(Frame(), frequent), 12)):
+        with pytest.raises(Taken) as taken:
+            start()
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in taken.value.args[0](iter([batch])))
+        _, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert rows and peak < most << 20
+
+
+def test_buckets_count_past_a_byte_and_start_anew():
+    tokens = np.arange(4_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sets = [tokens[: 1 + i * 7 % 4_000] for i in range(1_500)] + [np.repeat(tokens[:3], 70_000), tokens[:0]]
+    right = np.bincount(ngram_join.buckets_of(np.concatenate(sets), 1 << 11), minlength=1 << 11)
+    for most_over, rounds in ((1 << 20, 1), (5_000, 2)):
+        found, seen = np.zeros((64, 32), np.int64), []
+        for block, counts in ngram_join.bucket_counts(iter(sets), 1 << 11, 64, most_over):
+            found[block] += counts
+            seen.append(block)
+        assert found.reshape(-1).tolist() == right.tolist() and right.max() > 1 << 16
+        assert max(seen.count(b) for b in set(seen)) >= rounds and (rounds > 1 or len(seen) == len(set(seen)))
+    assert list(ngram_join.bucket_counts(iter([]), 1 << 11, 64)) == []
+
+
+def test_texts_reach_workers_in_small_batches(spark):
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(0, 5_000, 1, 1)
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+
+    before = spark.conf.get(name, None)
+    with small_batches(spark):
+        assert max(r.n for r in docs.mapInArrow(sizes, "n bigint").collect()) == 1_000
+    assert spark.conf.get(name, None) == before
+    spark.conf.set(name, "300")
+    try:
+        with small_batches(spark):
+            assert spark.conf.get(name) == "300"
+        assert spark.conf.get(name) == "300"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def arrays_of(texts):
     return text_array(pa.array(texts))
